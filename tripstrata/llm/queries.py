@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripstrata.llm import op6, op8
+from tripstrata.llm import op6, op8, op9, op10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_exact_dedup": op6.op6_exact_dedup,
         "op8_shard": op8.op8_shard,
+        "op9_pack": op9.op9_pack,
+        "op10_decontaminate": op10.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": op6.ORACLE}
+    return {"op6_exact_dedup": op6.ORACLE, "op10_decontaminate": op10.ORACLE}
