@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripstrata.llm.common import Scratch, columns, table
@@ -97,7 +97,7 @@ def build_index(keys: DataFrame, n_ranges: int, capacity: int = BUCKET) -> DataF
 
 
 def exact_dedup(docs: DataFrame, bits: int = 64, capacity: int = BUCKET, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, n_code_points.
+    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, n_code_points, row (its place in the input).
 
     A null text counts as empty; empty texts equal each other. Of equal texts the longest original stays, then the
     smallest doc_id (null last), then one of the repeated rows: just one row of a group has kept = true.
@@ -105,7 +105,7 @@ def exact_dedup(docs: DataFrame, bits: int = 64, capacity: int = BUCKET, filter_
     number of keys; no group is gathered anywhere.
     """
     spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,10 +126,10 @@ def exact_dedup(docs: DataFrame, bits: int = 64, capacity: int = BUCKET, filter_
         shared = spark.sparkContext.broadcast(bitmap.view(np.uint64))
 
         def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            task, row, chains, marks = TaskContext.get().partitionId(), 0, {}, shared.value
+            task, chains, marks = TaskContext.get().partitionId(), {}, shared.value
             for b in batches:
                 ids, out = b.column(0).to_pylist(), []
-                for doc_id, x in zip(ids, b.column(1).to_pylist(), strict=True):
+                for doc_id, x, row in zip(ids, b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     norm = x.encode().translate(None, SPACE)
                     key, number, new = hash_key(norm, bits), -1, None
                     place = ((key + (1 << 63)) >> (64 - width))
@@ -139,14 +139,13 @@ def exact_dedup(docs: DataFrame, bits: int = 64, capacity: int = BUCKET, filter_
                         if number == len(chain):
                             chain.append(norm)
                             new = norm
-                    out.append(((task << 40) + row, doc_id, key, len(x), hashlib.sha256(norm).digest(), task, number, new))
-                    row += 1
+                    out.append((row, doc_id, key, len(x), hashlib.sha256(norm).digest(), task, number, new))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), KINDS, strict=True)], NAMES)
 
-        NAMES = ["uid", "doc_id", "key", "n_cp", "sha", "task", "number", "new"]
+        NAMES = ["row", "doc_id", "key", "n_cp", "sha", "task", "number", "new"]
         KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-        rows = s.save(text.mapInArrow(rows_of, "uid long, doc_id long, key long, n_cp long, sha binary, task long, number long, new binary"), "rows")
+        rows = s.save(text.mapInArrow(rows_of, "row long, doc_id long, key long, n_cp long, sha binary, task long, number long, new binary"), "rows")
 
         def chain_of(group: pd.DataFrame) -> pd.DataFrame:
             chain: list[bytes] = []
@@ -161,16 +160,16 @@ def exact_dedup(docs: DataFrame, bits: int = 64, capacity: int = BUCKET, filter_
         fresh = rows.where("new IS NOT NULL").select("key", "task", "number", "new")
         merged = fresh.groupBy("key").applyInPandas(chain_of, "key long, task long, number long, chain long")
         compared = rows.where("number >= 0").join(merged, ["key", "task", "number"])
-        best = F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
+        best = F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
         groups = compared.groupBy("key", "chain").agg(F.count("*").alias("group_size"), best.alias("best"))
-        joined = compared.join(groups, ["key", "chain"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "sha", "n_cp")
-        alone = rows.where("number < 0").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "n_cp")
-        done = alone.unionByName(joined).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), F.col("n_cp").alias("n_code_points"))
+        joined = compared.join(groups, ["key", "chain"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "sha", "n_cp", "row")
+        alone = rows.where("number < 0").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "n_cp", "row")
+        done = alone.unionByName(joined).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), F.col("n_cp").alias("n_code_points"), "row")
         return s.keep(done)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_code_points")
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_code_points", "row")
 
 
 ORACLE = r"""
