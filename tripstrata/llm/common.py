@@ -111,3 +111,16 @@ def write_file(uri: str, data: bytes) -> None:
     with system.open_output_stream(part) as out:
         out.write(data)
     system.move(part, path)
+
+
+#: Row numbers up to this many are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`docs` without the rows numbered in `rows` (row): monotonically_increasing_id() over the same input gives the same numbers."""
+    rows = rows.select(F.col("row").alias("__row"))
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    numbered = docs.withColumn("__at", F.monotonically_increasing_id())
+    return numbered.join(rows, F.col("__at") == F.col("__row"), "left_anti").drop("__at")

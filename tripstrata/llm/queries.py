@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripstrata.llm import op1, op6, op8, op9, op10
+from tripstrata.llm import op1, op4, op6, op8, op9, op10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1.op1_simhash,
+        "op4_language_id": op4.op4_language_id,
         "op6_exact_dedup": op6.op6_exact_dedup,
         "op8_shard": op8.op8_shard,
         "op9_pack": op9.op9_pack,
