@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripstrata.llm import op1, op4, op6, op8, op9, op10
+from tripstrata.llm import op1, op4, op6, op7, op8, op9, op10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1.op1_simhash,
         "op4_language_id": op4.op4_language_id,
         "op6_exact_dedup": op6.op6_exact_dedup,
+        "op7_toxicity": op7.op7_toxicity,
         "op8_shard": op8.op8_shard,
         "op9_pack": op9.op9_pack,
         "op10_decontaminate": op10.op10_decontaminate,
