@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripstrata.llm import op1, op3, op4, op5, op6, op7, op8, op9, op10
+from tripstrata.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1.op1_simhash,
+        "op2_suffix_dedup": op2.op2_suffix_dedup,
         "op3_lm_score": op3.op3_lm_score,
         "op4_language_id": op4.op4_language_id,
         "op5_personal_data": op5.op5_personal_data,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": op6.ORACLE, "op10_decontaminate": op10.ORACLE}
+    return {"op2_suffix_dedup": op2.ORACLE, "op6_exact_dedup": op6.ORACLE, "op10_decontaminate": op10.ORACLE}
