@@ -1,8 +1,8 @@
 """SimHash near-dedup with covering locality-sensitive hashing.
 
-Each bit of the fingerprint gets a random vector of `radius` + 1 bits; for each non-zero v there is a mask with the bits whose
-vector is orthogonal to v. Two fingerprints that differ in at most `radius` bits span at most `radius` dimensions, so some v is
-orthogonal to all their differing bits: they agree under that mask. The 2 ** (radius + 1) - 1 tables therefore miss no pair.
+Each bit of the fingerprint gets a non-zero vector of `radius` + 1 bits; for each non-zero v there is a mask with the bits whose
+vector isn't orthogonal to v. The vectors of at most `radius` differing bits span at most `radius` dimensions, so some v is
+orthogonal to all of them: its mask has none of the differing bits, and the fingerprints agree under it. The 2 ** (radius + 1) - 1 tables therefore miss no pair.
 
 Within a bucket no pairs are emitted. Fingerprints that share a bucket flip one bit outside its mask (or none); two of them
 at distance 2 meet at a common midpoint, at distance 1 at each other. At most 65 distinct fingerprints meet at one
@@ -40,12 +40,12 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def covering_masks(radius: int = RADIUS, seed: int = 1) -> list[int]:
-    """Signed 64-bit masks. The vectors are dealt evenly, so that every mask keeps about half of the bits."""
+    """Signed 64-bit masks. The vectors are dealt evenly, so that every mask keeps a little over half of the bits."""
     k = radius + 1
-    vectors = np.random.default_rng(seed).permutation(np.arange(BITS) % (1 << k))
+    vectors = np.random.default_rng(seed).permutation(1 + np.arange(BITS) % ((1 << k) - 1))
     masks = []
     for v in range(1, 1 << k):
-        mask = sum(1 << i for i in range(BITS) if not (int(vectors[i]) & v).bit_count() & 1)
+        mask = sum(1 << i for i in range(BITS) if (int(vectors[i]) & v).bit_count() & 1)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     return masks
 
