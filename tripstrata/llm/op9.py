@@ -10,8 +10,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from tripstrata.llm.common import Scratch, table
 WIDTH = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words whose ids a worker remembers at a time.
-REMEMBERED = 300_000
+#: Distinct words whose ids a worker remembers in each half of its memory.
+REMEMBERED = 250_000
 #: Latin letters and numbers up to U+024F, as the tokenizer's own pattern has them.
 LETTERS, NUMBERS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
 #: Texts of these characters only are cut into words here; all others go to the tokenizer as a whole.
@@ -39,33 +41,60 @@ def tokenizer_file() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in the vocabulary: itself if it is printable Latin, else the next one from U+0100."""
+    out, spare = {}, 256
+    for x in range(256):
+        plain = 0x21 <= x <= 0x7E or 0xA1 <= x <= 0xFF and x != 0xAD
+        out[x] = x if plain else spare
+        spare += not plain
+    return out
+
+
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit numbers. Words are encoded by the tokenizer once and remembered."""
+    """Ids of whole texts as little-endian 32-bit numbers.
+
+    The tokenizer's words never hold white space, so what stands between white space is cut into words, and each word goes to
+    the tokenizer's model once and is remembered. Of what is remembered, the older half goes when the newer half is full;
+    what is used moves to the newer half.
+    """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(file), {}
+        self.tokenizer = Tokenizer.from_file(file)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.tokens: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def word(self, w: str) -> bytes:
+        new, old = self.words
+        got = new.get(w) or old.get(w)
+        if got is None:
+            raw = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+            got = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+        new[w] = got
+        return got
+
+    def token(self, t: str) -> bytes:
+        if t.isalpha():
+            return self.word(t)
+        if t[:-1].isalpha() and t[-1] in ".,":
+            return self.word(t[:-1]) + self.word(t[-1])
+        return b"".join(map(self.word, WORD.findall(t)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        todo: list[list[str] | None] = []
-        for x in texts:
-            plain = PLAIN.fullmatch(x) and "<|" not in x and "\xa0" not in x
-            todo.append(WORD.findall(x.lower()) if plain else None)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for words in todo if words for w in words if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        for x, words in zip(texts, todo, strict=True):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        if len(self.tokens[0]) > REMEMBERED:
+            self.tokens = ({}, self.tokens[0])
+        if len(self.words[0]) > REMEMBERED:
+            self.words = ({}, self.words[0])
+        new, old = self.tokens
+        todo = [x.lower().split() if PLAIN.fullmatch(x) and "<|" not in x else None for x in texts]
+        for t in set(chain.from_iterable(x for x in todo if x)) - new.keys():
+            new[t] = old.get(t) or self.token(t)
+        whole = lambda x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        return [whole(x) if tokens is None else b"".join(map(new.__getitem__, tokens)) for x, tokens in zip(texts, todo, strict=True)]
 
 
 def shortest_pack_first(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, list[int]]]:
