@@ -40,11 +40,10 @@ def counts(text: str) -> np.ndarray:
     return out
 
 
-def weights(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features and their TF-IDF weights, which sum to SCALE."""
-    at = np.flatnonzero(found)
-    x = found[at] * idf[at]
-    return at, SCALE * x / max(x.sum(), 1e-12)
+def present(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features that occur, and how often."""
+    at = np.flatnonzero(found).astype(np.int32)
+    return at, found[at].astype(np.int32)
 
 
 class Ftrl:
@@ -124,9 +123,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [counts(x) for x in b.column(0).to_pylist()]
-            at = [np.flatnonzero(x) for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(at, pa.list_(pa.int32())), pa.array([x[a] for x, a in zip(found, at, strict=True)], pa.list_(pa.int32()))], ["lang", "h", "at", "n"])
+            found = [present(counts(x)) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *(pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (0, 1))], ["lang", "h", "at", "n"])
 
     last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
     few = rows.where(F.col("h") <= (0 if last is None else last)).limit(sample)
