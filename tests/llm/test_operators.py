@@ -1,0 +1,295 @@
+"""The ten operators against brute force on small tables, and on odd rows, empty tables and weak hashes."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from tripstrata.llm import induced, op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def table():
+    return pq.read_table(f"{SF}/documents.parquet").to_pylist()
+
+
+def got(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_simhash(spark, table):
+    out = {r["doc_id"]: r for r in got(queries.queries()["op1_simhash"](spark, SF))}
+    ids = [r["doc_id"] for r in table]
+    fps = [op1.fingerprint(r["text"] or "") for r in table]
+    part = list(range(len(ids)))
+    for _ in range(8):
+        for i in range(len(ids)):
+            for j in range(len(ids)):
+                if (fps[i] ^ fps[j]).bit_count() <= 2:
+                    part[i] = part[j] = min(part[i], part[j])
+    for i, d in enumerate(ids):
+        assert out[d]["fingerprint"] == f"{fps[i]:016x}" and out[d]["component_id"] == min(ids[j] for j in range(len(ids)) if part[j] == part[i])
+
+
+def test_covering_masks():
+    masks = op1.covering_masks()
+    assert len(masks) == 7
+    for i in range(64):
+        for j in range(i, 64):
+            assert any(not m >> i & 1 and not m >> j & 1 for m in masks)
+
+
+def test_simhash_chain(spark):
+    """A chain of fingerprints two bits apart is one component."""
+    fps = [(1 << (2 * i)) - 1 for i in range(12)] + [(1 << 63) - 1 - (1 << 40)]
+    nodes = spark.createDataFrame([(f, f) for f in fps], "id long, fp long")
+    from tripstrata.llm.common import Scratch
+
+    with Scratch(spark) as s:
+        found = {r["id"]: r["component"] for r in got(op1.components(op1.links(nodes, op1.covering_masks()), s))}
+    assert {found.get(f, f) for f in fps[:12]} == {0} and fps[12] not in found
+
+
+def removed(texts):
+    least = {}
+    for d, t in texts:
+        for i in range(len(t) - 49):
+            least[t[i : i + 50]] = min(d, least.get(t[i : i + 50], d))
+    out = {}
+    for d, t in texts:
+        gone = [False] * len(t)
+        for i in range(len(t) - 49):
+            if least[t[i : i + 50]] < d:
+                gone[i : i + 50] = [True] * 50
+        out[d] = (sum(gone), hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest(), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)))
+    return out
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij ", "a"])
+def test_suffix_dedup(spark, docs, letters):
+    rnd = random.Random(letters)
+    word = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    shared = [word(rnd.randint(45, 200)) for _ in range(4)]
+    texts = [(i, "".join(rnd.choice([word(rnd.randint(0, 90)), rnd.choice(shared)[rnd.randint(0, 9) :]]) for _ in range(rnd.randint(0, 5)))) for i in range(40)]
+    want = removed([(d, t.encode()) for d, t in texts])
+    for r in got(op2.dedup_spans(docs(*texts).repartition(3), owner_bytes=1000, queue_bytes=3000)):
+        assert (r["n_removed"], r["kept_sha256"], r["n_spans"]) == want[r["doc_id"]]
+
+
+def test_induced_sorting():
+    rnd = random.Random(3)
+    for _ in range(150):
+        parts = [[rnd.randint(2, 1 + rnd.choice([1, 2, 20])) for _ in range(rnd.randint(0, 90))] for _ in range(rnd.randint(1, 4))]
+        text = [x for p in [*parts, parts[0][2:]] for x in [*p, 1]] + [0]
+        order, shared = induced.suffix_order(np.array(text, np.uint16), limit=rnd.choice([10, 1 << 20]))
+        tails = [text[i:] for i in order]
+        assert sorted(order.tolist()) == list(range(len(text)))
+        for a, b, k in zip(tails, tails[1:], shared[1:].tolist(), strict=False):
+            n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert a[:60] <= b[:60] and min(n, 50) == min(k, 50)
+
+
+def test_lm(spark, table):
+    rows = {r["doc_id"]: r for r in got(queries.queries()["op3_lm_score"](spark, SF))}
+    count, pair = collections.Counter(), collections.Counter()
+    for r in table:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2:
+            w = [*(r["text"] or "").encode().lower().split(), 0]
+            count.update(w)
+            pair.update(zip([1, *w], w, strict=False))
+    n, v = sum(count.values()), len(count)
+    context, more = collections.defaultdict(lambda: [0, 0, 0, 0]), collections.Counter()
+    for (a, b), k in pair.items():
+        context[a][0] += k
+        context[a][min(k, 3)] += 1
+        more[b] += 1
+    of = lambda c: [0, *op3.discounts([sum(x == i for x in c.values()) for i in (1, 2, 3, 4)])]
+    high, low = of(pair), of(more)
+    rest = sum(low[min(x, 3)] for x in more.values())
+    for r in table[:60]:
+        w, score = [*(r["text"] or "").encode().lower().split(), 0], 0.0
+        for a, b in zip([1, *w], w, strict=False):
+            q = context.get(a)
+            lower = (more[b] - low[min(more[b], 3)] + rest / (v + 1)) / len(pair)
+            k = pair.get((a, b), 0)
+            score += math.log10((k - high[min(k, 3)]) / q[0] + sum(high[i] * q[i] for i in (1, 2, 3)) / q[0] * lower if q else lower)
+        x = rows[r["doc_id"]]
+        assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (len(w), sum(t in count for t in w), n)
+        assert x["base_score"] == pytest.approx(sum(math.log10((count[t] + 1) / (n + v + 1)) for t in w)) and x["score"] == pytest.approx(score, rel=1e-5)
+    held = [x for x in rows.values() if x["held_out"]]
+    assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held)
+
+
+def test_language(spark):
+    df = queries.queries()["op4_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
+    r = df.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"), F.min("score").alias("low"), F.max("score").alias("high")).first()
+    assert r["right"] > 0.97 and r["low"] >= 0 and r["high"] <= 1
+
+
+def test_temperature():
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 3, 4000)
+    scores = rng.normal(0, 1, (4000, 3)) + 1.2 * np.eye(3)[y]
+    assert op4.temperature(scores * 5, y) == pytest.approx(5 * op4.temperature(scores, y), rel=0.05)
+
+
+def test_personal_data(spark, table):
+    pattern = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    ok = {"email": lambda x: True, "ip": lambda x: all(int(p) <= 255 for p in x.split(".")), "card": lambda x: 16 <= len(op5.digits_of(x)) <= 19 and op5.luhn(op5.digits_of(x)), "phone": lambda x: 8 <= len(op5.digits_of(x)) <= 15}
+    texts = {r["doc_id"]: r["text"] or "" for r in table}
+    odd = ["a@b.c_d@e.f g@@h.i", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4", "4111 1111-1111 1111 4111111111111112", "+1 (555) 123-4567+44 20 7946 0958", "x@y.z@w.v.", "+1-", "a@b @c.d"]
+    for text in [*texts.values(), *odd]:
+        assert {k: [m.span() for m in re.finditer(p, text) if ok[k](m.group())] for k, p in pattern.items()} == op5.base_spans(text)
+    for r in got(queries.queries()["op5_personal_data"](spark, SF)):
+        base = [(k, *x) for k, xs in op5.base_spans(texts[r["doc_id"]]).items() for x in xs]
+        assert r["base_sha256"] == hashlib.sha256(op5.joined(base).encode()).hexdigest() and set(op5.joined(base).split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def test_weak_spans(spark, docs):
+    rows = [(i, f"please call phone (716) 555-{1000 + i} now") for i in range(60)] + [(100 + i, f"version 555-123-{4000 + i} of page") for i in range(60)]
+    out = {r["doc_id"]: r["spans"] for r in got(op5.find_personal_data(docs(*rows)))}
+    assert out[0] == "phone:18:32" and out[100] == ""
+
+
+def test_reliabilities():
+    p = op5.reliabilities({("phone", (1, 0, 1, 0, 0)): 50, ("phone", (-1, 0, 0, -1, 0)): 80, ("phone", (1, 0, 0, 0, 0)): 20})
+    assert p["phone", (1, 0, 1, 0, 0)] > 0.9 and p["phone", (-1, 0, 0, -1, 0)] < 0.1
+
+
+@pytest.mark.parametrize("bits", [64, 3])
+def test_exact_dedup(spark, docs, odd, bits):
+    rows = [*odd, (20, "x y"), (21, "xy "), (22, " x\ty\n\n"), (23, "x\xa0y"), *((30 + i, f"t{i % 9}") for i in range(40))]
+    out = got(op6.exact_dedup(docs(*rows).repartition(4), bits=bits, capacity=4))
+    groups = collections.defaultdict(list)
+    for d, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), d is None, d or 0))
+    assert len(out) == len(rows) and sum(r["kept"] for r in out) == len(groups)
+    by_sha = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
+    for r in out:
+        best = min(by_sha[r["text_sha256"]])
+        assert r["group_size"] == len(by_sha[r["text_sha256"]]) and r["keep_id"] == (None if best[1] else best[2])
+
+
+def test_extendible_hash():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(1))
+    buckets = op6.split_buckets(keys, 64)
+    assert sorted(np.concatenate([b[2] for b in buckets]).tolist()) == list(range(len(keys)))
+    for prefix, depth, at in buckets:
+        assert len(at) <= 64 and (not depth or (keys[at] >> np.uint64(64 - depth) == np.uint64(prefix >> (64 - depth))).all())
+    assert len(op6.split_buckets(np.full(100, 7, np.uint64), 8)) == 1
+
+
+def test_toxicity(spark):
+    d = "/root/testdata/sf0.01"
+    labels = {x["doc_id"]: x["toxic"] for x in pq.read_table(f"{d}/labels.parquet").to_pylist()}
+    got_ = {x["doc_id"]: x for x in got(queries.queries()["op7_toxicity"](spark, d))}
+    bad = [got_[k]["severity"] for k, v in labels.items() if v == 1]
+    good = [got_[k]["severity"] for k, v in labels.items() if v == 0]
+    assert np.mean(bad) > 5 * np.mean(good) and np.mean([s > 0.5 for s in good]) < 0.02
+
+
+def test_cumulative_link():
+    rng = np.random.default_rng(0)
+    grade = rng.integers(0, 4, 600)
+    w, bounds = op7.fit([([0, 1], [float(g + rng.normal(0, 0.4)), 1.0]) for g in grade], grade, 2, 4)
+    assert (np.diff(bounds) > 0).all() and w[0] > 1
+
+
+def test_shards(spark, docs, odd):
+    rows = [*odd, *((100 + i, "same text") for i in range(300)), *((500 + i, "z" * (i % 97)) for i in range(300))]
+    out = got(op8.histogram_shards(docs(*rows).repartition(5), 6))
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r[0]) for r in rows)
+    texts = collections.Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == texts
+    total, most = sum(r["size"] for r in out), max(r["size"] for r in out)
+    for k in range(6):
+        mine = [r for r in out if r["shard"] == k]
+        assert sorted(r["slot"] for r in mine) == list(range(len(mine)))
+        assert abs(sum(r["size"] for r in mine) - total / 6) <= most + total * 0.001
+
+
+def test_packing(spark, docs, odd):
+    file = op9.tokenizer_file()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(file)
+    rnd = random.Random(5)
+    rows = [*odd, *((100 + i, "".join(rnd.choice("abcXYZ's 'Re \t.,!|²ºßİɏÉ9<|>\xa0\x85αΣ中") for _ in range(rnd.randint(0, 300)))) for i in range(60)), (300, "<|endoftext|> x")]
+    out = got(op9.pack(docs(*rows).repartition(3)))
+    want = {}
+    for d, x in rows:
+        want.setdefault(d, []).append(np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4"))
+    pieces, seqs = collections.defaultdict(list), collections.defaultdict(list)
+    for r in out:
+        pieces[r["row"]].append(r)
+        seqs[r["sequence_id"]].append(r)
+    assert len(pieces) == len(rows)
+    for ps in pieces.values():
+        ps.sort(key=lambda r: r["start"])
+        assert any(ps[0]["doc_tokens"] == len(ids) and [(p["start"], p["length"], p["ids_crc32"]) for p in ps] == [(i, min(2048, len(ids) - i), zlib.crc32(ids[i : i + 2048].tobytes())) for i in range(0, len(ids), 2048)] for ids in want[ps[0]["doc_id"]])
+    for ps in seqs.values():
+        ps.sort(key=lambda r: r["offset"])
+        assert [p["offset"] for p in ps] == np.cumsum([0, *(p["length"] for p in ps)])[:-1].tolist() and sum(p["length"] for p in ps) <= 2048
+    assert sorted(seqs) == list(range(len(seqs)))
+
+
+def test_shortest_pack_first():
+    rnd = random.Random(2)
+    histogram = {n: rnd.randint(1, 60) for n in range(1, 2049, 3)}
+    patterns = op9.shortest_pack_first(histogram)
+    used = collections.Counter()
+    for n, lengths in patterns:
+        assert sum(lengths) <= 2048
+        for x in lengths:
+            used[x] += n
+    assert used == histogram and sum(n for n, _ in patterns) < 1.03 * sum(k * v for k, v in histogram.items()) / 2048 + 1
+
+
+def windows(words):
+    n = min(len(words), 13)
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
+
+
+def test_decontamination(spark, docs):
+    rnd = random.Random(9)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    vocabulary = "alpha Beta gamma élan ΑΣ ÉTÉ x1".split()
+    some = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    items = [(1, some(30)), (2, some(5)), (3, "beta"), (10, some(13)), (11, None), (12, "..."), (None, some(14)), (2, "unique words here twice"), (13, items_text := some(20))]
+    rows = [(i, some(rnd.randint(0, 60)) + ", " + (rnd.choice(items)[1] or "") + ". " + some(rnd.randint(0, 10))) for i in range(40)] + [(50, None), (51, ""), (52, items_text), (52, items_text), (None, items_text.upper())]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got(op10.decontaminate(docs(*rows), bench)))
+    want = collections.Counter()
+    for d, t in rows:
+        w, hit, ids = words(t), set(), set()
+        for item, x in items:
+            for win in windows(words(x)):
+                for i in range(len(w) - len(win) + 1):
+                    if tuple(w[i : i + len(win)]) == win:
+                        hit |= set(range(i, i + len(win)))
+                        ids |= {str(item)} - {"None"}
+        want[d, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)] += 1
+    assert out == want
+
+
+OPERATORS = {
+    "simhash": op1.simhash_components, "suffix": op2.dedup_spans, "lm": op3.score_texts, "language": op4.identify, "pii": op5.find_personal_data, "exact": op6.exact_dedup,
+    "toxicity": lambda d: op7.severity(d, d.sparkSession.createDataFrame([], "doc_id long, grade int")), "shards": op8.histogram_shards, "pack": op9.pack,
+    "decontaminate": lambda d: op10.decontaminate(d, d.sparkSession.createDataFrame([], "item_id long, text string")),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_and_odd(docs, odd, name):
+    assert OPERATORS[name](docs()).collect() == []
+    out = OPERATORS[name](docs(*odd)).collect()
+    assert len(out) >= len(odd) if name == "pack" else len(out) == len(odd)
