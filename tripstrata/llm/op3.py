@@ -12,9 +12,10 @@
 from __future__ import annotations
 
 import json
-import os
+import mmap
 import tempfile
 from collections.abc import Iterator
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,19 @@ def grouped(df: DataFrame, f, kinds: str) -> DataFrame:
     return df.groupBy("part").applyInArrow(f, kinds)
 
 
+def fetched(uri: str) -> IO[bytes]:
+    """A temporary copy of a file in a store that can't be mapped."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(uri)
+    out = tempfile.TemporaryFile()
+    with system.open_input_stream(at) as data:
+        while block := data.read(1 << 24):
+            out.write(block)
+    out.flush()
+    return out
+
+
 class Model:
     """The mapped shards and the constants of a trained model."""
 
@@ -130,17 +144,10 @@ class Model:
         if name not in self.maps:
             uri = f"{self.root}/{name}"
             path = local_path(uri)
-            if path is None:
-                from pyarrow import fs
-
-                system, at = fs.FileSystem.from_uri(uri)
-                with tempfile.NamedTemporaryFile() as out, system.open_input_stream(at) as data:
-                    while block := data.read(1 << 24):
-                        out.write(block)
-                    out.flush()
-                    self.maps[name] = np.memmap(out.name, kind, "r") if out.tell() else np.zeros(0, kind)
-            else:
-                self.maps[name] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+            with open(path, "rb") if path else fetched(uri) as f:
+                # without a descriptor of its own: a model may have more shards than a process may have open files
+                held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False) if f.seek(0, 2) else b""
+            self.maps[name] = np.frombuffer(held, kind)
         return self.maps[name]
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
