@@ -29,10 +29,11 @@ from tripstrata.llm.op3 import Model, grouped, packed, split_by, unpacked
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text for each owner; minimizers and contexts that a map task gathers at a time; memory of an owner's queues.
-OWNER_BYTES, MINIMIZERS, CONTEXTS, QUEUE_BYTES = 16 << 20, 4_000_000, 200_000, 256 << 20
+OWNER_BYTES, MINIMIZERS, CONTEXTS, QUEUE_BYTES = 2 << 20, 1_000_000, 60_000, 64 << 20
 #: Longer texts are looked through in pieces that overlap by LENGTH - 1.
 PIECE = 1 << 23
 NO_ID = (1 << 63) - 1
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def minimizers(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,8 +118,15 @@ def dedup_spans(docs: DataFrame, owner_bytes: int = OWNER_BYTES, queue_bytes: in
     left of other texts. Rows with one doc_id take nothing from each other; a null doc_id comes after all others. Other columns are
     ignored; an empty table gives no rows.
     """
-    with Scratch(docs.sparkSession) as s:
-        return s.keep(_dedup_spans(docs, s, owner_bytes, queue_bytes))
+    conf = docs.sparkSession.conf
+    before = conf.get(BATCH)
+    # whole texts go to Python in small batches: two tasks' copies of a batch would be most of what an executor holds
+    conf.set(BATCH, "500")
+    try:
+        with Scratch(docs.sparkSession) as s:
+            return s.keep(_dedup_spans(docs, s, owner_bytes, queue_bytes))
+    finally:
+        conf.set(BATCH, before)
 
 
 def _dedup_spans(docs: DataFrame, s: Scratch, owner_bytes: int, queue_bytes: int) -> DataFrame:
