@@ -32,3 +32,20 @@ def test_run(spark):
 def test_repeated_rows(spark, docs, odd):
     out = p.exact_dedup(spark, docs(*odd), "")
     assert [r["doc_id"] for r in out.collect()].count(4) == 1
+
+
+def test_other_splits(spark, docs, tmp_path):
+    """The rows that a stage drops don't depend on how a later plan cuts the input."""
+    word = lambda i: f"word{i} other{i * 7} third{i * 13} last{i * 31}"
+    docs(*((i, word(i % 40), "en") for i in range(60))).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs(*((60 + i, word(20 + i), "en") for i in range(40))).repartition(5).write.mode("append").parquet(str(tmp_path / "docs"))
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = {k: spark.conf.get(k) for k in (size, cost)}
+    try:
+        kept = p.exact_dedup(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+        spark.conf.set(size, "3000")
+        spark.conf.set(cost, "1")
+        assert sorted(r["doc_id"] for r in kept.collect()) == [*range(40), *range(80, 100)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

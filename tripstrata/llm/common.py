@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # workers get this package's functions by value: they need not have it on their path
@@ -117,10 +117,29 @@ def write_file(uri: str, data: bytes) -> None:
 BROADCAST_ROWS = 500_000
 
 
+#: The column of a row's number in a table that numbered() wrote.
+AT = "__at"
+
+
+def row_number(column: str | None) -> Column:
+    """The numbers in `column`; without one, numbers that hold only within the plan that makes them."""
+    return F.monotonically_increasing_id() if column is None else F.col(column)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with row numbers (AT), written once: every plan that reads it sees the same numbers, however it is cut.
+
+    The table stays for whoever reads it: its path is in `_scratch_path`.
+    """
+    with Scratch(docs.sparkSession) as s:
+        return s.keep(docs.withColumn(AT, F.monotonically_increasing_id()))
+
+
 def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """`docs` without the rows numbered in `rows` (row): monotonically_increasing_id() over the same input gives the same numbers."""
+    """`docs`, a table of numbered(), without the rows numbered in `rows` (row) and without the numbers."""
     rows = rows.select(F.col("row").alias("__row"))
     if rows.count() <= BROADCAST_ROWS:
         rows = F.broadcast(rows)
-    numbered = docs.withColumn("__at", F.monotonically_increasing_id())
-    return numbered.join(rows, F.col("__at") == F.col("__row"), "left_anti").drop("__at")
+    out = docs.join(rows, F.col(AT) == F.col("__row"), "left_anti").drop(AT)
+    out._reads = docs
+    return out

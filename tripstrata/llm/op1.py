@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm.common import Scratch, table
+from tripstrata.llm.common import Scratch, row_number, table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 
@@ -90,7 +90,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         state = (seen["n"], seen["h"])
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id, row, first.
 
     Fingerprints at RADIUS or fewer differing bits are linked (midpoints are made for a radius of 2); component_id is the smallest doc_id reachable. A null or
@@ -104,7 +104,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["row", "doc_id", "fp"])
 
     with Scratch(docs.sparkSession) as s:
-        text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        text = docs.select(row_number(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         prints = s.save(text.mapInArrow(prints_of, "row long, doc_id long, fp long"), "prints")
         # the fingerprint itself is the node; bitwise order does for that
         nodes = s.save(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")), "nodes")

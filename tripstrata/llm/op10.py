@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm.common import Scratch, table
+from tripstrata.llm.common import Scratch, row_number, table
 
 WINDOW = 13
 SHINGLE = 4
@@ -71,7 +71,7 @@ def found_of(size: int, hashes: Column, n: Column, marks: Column, bits: int) ->
     return F.transform(both, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20, filter_bits: int = FILTER_BITS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20, filter_bits: int = FILTER_BITS, row: str | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, row.
 
     Contaminated: some word is hit and hit words are at least one in `share`. A null or empty text has no words and hits
@@ -94,7 +94,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         )
         sizes = [x["size"] for x in of_window.select("size").distinct().orderBy("size").collect()]
 
-        base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), "text").withColumn("folded", folded_words(F.col("text")))
+        base = docs.select(row_number(row).alias("row"), F.col("doc_id"), "text").withColumn("folded", folded_words(F.col("text")))
         n = F.size("folded")
         found = F.array().cast("array<struct<pos:int,size:int>>")
         for size in sizes:

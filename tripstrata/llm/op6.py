@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm.common import Scratch, columns, table
+from tripstrata.llm.common import Scratch, columns, row_number, table
 
 #: Deleted before texts are compared: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
@@ -96,8 +96,9 @@ def build_index(keys: DataFrame, n_ranges: int, capacity: int = BUCKET) -> DataF
     return dealt.groupBy("owner").applyInArrow(owner, "owner long, prefix long, depth int, page int, keys array<long>, counts array<long>")
 
 
-def exact_dedup(docs: DataFrame, bits: int = 64, capacity: int = BUCKET, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, n_code_points, row (its place in the input).
+def exact_dedup(docs: DataFrame, bits: int = 64, capacity: int = BUCKET, filter_bits: int = FILTER_BITS, row: str | None = None) -> DataFrame:
+    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, n_code_points, row (its place in the input, or
+    its number in the column of that name).
 
     A null text counts as empty; empty texts equal each other. Of equal texts the longest original stays, then the
     smallest doc_id (null last), then one of the repeated rows: just one row of a group has kept = true.
@@ -105,7 +106,7 @@ def exact_dedup(docs: DataFrame, bits: int = 64, capacity: int = BUCKET, filter_
     number of keys; no group is gathered anywhere.
     """
     spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row_number(row).alias("row"))
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
