@@ -254,6 +254,22 @@ def test_shortest_pack_first():
     assert used == histogram and sum(n for n, _ in patterns) < 1.03 * sum(k * v for k, v in histogram.items()) / 2048 + 1
 
 
+@pytest.mark.parametrize("hot", [150, 600, 40])
+def test_hot_length(hot):
+    """Pieces of one length share packs."""
+    lengths = np.clip(np.random.default_rng(4).lognormal(5, 1, 30_000).astype(int), 1, 2048)
+    lengths[:10_000] = hot
+    histogram = collections.Counter(lengths.tolist())
+    patterns = op9.shortest_pack_first(histogram)
+    used = collections.Counter()
+    for n, ks in patterns:
+        assert sum(ks) <= 2048
+        for x in ks:
+            used[x] += n
+    assert used == histogram and sum(n for n, _ in patterns) < 1.02 * lengths.sum() / 2048 + 1
+    assert sum(n for n, _ in op9.shortest_pack_first({300: 20})) == 4
+
+
 def windows(words):
     n = min(len(words), 13)
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()

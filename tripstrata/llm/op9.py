@@ -2,7 +2,7 @@
 
 Documents are tokenised and cut into full sequences and a rest. The histogram of piece lengths (one row per length, so at
 most `width` rows) goes to the driver, which places lengths longest first into the pack with the most room and updates
-pattern counts; a piece finds its pattern by its rank among the pieces of its length.
+pattern counts; pieces that fit nowhere open packs that hold as many of their length as there is room for. A piece finds its pattern by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -106,8 +106,11 @@ def shortest_pack_first(histogram: dict[int, int], width: int = WIDTH) -> list[t
         while left:
             fits = np.flatnonzero(rooms[length:])
             if not len(fits):
-                by_room[width - length].append((left, [length]))
-                rooms[width - length] = True
+                each = width // length
+                for n, k in ((left // each, each), (1, left % each)):
+                    if n and k:
+                        by_room[width - k * length].append((n, [length] * k))
+                        rooms[width - k * length] = True
                 break
             room = length + int(fits[-1])
             count, lengths = by_room[room].pop()
