@@ -1,5 +1,7 @@
 """The pipeline: what each stage keeps, on planted rows and on odd ones."""
 
+import random
+
 import corpus_pipeline as p
 from tripstrata.llm import op1
 
@@ -49,3 +51,28 @@ def test_other_splits(spark, docs, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_near_copies(spark, docs):
+    """Texts of a 5-word similarity of 0.8 or more are found at any number of differing bits, others stay; a large group too."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for i in range(120):
+        base = [word() for _ in range(rnd.randint(60, 200))]
+        rows.append((1000 * i, " ".join(base)))
+        for k in range(40 if i == 0 else 2):
+            copy = list(base)
+            for _ in range(rnd.choice([1, 2, len(base) // 60 + 1, len(base) // 20])):
+                copy[rnd.randrange(len(base))] = word()
+            rows.append((1000 * i + 1 + k, " ".join(copy)))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    part = {d: d for d in sets}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if a // 1000 == b // 1000 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    part[a] = part[b] = min(part[a], part[b])
+    first = {min(x for x in part if part[x] == c) for c in part.values()}
+    out = [r["doc_id"] for r in p.near_dedup(spark, docs(*rows).repartition(3), "").collect()]
+    assert len(first) < len(rows) - 80 and sorted(out) == sorted(first)
