@@ -160,6 +160,16 @@ def test_weak_spans(spark, docs):
     assert out[0] == "phone:18:32" and out[100] == ""
 
 
+@pytest.mark.parametrize("text", ["jane at example (dot) com", "jane at example[dot]com", "jane(at)example dot com"])
+def test_written_address(text):
+    assert op5.candidates(text) == [("email", 0, len(text))]
+
+
+def test_many_zeros():
+    text = f"1.2.3.{'0' * 5000}4"
+    assert op5.base_spans(text)["ip"] == [(0, len(text))]
+
+
 def test_reliabilities():
     p = op5.reliabilities({("phone", (1, 0, 1, 0, 0)): 50, ("phone", (-1, 0, 0, -1, 0)): 80, ("phone", (1, 0, 0, 0, 0)): 20})
     assert p["phone", (1, 0, 1, 0, 0)] > 0.9 and p["phone", (-1, 0, 0, -1, 0)] < 0.1

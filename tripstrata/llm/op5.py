@@ -87,7 +87,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE_KINDS}
     found["email"] = emails(text)
     if DIGIT.search(text):
-        found["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        found["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split("."))]
         for m in CARD.finditer(text):
             digits = digits_of(m.group())
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -105,7 +105,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             kind = "id" if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", m.group()) else "phone" if 7 <= n <= 12 else "card"
             out.append((kind, *m.span()))
         out += [("iban", *m.span()) for m in ACCOUNT.finditer(text)]
-    if "(at)" in text or "[at]" in text or " dot " in text:
+    if any(x in text for x in ("(dot)", "[dot]", " dot ")):
         out += [("email", *m.span()) for m in WRITTEN.finditer(text)]
     if any(t in text for t in TITLES):
         out += [("name", *m.span(1)) for m in TITLED.finditer(text)]
