@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tripstrata.llm import induced, op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, queries
+from tripstrata.llm import induced, op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, queries, runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,7 +81,7 @@ def test_suffix_dedup(spark, docs, letters):
     shared = [word(rnd.randint(45, 200)) for _ in range(4)]
     texts = [(i, "".join(rnd.choice([word(rnd.randint(0, 90)), rnd.choice(shared)[rnd.randint(0, 9) :]]) for _ in range(rnd.randint(0, 5)))) for i in range(40)]
     want = removed([(d, t.encode()) for d, t in texts])
-    for r in got(op2.dedup_spans(docs(*texts).repartition(3), owner_bytes=1000, queue_bytes=3000)):
+    for r in got(op2.dedup_spans(docs(*texts).repartition(3), owner_bytes=1000, fine_bytes=300, block_bytes=500, queue_bytes=3000)):
         assert (r["n_removed"], r["kept_sha256"], r["n_spans"]) == want[r["doc_id"]]
 
 
@@ -90,12 +90,77 @@ def test_induced_sorting():
     for _ in range(150):
         parts = [[rnd.randint(2, 1 + rnd.choice([1, 2, 20])) for _ in range(rnd.randint(0, 90))] for _ in range(rnd.randint(1, 4))]
         text = [x for p in [*parts, parts[0][2:]] for x in [*p, 1]] + [0]
-        order, shared = induced.suffix_order(np.array(text, np.uint16), limit=rnd.choice([10, 1 << 20]))
+        blocks = list(induced.suffixes_down(np.array(text, np.uint16), rnd.choice([10, 1 << 20])))
+        order, shared = (np.concatenate(x) for x in zip(*blocks, strict=True))
         tails = [text[i:] for i in order]
         assert sorted(order.tolist()) == list(range(len(text)))
         for a, b, k in zip(tails, tails[1:], shared[1:].tolist(), strict=False):
             n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-            assert a[:60] <= b[:60] and min(n, 50) == min(k, 50)
+            assert a[:60] >= b[:60] and min(n, 50) == min(k, 50)
+
+
+def contexts_of(texts, each):
+    """Pieces of contexts as op2 sends them, all with one minimizer."""
+    for at in range(0, len(texts), each):
+        part = texts[at : at + each]
+        key = np.frombuffer(b"".join(hashlib.md5(x).digest() for _, x in part), np.uint64).reshape(-1, 2)
+        yield np.full(len(part), 7, np.uint64), key[:, 0], key[:, 1], np.array([d for d, _ in part]), np.array([len(x) for _, x in part], np.int32), np.frombuffer(b"".join(x for _, x in part), np.uint8)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 3000, 800])
+def test_runs(block_bytes):
+    """One minimizer with many contexts: sorted in one block, or in many and merged."""
+    rnd = random.Random(block_bytes)
+    core = bytes(rnd.choices(b"ab\0", k=20))
+    texts = [(rnd.randint(1, 999), (x := bytes(rnd.choices(b"ab\0", k=rnd.randint(15, 33)))) + core + x[:rnd.randint(15, 30)]) for _ in range(300)]
+    texts += [(5000 + i, x) for i, (_, x) in enumerate(texts[:50])]
+    least = {}
+    for d, x in texts:
+        for i in range(len(x) - 49):
+            least[x[i : i + 50]] = min(d, least.get(x[i : i + 50], d))
+    of = {hashlib.md5(x).digest(): x for _, x in texts}
+    seen = set()
+    for _, hi, lo, start, count, values in runs.smallest_by_context(contexts_of(texts, 40), block_bytes, 2000, 3):
+        for a, b, s, n in zip(hi, lo, start, count, strict=True):
+            x = of[a.tobytes() + b.tobytes()]
+            want = [least[x[i : i + 50]] for i in range(len(x) - 49)]
+            assert values[s : s + n].tolist() in ([want] if n > 1 else [want, list(set(want))])
+            seen.add(x)
+    assert seen == set(of.values())
+
+
+def test_runs_need_no_more_memory():
+    """Ten times the contexts of one minimizer: the same peak."""
+    import tracemalloc
+
+    def peak(n):
+        rng = np.random.default_rng(1)
+        texts = [(i % 99, rng.integers(97, 101, 25, np.uint8).tobytes() + b"x" * 20 + rng.integers(97, 101, 25, np.uint8).tobytes()) for i in range(n)]
+        pieces = contexts_of(texts, 200)
+        tracemalloc.start()
+        for _ in runs.smallest_by_context(pieces, 30_000, 50_000, 4):
+            pass
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+
+    assert peak(20_000) < 2 * peak(2000)
+
+
+def test_shards_are_found_fast(tmp_path):
+    """The time of a lookup doesn't follow the number of shards."""
+    import time
+
+    def seconds(bits):
+        model = op2.Index(str(tmp_path), {"bits": bits, "more": 0, "common": {i: "m" for i in range(0, 1 << bits, 2)}})
+        (tmp_path / "m.hash").write_bytes(np.array([5], np.uint64).tobytes())
+        hashes = np.random.default_rng(0).integers(0, 1 << 63, 20_000).astype(np.uint64)
+        began = time.time()
+        op2.known(model, hashes)
+        return time.time() - began
+
+    seconds(8)
+    assert seconds(16) < 1.0
 
 
 def test_lm(spark, table):

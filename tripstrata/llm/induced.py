@@ -1,17 +1,19 @@
-"""Induced sorting of a shard's suffixes with common-prefix values, through disk-backed queues.
+"""Induced sorting of the suffixes of a block of strings with common-prefix values, through disk-backed queues, in a stream.
 
 A suffix is L if it is larger than the one that follows it, else S. Sorted S suffixes that follow an L (the seeds) induce all L
 suffixes in ascending order, and those all S suffixes in descending order. The priority queue of both passes is keyed by
 first symbol and, within it, by time of insertion, as suffixes are inserted in the order in which they leave; so it is
-a queue of blocks per symbol, kept on disk beyond a limit. A tuple is a suffix and the length of the prefix that it shares with
-the tuple before it, which is one more than the least such length between the suffixes that induced the two.
-Whole blocks move at a time, so numpy does the work.
+a queue per symbol. A tuple is a suffix and the length of the prefix that it shares with the tuple before it, which is one more
+than the least such length between the suffixes that induced the two. Queues and the output of the first pass lie on disk beyond
+a limit, blocks of tuples move at a time, and the second pass's output is handed on block by block: in memory are the text,
+its types and the seeds.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections import deque
+from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -20,36 +22,49 @@ END, STOP, SYMBOLS = 0, 1, 258
 #: Seeds are sorted by so many symbols; the order of longer common prefixes is left open, as no one asks for it.
 DEPTH, FIELD = 63, 7
 CAP = 255
+#: Tuples that move at a time.
+MOVED = 1 << 15
 
 
 class Queues:
-    """A queue of (suffix, shared) blocks per symbol; blocks beyond `limit` bytes in all lie in a temporary file."""
+    """Queues by number, of blocks of arrays; what is beyond `limit` bytes in all lies in a temporary file."""
 
     def __init__(self, limit: int):
-        self.limit, self.size, self.file = limit, 0, None
-        self.blocks: list[deque] = [deque() for _ in range(SYMBOLS)]
+        self.limit, self.size, self.file, self.kinds = limit, 0, None, ()
+        self.blocks: defaultdict[int, deque] = defaultdict(deque)
 
-    def push(self, symbol: int, at: np.ndarray, shared: np.ndarray) -> None:
-        if self.size + at.nbytes + len(shared) > self.limit:
+    def push(self, i: int, *arrays: np.ndarray) -> None:
+        self.kinds = tuple(a.dtype for a in arrays)
+        size = sum(a.nbytes for a in arrays)
+        if self.size + size > self.limit:
             self.file = self.file or tempfile.TemporaryFile()
             place = self.file.seek(0, 2)
-            self.file.write(at.tobytes() + shared.tobytes())
-            self.blocks[symbol].append((place, len(at)))
+            self.file.write(b"".join(a.tobytes() for a in arrays))
+            self.blocks[i].append((place, [len(a) for a in arrays]))
         else:
-            self.size += at.nbytes + len(shared)
-            self.blocks[symbol].append((at, shared))
-
-    def pop_all(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
-        got = []
-        while self.blocks[symbol]:
-            a, b = self.blocks[symbol].popleft()
-            if isinstance(a, int):
-                self.file.seek(a)
-                a, b = np.frombuffer(self.file.read(8 * b), np.int64), np.frombuffer(self.file.read(b), np.uint8)
-            else:
-                self.size -= a.nbytes + len(b)
-            got.append((a, b))
-        return (np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])) if got else None
+            self.size += size
+            # copies: a slice would keep all of the array it was cut from
+            self.blocks[i].append((None, [a.copy() for a in arrays]))
+
+    def _loaded(self, block: tuple) -> list[np.ndarray]:
+        place, held = block
+        if place is None:
+            self.size -= sum(a.nbytes for a in held)
+            return held
+        self.file.seek(place)
+        return [np.frombuffer(self.file.read(n * k.itemsize), k) for n, k in zip(held, self.kinds, strict=True)]
+
+    def pop(self, i: int, most: int = MOVED) -> list[np.ndarray] | None:
+        """The next blocks of queue i, joined, until they have `most` items."""
+        got, n = [], 0
+        while self.blocks[i] and n < most:
+            got.append(self._loaded(self.blocks[i].popleft()))
+            n += len(got[-1][0])
+        return [np.concatenate(x) for x in zip(*got, strict=True)] if got else None
+
+    def pop_last(self, i: int) -> list[np.ndarray] | None:
+        """The block that came last into queue i."""
+        return self._loaded(self.blocks[i].pop()) if self.blocks[i] else None
 
 
 def range_min(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -95,6 +110,15 @@ class Inducer:
             last = int(take[b - 1]) + 1
             self.least[symbol[a]] = rest[last] if last < len(rest) else CAP
 
+    def popped(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The queue of a symbol in blocks, also what is pushed meanwhile; the first shares nothing with other symbols."""
+        new = True
+        while (block := self.queues.pop(symbol)) is not None:
+            at, shared = block
+            if new:
+                shared[0], new = 0, False
+            yield at, shared
+
 
 def sorted_seeds(text: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Seeds sorted by their first DEPTH symbols, and what each shares with the one before it."""
@@ -122,63 +146,54 @@ def sorted_seeds(text: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, shared
 
 
-def suffix_order(text: np.ndarray, limit: int = 256 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of `text` (symbols, the last one END, no other) sorted by DEPTH symbols at least, and the length that each
-    shares with the one before it; lengths over DEPTH may be too large or too small, but not below DEPTH."""
-    n = len(text)
-    unlike = np.concatenate([text[:-1] != text[1:], [True]])
-    run_end = np.minimum.accumulate(np.where(unlike, np.arange(n), n - 1)[::-1])[::-1]
-    after = np.concatenate([text[1:], [SYMBOLS]])
-    small = after[run_end] > text
-    small[-1] = True
-    seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    seeds, seeds_shared = sorted_seeds(text, seeds)
+def small_types(text: np.ndarray) -> np.ndarray:
+    """Which suffixes are S: the symbol after the run of a suffix's first symbol is larger. The last one is."""
+    ends = np.append(np.flatnonzero(text[1:] != text[:-1]), len(text) - 1)
+    small = np.append(text[ends[:-1] + 1] > text[ends[:-1]], True)
+    return np.repeat(small, np.diff(ends, prepend=-1))
+
+
+def suffixes_down(text: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Suffixes of `text` (symbols, the last one END, no other) in descending order of their first DEPTH symbols at least, in
+    blocks, and the length that each shares with the one before it; lengths over DEPTH may be off, but not below DEPTH."""
+    small = small_types(text)
+    seeds, seeds_shared = sorted_seeds(text, np.flatnonzero(small[1:] & ~small[:-1]) + 1)
     cuts = np.searchsorted(text[seeds], np.arange(SYMBOLS + 1))
 
-    def seam(large_end: np.ndarray, small_start: np.ndarray) -> np.uint8:
+    def seam(large: int | None, least_small: int | None) -> np.uint8:
         """What a symbol's last L suffix shares with its first S suffix: the shorter run of the symbol."""
-        if not len(large_end) or not len(small_start):
+        if large is None or least_small is None:
             return np.uint8(0)
-        a, b = large_end[-1], small_start[0]
-        return np.uint8(min(run_end[a] - a + 1, run_end[b] - b + 1, CAP))
-
-    up = Inducer(text, small, False, limit)
-    large: list[tuple[np.ndarray, np.ndarray]] = []
+        runs = []
+        for x in (large, least_small):
+            other = np.flatnonzero(text[x : x + CAP] != text[x])
+            runs.append(int(other[0]) if len(other) else CAP)
+        return np.uint8(min(*runs, CAP))
+
+    up = Inducer(text, small, False, limit // 2)
+    passed = Queues(limit // 2)
+    last_large: list[int | None] = [None] * SYMBOLS
     for c in range(SYMBOLS):
-        blocks = []
-        while (block := up.queues.pop_all(c)) is not None:
-            at, shared = block
-            if not blocks:
-                shared = shared.copy()
-                shared[0] = 0
-            blocks.append((at, shared))
+        for at, shared in up.popped(c):
+            passed.push(c, at, shared)
+            last_large[c] = int(at[-1])
             up.feed(at, shared)
-        all_at = np.concatenate([x[0] for x in blocks]) if blocks else np.zeros(0, np.int64)
-        large.append((all_at, np.concatenate([x[1] for x in blocks]) if blocks else np.zeros(0, np.uint8)))
-        at, shared = seeds[cuts[c] : cuts[c + 1]], seeds_shared[cuts[c] : cuts[c + 1]].copy()
-        if len(at):
-            shared[0] = seam(all_at, at)
+        for a in range(cuts[c], cuts[c + 1], MOVED):
+            at, shared = seeds[a : min(a + MOVED, cuts[c + 1])], seeds_shared[a : min(a + MOVED, cuts[c + 1])].copy()
+            if a == cuts[c]:
+                shared[0] = seam(last_large[c], int(at[0]))
             up.feed(at, shared)
-    down = Inducer(text, small, True, limit)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    del seeds, seeds_shared, up
+    down = Inducer(text, small, True, limit // 2)
     for c in range(SYMBOLS - 1, -1, -1):
-        blocks = [(np.array([n - 1]), np.zeros(1, np.uint8))] if c == END else []
-        while c != END and (block := down.queues.pop_all(c)) is not None:
-            at, shared = block
-            if not blocks:
-                shared = shared.copy()
-                shared[0] = 0
-            blocks.append((at, shared))
+        least_small = None
+        for at, shared in [(np.array([len(text) - 1]), np.zeros(1, np.uint8))] if c == END else down.popped(c):
+            least_small = int(at[-1])
+            down.feed(at, shared)
+            yield at, shared
+        carry = seam(last_large[c], least_small)
+        while (block := passed.pop_last(c)) is not None:
+            at, shared = block[0][::-1], np.append(carry, block[1][:0:-1]).astype(np.uint8)
+            carry = block[1][0]
             down.feed(at, shared)
-        at = np.concatenate([x[0] for x in blocks]) if blocks else np.zeros(0, np.int64)
-        shared = np.concatenate([x[1] for x in blocks]) if blocks else np.zeros(0, np.uint8)
-        large_at, large_shared = large[c]
-        joint = seam(large_at, at[::-1])
-        if len(large_at):
-            back = np.concatenate([[joint], large_shared[1:][::-1]]).astype(np.uint8)
-            down.feed(large_at[::-1], back)
-        # ascending: L, then S; what the descending block shares with the one before it becomes what the next one shares
-        small_shared = np.concatenate([[joint], shared[1:][::-1]]).astype(np.uint8) if len(at) else shared
-        out.append((np.concatenate([large_at, at[::-1]]), np.concatenate([large_shared, small_shared])))
-    out.reverse()
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+            yield at, shared

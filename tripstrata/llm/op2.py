@@ -5,11 +5,13 @@ strings have equal minimizers, so:
 1. Map tasks send the distinct hashes of their minimizers to owners, who write those that two documents have as sorted shards.
 2. Map tasks map these shards and send, for each such minimizer, its context: the bytes of all the strings that have it.
    Equal contexts go as one, with their smallest doc_id, so copies don't multiply.
-3. An owner of hashes lays its distinct contexts end to end, sorts their suffixes by external induced sorting with common
-   prefixes (induced.py) and cuts the order where less than LENGTH is shared: each piece is one string, and its smallest doc_id
-   goes to every place of it. The results, one per distinct context, are sorted shards again.
+3. An owner of hashes deals its contexts on by further bits, lays the distinct ones end to end, block by block, and sorts each
+   block's suffixes by induced sorting with disk-backed queues and common-prefix values (induced.py). Where less than LENGTH is
+   shared a new string begins, and its smallest doc_id goes to every place of it. Contexts of one minimizer that fill more than
+   one block become sorted runs on disk, kept without the prefixes that neighbours share, which are merged.
+   The results, one per distinct context, are sorted shards again.
 4. Map tasks look their contexts up and mark what goes.
-Texts are never joined to results by a shuffle, and no task holds a document group.
+Texts are never joined to results by a shuffle; no task holds a document group or all contexts of a minimizer.
 """
 
 from __future__ import annotations
@@ -23,17 +25,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm.common import Scratch, parts_for, table, text_bytes, write_file
-from tripstrata.llm.induced import END, STOP, suffix_order
-from tripstrata.llm.op3 import Model, grouped, packed, split_by, unpacked
+from tripstrata.llm.common import Scratch, table, text_bytes
+from tripstrata.llm.op3 import Model
+from tripstrata.llm.runs import BLOCK_BYTES, LENGTH, QUEUE_BYTES, smallest_by_context
+from tripstrata.llm.shards import Shard, bits_for, by_part, finer, packed, split_by, unpacked
 
-LENGTH, GRAM = 50, 16
-#: Bytes of text for each owner; minimizers and contexts that a map task gathers at a time; memory of an owner's queues.
-OWNER_BYTES, MINIMIZERS, CONTEXTS, QUEUE_BYTES = 2 << 20, 1_000_000, 60_000, 64 << 20
+GRAM = 16
+#: Bytes of text for each owner, and for what it sorts at a time; minimizers and contexts that a map task gathers at a time.
+OWNER_BYTES, FINE_BYTES, MINIMIZERS, CONTEXTS = 4 << 20, 2 << 20, 500_000, 60_000
 #: Longer texts are looked through in pieces that overlap by LENGTH - 1.
 PIECE = 1 << 23
 NO_ID = (1 << 63) - 1
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of a batch that goes to Python.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def minimizers(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,12 +67,13 @@ def minimizers(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def known(model: Model, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes the shards m* have."""
+    """Which hashes the owners' shards have."""
     order = np.argsort(hashes)
     out = np.zeros(len(hashes), bool)
     for part, x in split_by(model.about["bits"], hashes[order]):
-        if part in model.about["common"]:
-            shard, q = model.array(f"m{part}", "<u8"), hashes[order[x]]
+        name = model.about["common"].get(part)
+        if name is not None:
+            shard, q = model.array(f"{name}.hash", "<u8"), hashes[order[x]]
             out[order[x]] = shard[np.minimum(np.searchsorted(shard, q), len(shard) - 1)] == q
     return out
 
@@ -82,58 +87,58 @@ def contexts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc[ok], h[ok], first[ok], last[ok]
 
 
-def laid_out(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The strings raw[start : start + size], each followed by STOP, and END, as symbols; where each begins."""
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    text = np.full(int((sizes + 1).sum()) + 1, STOP, np.uint16)
-    text[-1] = END
-    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    text[np.repeat(begin, sizes) + within] = raw[np.repeat(starts, sizes) + within].astype(np.uint16) + 2
-    return text, begin
-
-
-def smallest_ids(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, limit: int = QUEUE_BYTES) -> np.ndarray:
-    """For each string of LENGTH bytes in the contexts, in turn, the smallest id of a context that has it."""
-    text, begin = laid_out(raw, starts, sizes)
-    windows = sizes - LENGTH + 1
-    first = np.cumsum(windows) - windows
-    slot = np.full(len(text), -1, np.int64)
-    within = np.arange(int(windows.sum())) - np.repeat(first, windows)
-    slot[np.repeat(begin, windows) + within] = np.arange(len(within))
-    order, shared = suffix_order(text, limit)
-    piece = np.cumsum(shared < LENGTH)
-    mine = slot[order]
-    piece, mine = piece[mine >= 0], mine[mine >= 0]
-    least = np.repeat(ids, windows)[mine]
-    cuts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
-    out = np.empty(len(mine), np.int64)
-    out[mine] = np.repeat(np.minimum.reduceat(least, cuts), np.diff(np.concatenate([cuts, [len(mine)]])))
-    return out
+def looked_up(model: Model, part: int, h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many results each context has, and where they begin in the part's ids."""
+    name, ends = model.about["found"][part]
+    q = model.mixed(h, keys[:, 0])
+    n, offset, todo, start = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), np.arange(len(q)), 0
+    first, second = model.array(f"{name}.q", "<u8"), model.array(f"{name}.lo", "<u8")
+    for end in ends:
+        at = start + np.searchsorted(first[start:end], q[todo])
+        # a key that comes twice goes on to its next place
+        while (again := (at < end) & (first[np.minimum(at, end - 1)] == q[todo]) & (second[np.minimum(at, end - 1)] != keys[todo, 1])).any():
+            at = at + again
+        ok = np.flatnonzero((at < end) & (first[np.minimum(at, end - 1)] == q[todo]))
+        n[todo[ok]], offset[todo[ok]] = model.array(f"{name}.n", "u1")[at[ok]], model.array(f"{name}.at", "<i8")[at[ok]]
+        todo, start = np.delete(todo, ok), end
+    return n, offset
+
+
+class Index(Model):
+    """The shards of minimizers and contexts. Contexts are ordered by the bits that deal them, then by their own hash, so that those
+    of one minimizer don't lie on one key."""
+
+    def mixed(self, h: np.ndarray, own: np.ndarray) -> np.ndarray:
+        low = np.uint64((1 << (64 - self.about["bits"] - self.about["more"])) - 1)
+        return (h & ~low) | (own & low)
 
 
-def dedup_spans(docs: DataFrame, owner_bytes: int = OWNER_BYTES, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
+def dedup_spans(docs: DataFrame, owner_bytes: int = OWNER_BYTES, fine_bytes: int = FINE_BYTES, block_bytes: int = BLOCK_BYTES, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end) of removed bytes.
 
     Texts are UTF-8 bytes, a null one is empty; matches never cross documents; a text is judged by the input, not by what is
-    left of other texts. Rows with one doc_id take nothing from each other; a null doc_id comes after all others. Other columns are
-    ignored; an empty table gives no rows.
+    left of other texts. Rows with one doc_id take nothing from each other; a null doc_id comes after all others. Very long texts
+    are looked through in pieces. Other columns are ignored; an empty table gives no rows.
     """
     conf = docs.sparkSession.conf
-    before = conf.get(BATCH)
+    before = {k: conf.get(k) for k in BATCHES}
     # whole texts go to Python in small batches: two tasks' copies of a batch would be most of what an executor holds
-    conf.set(BATCH, "500")
+    for k, v in BATCHES.items():
+        conf.set(k, v)
     try:
         with Scratch(docs.sparkSession) as s:
-            return s.keep(_dedup_spans(docs, s, owner_bytes, queue_bytes))
+            return s.keep(_dedup_spans(docs, s, owner_bytes, fine_bytes, block_bytes, queue_bytes))
     finally:
-        conf.set(BATCH, before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
-def _dedup_spans(docs: DataFrame, s: Scratch, owner_bytes: int, queue_bytes: int) -> DataFrame:
+def _dedup_spans(docs: DataFrame, s: Scratch, owner_bytes: int, fine_bytes: int, block_bytes: int, queue_bytes: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     root = s.path("shards")
     s.kept.add(root)
-    bits = (parts_for(text_bytes(docs), owner_bytes) - 1).bit_length()
+    bits, more = bits_for(text_bytes(docs), owner_bytes, fine_bytes)
+    model = Index(root, {"bits": bits, "more": more})
 
     def send_minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, doc = [], 0, 0
@@ -159,19 +164,22 @@ def _dedup_spans(docs: DataFrame, s: Scratch, owner_bytes: int, queue_bytes: int
         if held:
             yield from flush()
 
-    def own_minimizers(group: pa.Table) -> pa.Table:
-        blobs = [unpacked(x) for x in group["blob"].to_pylist()]
-        h, n = (np.concatenate([x[i] for x in blobs]) for i in range(2))
-        order = np.argsort(h, kind="stable")
-        h, n = h[order], n[order].astype(np.int64) + 1
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        common, part = h[first][np.add.reduceat(n, first) > 1], group["part"][0].as_py()
-        write_file(f"{root}/m{part}", common.tobytes())
-        return pa.table({"part": pa.array([part] * bool(len(common)), pa.int64())})
-
+    def own_minimizers(part: int, blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        n, dealt = finer(bits, more, map(unpacked, blobs), limit=queue_bytes)
+        shard = Shard(root, "m", ("hash",))
+        for i in range(n):
+            if (found := dealt.pop(i, 1 << 62)) is not None:
+                h, twice = found
+                order = np.argsort(h, kind="stable")
+                h, k = h[order], twice[order].astype(np.int64) + 1
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                shard.append(hash=h[first][np.add.reduceat(k, first) > 1])
+        name = shard.close()
+        yield pa.RecordBatch.from_pylist([{"part": part, "name": name}] * bool(shard.length), NAMED)
+
+    NAMED = pa.schema([("part", pa.int64()), ("name", pa.string())])
     sent = rows.select("text").mapInArrow(send_minimizers, "part long, blob binary")
-    common = [x["part"] for x in grouped(sent, own_minimizers, "part long").collect()]
-    model = Model(root, {"bits": bits, "common": common})
+    model.about["common"] = {x["part"]: x["name"] for x in by_part(sent, bits, own_minimizers, "part long, name string").collect()}
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
@@ -181,10 +189,8 @@ def _dedup_spans(docs: DataFrame, s: Scratch, owner_bytes: int, queue_bytes: int
             h = np.array([v[0] for _, v in items], np.uint64)
             for part, x in split_by(bits, h):
                 some = items[x]
-                blob = packed(
-                    h[x], np.frombuffer(b"".join(k for k, _ in some), np.uint64), np.array([v[1] for _, v in some], np.int64),
-                    np.array([len(v[2]) for _, v in some], np.int32), np.frombuffer(b"".join(v[2] for _, v in some), np.uint8),
-                )
+                key = np.frombuffer(b"".join(k for k, _ in some), np.uint64).reshape(-1, 2)
+                blob = packed(h[x], key[:, 0], key[:, 1], np.array([v[1] for _, v in some], np.int64), np.array([len(v[2]) for _, v in some], np.int32), np.frombuffer(b"".join(v[2] for _, v in some), np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([blob], pa.binary())], ["part", "blob"])
 
         for b in batches:
@@ -206,49 +212,39 @@ def _dedup_spans(docs: DataFrame, s: Scratch, owner_bytes: int, queue_bytes: int
         if held:
             yield from flush()
 
-    def own_contexts(group: pa.Table) -> pa.Table:
-        blobs = [unpacked(x) for x in group["blob"].to_pylist()]
-        h, key, ids, sizes, raw = (np.concatenate([x[i] for x in blobs]) for i in range(5))
-        key, sizes = key.reshape(-1, 2), sizes.astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        order = np.lexsort((ids, key[:, 1], key[:, 0]))
-        sorted_key = key[order]
-        distinct = order[np.concatenate([[True], (sorted_key[1:] != sorted_key[:-1]).any(1)])]
-        h, key, ids, sizes, starts = h[distinct], key[distinct], ids[distinct], sizes[distinct], starts[distinct]
-        # a context alone with its minimizer shares its strings with no other
-        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(n[back] > 1)
-        count, values = np.ones(len(ids), np.int64), [ids]
-        offset = np.arange(len(ids))
-        if len(shared):
-            least = smallest_ids(raw, starts[shared], sizes[shared], ids[shared], queue_bytes)
-            windows = sizes[shared] - LENGTH + 1
-            first = np.cumsum(windows) - windows
-            mixed = np.minimum.reduceat(least, first) != np.maximum.reduceat(least, first)
-            values[0][shared[~mixed]] = least[first[~mixed]]
-            keep = np.repeat(mixed, windows)
-            count[shared[mixed]], offset[shared[mixed]] = windows[mixed], len(ids) + np.cumsum(windows[mixed]) - windows[mixed]
-            values.append(least[keep])
-        part = group["part"][0].as_py()
-        for name, a in (("hi", key[:, 0]), ("lo", key[:, 1]), ("n", count.astype(np.uint8)), ("at", offset), ("ids", np.concatenate(values))):
-            write_file(f"{root}/c{part}.{name}", a.tobytes())
-        return pa.table({"part": pa.array([part], pa.int64())})
+    def own_contexts(part: int, blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        n, dealt = finer(bits, more, map(unpacked, blobs), sizes=4, limit=queue_bytes)
+        shard, ends, n_ids = Shard(root, "c", ("q", "lo", "n", "at", "ids")), [], 0
+        for i in range(n):
+            pieces = iter(lambda i=i: dealt.pop(i, CONTEXTS), None)
+            for h, hi, lo, start, count, values in smallest_by_context(pieces, block_bytes, queue_bytes):
+                q = model.mixed(h, hi)
+                order = np.lexsort((lo, q))
+                count = count[order]
+                at = np.cumsum(count) - count
+                ids = values[np.repeat(start[order], count) + np.arange(int(count.sum())) - np.repeat(at, count)]
+                shard.append(q=q[order], lo=lo[order], n=count.astype(np.uint8), at=n_ids + at, ids=ids)
+                n_ids += len(ids)
+                # one range of q after the other: only blocks of one range need a segment each
+                if ends and ends[-1][0] < i:
+                    ends[-1] = (i, shard.length)
+                else:
+                    ends.append((i, shard.length))
+        yield pa.RecordBatch.from_pylist([{"part": part, "name": shard.close(), "ends": [x[1] for x in ends]}], FOUND)
 
+    FOUND = pa.schema([("part", pa.int64()), ("name", pa.string()), ("ends", pa.list_(pa.int64()))])
     found = rows.mapInArrow(send_contexts, "part long, blob binary")
-    model.about["found"] = [x["part"] for x in grouped(found, own_contexts, "part long").collect()]
+    model.about["found"] = {x["part"]: (x["name"], x["ends"]) for x in by_part(found, bits, own_contexts, "part long, name string, ends array<long>").collect()}
 
-    def marks(model: Model, doc_ids: list, texts: list[bytes]) -> list[list[tuple[int, int]]]:
+    def marks(model: Index, doc_ids: list, texts: list[bytes]) -> list[list[tuple[int, int]]]:
         doc, h, first, last = contexts(model, texts)
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
         order = np.argsort(h, kind="stable")
         for part, x in split_by(bits, h[order]):
             some = order[x]
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(texts[d][a : z + LENGTH]) for d, a, z in zip(doc[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True)), np.uint64).reshape(-1, 2)
-            hi, lo = model.array(f"c{part}.hi", "<u8"), model.array(f"c{part}.lo", "<u8")
-            at = np.searchsorted(hi, keys[:, 0])
-            while (again := (lo[at] != keys[:, 1])).any():
-                at = at + again
-            n, offset, values = model.array(f"c{part}.n", "u1")[at], model.array(f"c{part}.at", "<i8")[at], model.array(f"c{part}.ids", "<i8")
+            n, offset = looked_up(model, part, h[some], keys)
+            values = model.array(f"{model.about['found'][part][0]}.ids", "<i8")
             for d, a, z, k, o in zip(doc[some].tolist(), first[some].tolist(), last[some].tolist(), n.tolist(), offset.tolist(), strict=True):
                 mine = NO_ID if doc_ids[d] is None else doc_ids[d]
                 if k == 1:

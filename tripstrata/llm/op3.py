@@ -1,9 +1,9 @@
 """LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays that workers map.
 
 1. Map tasks hash words, count bigrams a few million tokens at a time and send them, compressed, to the owner of their hash.
-2. Each owner sums its bigrams, writes a shard (a sorted array of the hashes seen once, one of the others with their counts) and
-   sends what words and contexts got: counts, continuations, and how many followers were seen once, twice and more.
-   Bigrams are dealt by the hash of both words, so a very common context is spread over all owners.
+2. Each owner sums its bigrams, range after range of their hash, writes a shard (a sorted array of the hashes seen once, one of the
+   others with their counts) and sends what words and contexts got: counts, continuations, and how many followers were
+   seen once, twice and more. Bigrams are dealt by the hash of both words, so a very common context is spread over all owners.
 3. Owners of words sum that into shards of words: hash, count, continuations, and the weight of the lower order.
 4. Scoring tasks memory-map the shards (from the shared folder; a store that can't be mapped is copied to the task's
    own temporary file) and look up sorted hashes.
@@ -20,14 +20,15 @@ from typing import IO
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm.common import Scratch, local_path, parts_for, table, text_bytes, write_file
+from tripstrata.llm.common import Scratch, local_path, table, text_bytes
+from tripstrata.llm.shards import Shard, bits_for, by_part, finer, packed, split_by, unpacked
 
-#: Tokens that a map task counts at a time; text bytes for each owner of bigrams; documents scored at a time.
-CHUNK, OWNER_BYTES, BLOCK = 3_000_000, 24 << 20, 500
+#: Tokens that a map task counts at a time; text bytes for each owner of bigrams, and for what it sums at a time; documents
+#: scored at a time.
+CHUNK, OWNER_BYTES, FINE_BYTES, BLOCK = 3_000_000, 24 << 20, 24 << 20, 500
 #: Distinct words whose hashes a worker remembers at a time.
 REMEMBERED = 500_000
 START, END = np.uint64(1), np.uint64(2)
@@ -67,20 +68,6 @@ def mix(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return k ^ (k >> np.uint64(29))
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(np.int64(len(a)).tobytes() + a.dtype.str.encode().ljust(4) + a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def unpacked(blob: bytes) -> list[np.ndarray]:
-    raw, out, at = zstandard.ZstdDecompressor().decompress(blob), [], 0
-    while at < len(raw):
-        n, kind = int(np.frombuffer(raw, np.int64, 1, at)[0]), np.dtype(raw[at + 8 : at + 12].decode().strip())
-        out.append(np.frombuffer(raw, kind, n, at + 12))
-        at += 12 + n * kind.itemsize
-    return out
-
-
 def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Distinct keys, sorted, and the sums of the values of each."""
     order = np.argsort(keys, kind="stable")
@@ -89,13 +76,6 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values), order[first]]
 
 
-def split_by(bits: int, keys: np.ndarray) -> list[tuple[int, slice]]:
-    """Ranges of sorted keys with the same leading bits."""
-    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
-    return [(int(part[a]), slice(int(a), int(b))) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 def discounts(n: list[int]) -> list[float]:
     """D1, D2 and D3+ from the numbers of n-grams seen 1, 2, 3 and 4 times; 1/2 where they don't tell."""
     n1, n2, n3, n4 = n
@@ -114,10 +94,6 @@ def in_training(mod: int = 7) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod != 2
 
 
-def grouped(df: DataFrame, f, kinds: str) -> DataFrame:
-    return df.groupBy("part").applyInArrow(f, kinds)
-
-
 def fetched(uri: str) -> IO[bytes]:
     """A temporary copy of a file in a store that can't be mapped."""
     from pyarrow import fs
@@ -154,26 +130,28 @@ class Model:
         """Count, continuations and lower-order weight of distinct sorted hashes; zeros and weight 1 for unknown ones."""
         c, cont, gamma = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.ones(len(hashes))
         for part, x in split_by(self.about["word_bits"], hashes):
-            if part in self.about["words"]:
-                known = self.array(f"w{part}.hash", "<u8")
+            name = self.about["words"].get(part)
+            if name is not None:
+                known = self.array(f"{name}.hash", "<u8")
                 at = np.minimum(np.searchsorted(known, hashes[x]), len(known) - 1)
                 ok = np.flatnonzero(known[at] == hashes[x])
                 to = np.arange(x.start, x.stop)[ok]
-                c[to], cont[to], gamma[to] = self.array(f"w{part}.c", "<i8")[at[ok]], self.array(f"w{part}.cont", "<i8")[at[ok]], self.array(f"w{part}.gamma", "<f4")[at[ok]]
+                c[to], cont[to], gamma[to] = self.array(f"{name}.c", "<i8")[at[ok]], self.array(f"{name}.cont", "<i8")[at[ok]], self.array(f"{name}.gamma", "<f4")[at[ok]]
         return c, cont, gamma
 
     def bigrams(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted keys."""
         out = np.zeros(len(keys), np.int64)
         for part, x in split_by(self.about["bits"], keys):
-            if part in self.about["bigrams"]:
+            name = self.about["bigrams"].get(part)
+            if name is not None:
                 q = keys[x]
-                for name in ("one", "many"):
-                    known = self.array(f"b{part}.{name}", "<u8")
+                for kind in ("one", "many"):
+                    known = self.array(f"{name}.{kind}", "<u8")
                     if len(known):
                         at = np.minimum(np.searchsorted(known, q), len(known) - 1)
                         ok = np.flatnonzero(known[at] == q)
-                        out[np.arange(x.start, x.stop)[ok]] = 1 if name == "one" else self.array(f"b{part}.counts", "<i8")[at[ok]]
+                        out[np.arange(x.start, x.stop)[ok]] = 1 if kind == "one" else self.array(f"{name}.counts", "<i8")[at[ok]]
         return out
 
     def score(self, texts: list[str], known: Hashes) -> list[np.ndarray]:
@@ -198,13 +176,13 @@ class Model:
         return [sizes, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(np.log10(p), first)]
 
 
-def train(docs: DataFrame, s: Scratch, owner_bytes: int = OWNER_BYTES, chunk: int = CHUNK) -> Model:
+def train(docs: DataFrame, s: Scratch, owner_bytes: int = OWNER_BYTES, fine_bytes: int = FINE_BYTES, chunk: int = CHUNK) -> Model:
     """Counts the texts of `docs` into a model in the shared folder; it goes when the scratch does."""
     root = s.path("model")
     s.kept.add(root)
     n_bytes = text_bytes(docs)
-    bits = (parts_for(n_bytes, owner_bytes) - 1).bit_length()
-    word_bits = max(0, bits - 1)
+    bits, more = bits_for(n_bytes, owner_bytes, fine_bytes)
+    word_bits, word_more = bits_for(n_bytes, 2 * owner_bytes, 2 * fine_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = Hashes(), [], 0
@@ -229,65 +207,76 @@ def train(docs: DataFrame, s: Scratch, owner_bytes: int = OWNER_BYTES, chunk: in
         if held:
             yield from flush()
 
-    def own_bigrams(group: pa.Table) -> pa.Table:
-        blobs = [unpacked(x) for x in group["blob"].to_pylist()]
-        u, w, n = (np.concatenate([x[i] for x in blobs]) for i in range(3))
-        key, n, at = summed(mix(u, w), n.astype(np.int64))
-        u, w, part = u[at], w[at], group["part"][0].as_py()
-        write_file(f"{root}/b{part}.one", key[n == 1].tobytes())
-        write_file(f"{root}/b{part}.many", key[n > 1].tobytes())
-        write_file(f"{root}/b{part}.counts", n[n > 1].tobytes())
-        before = summed(u, n, *((n == k).astype(np.int64) for k in (1, 2)), (n > 2).astype(np.int64))
-        after = summed(w, n, np.ones(len(w), np.int64))
-        rows = [(-1, json.dumps({"part": part, "n": [int((n == k).sum()) for k in (1, 2, 3, 4)]}).encode())]
-        for kind, arrays in ((0, before[:-1]), (1, after[:-1])):
-            rows += [(p, bytes([kind]) + packed(*(a[x] for a in arrays))) for p, x in split_by(word_bits, arrays[0])]
-        return pa.table({"part": pa.array([x[0] for x in rows], pa.int64()), "blob": pa.array([x[1] for x in rows], pa.binary())})
+    def own_bigrams(part: int, blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        def keyed() -> Iterator[list[np.ndarray]]:
+            for u, w, n in map(unpacked, blobs):
+                key = mix(u, w)
+                order = np.argsort(key)
+                yield [key[order], u[order], w[order], n[order]]
+
+        parts, dealt = finer(bits, more, keyed())
+        shard, seen = Shard(root, "b", ("one", "many", "counts")), np.zeros(4, np.int64)
+        for i in range(parts):
+            if (found := dealt.pop(i, 1 << 62)) is None:
+                continue
+            key, u, w, n = found
+            key, n, at = summed(key, n.astype(np.int64))
+            u, w = u[at], w[at]
+            shard.append(one=key[n == 1], many=key[n > 1], counts=n[n > 1])
+            seen += [int((n == k).sum()) for k in (1, 2, 3, 4)]
+            before = summed(u, n, *((n == k).astype(np.int64) for k in (1, 2)), (n > 2).astype(np.int64))[:-1]
+            after = summed(w, n, np.ones(len(w), np.int64))[:-1]
+            # hash, followers in all, followers seen once, twice and more, count, continuations
+            for h, sums in ((before[0], [*before[1:], None, None]), (after[0], [None] * 4 + after[1:])):
+                columns = [np.zeros(len(h), np.int64) if c is None else c for c in sums]
+                for p, x in split_by(word_bits, h):
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([packed(h[x], *(c[x] for c in columns))], pa.binary())], ["part", "blob"])
+        about = json.dumps({"part": part, "name": shard.close(), "n": seen.tolist()}).encode()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([about], pa.binary())], ["part", "blob"])
 
     counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "part long, blob binary")
-    sums = s.save(grouped(counted, own_bigrams, "part long, blob binary"), "sums")
+    sums = s.save(by_part(counted, bits, own_bigrams, "part long, blob binary"), "sums")
     about = [json.loads(x["blob"]) for x in sums.where("part < 0").collect()]
     high = discounts([sum(x["n"][k] for x in about) for k in range(4)])
 
-    def own_words(group: pa.Table) -> pa.Table:
-        blobs = [(x[0], unpacked(x[1:])) for x in group["blob"].to_pylist()]
-        before = [np.concatenate([np.zeros(0, np.uint64 if i == 0 else np.int64), *(x[i] for k, x in blobs if k == 0)]) for i in range(5)]
-        after = [np.concatenate([np.zeros(0, np.uint64 if i == 0 else np.int64), *(x[i] for k, x in blobs if k == 1)]) for i in range(3)]
-        u, total, n1, n2, n3, _ = summed(*before)
-        w, c, cont, _ = summed(*after)
-        # a word is followed by something as often as it occurs, START as often as there are texts; END never is
-        both = np.union1d(u, w)
-        count, more, gamma = np.zeros(len(both), np.int64), np.zeros(len(both), np.int64), np.ones(len(both), np.float32)
-        count[np.searchsorted(both, u)] = total
-        gamma[np.searchsorted(both, u)] = (high[0] * n1 + high[1] * n2 + high[2] * n3) / total
-        count[np.searchsorted(both, w)], more[np.searchsorted(both, w)] = c, cont
-        part = group["part"][0].as_py()
-        for name, a in (("hash", both), ("c", count), ("cont", more), ("gamma", gamma)):
-            write_file(f"{root}/w{part}.{name}", a.tobytes())
-        stats = {"part": part, "V": len(w), "N": int(c.sum()), "types": int(cont.sum()), "n": [int((cont == k).sum()) for k in (1, 2, 3, 4)], "more": int((cont > 2).sum())}
-        return pa.table({"about": [json.dumps(stats)]})
-
-    found = [json.loads(x["about"]) for x in grouped(sums.where("part >= 0"), own_words, "about string").collect()]
+    def own_words(part: int, blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        parts, dealt = finer(word_bits, word_more, map(unpacked, blobs))
+        shard, stats = Shard(root, "w", ("hash", "c", "cont", "gamma")), {"V": 0, "N": 0, "types": 0, "n": [0] * 4, "more": 0}
+        for i in range(parts):
+            if (found := dealt.pop(i, 1 << 62)) is None:
+                continue
+            h, total, n1, n2, n3, c, cont, _ = summed(*found)
+            # a word is followed by something as often as it occurs, START as often as there are texts; END never is
+            gamma = np.where(total > 0, (high[0] * n1 + high[1] * n2 + high[2] * n3) / np.maximum(total, 1), 1.0)
+            shard.append(hash=h, c=np.where(c > 0, c, total), cont=cont, gamma=gamma.astype(np.float32))
+            stats["V"] += int((c > 0).sum())
+            stats["N"] += int(c.sum())
+            stats["types"] += int(cont.sum())
+            stats["n"] = [x + int((cont == k).sum()) for x, k in zip(stats["n"], (1, 2, 3, 4), strict=True)]
+            stats["more"] += int((cont > 2).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps({"part": part, "name": shard.close()} | stats)])], ["about"])
+
+    found = [json.loads(x["about"]) for x in by_part(sums.where("part >= 0"), word_bits, own_words, "about string").collect()]
     s.drop(sums)
     add = lambda k: sum(x[k] for x in found)
     n = [sum(x["n"][k] for x in found) for k in range(4)]
     low = discounts(n)
     return Model(root, {
-        "bits": bits, "word_bits": word_bits, "bigrams": [x["part"] for x in about], "words": [x["part"] for x in found], "high": high, "low": low,
+        "bits": bits, "word_bits": word_bits, "bigrams": {x["part"]: x["name"] for x in about}, "words": {x["part"]: x["name"] for x in found}, "high": high, "low": low,
         "V": add("V"), "N": add("N"), "types": add("types"), "rest": low[0] * n[0] + low[1] * n[1] + low[2] * add("more"),
     })
 
 
-def score_texts(docs: DataFrame, owner_bytes: int = OWNER_BYTES, chunk: int = CHUNK) -> DataFrame:
+def score_texts(docs: DataFrame, owner_bytes: int = OWNER_BYTES, fine_bytes: int = FINE_BYTES, chunk: int = CHUNK) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows that aren't held out (a null doc_id never is). A null or empty text is one token, the end. Repeated
-    rows count each in training and get equal scores. Without training rows the model is uniform over one unknown word.
+    rows count each in training and get equal scores; a very long text is scored whole. Without training rows the model is uniform over one unknown word.
     Other columns are ignored; an empty table gives no rows.
     """
     with Scratch(docs.sparkSession) as s:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        model = train(docs.where(in_training()), s, owner_bytes, chunk)
+        model = train(docs.where(in_training()), s, owner_bytes, fine_bytes, chunk)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Hashes()
