@@ -147,6 +147,12 @@ def test_runs_need_no_more_memory():
     assert peak(20_000) < 2 * peak(2000)
 
 
+def test_minimizers_are_dealt_evenly():
+    h = op2.minimizers(np.random.default_rng(0).integers(97, 123, 100_000, np.uint8))[0]
+    part = np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert part.max() < 1.3 * part.mean()
+
+
 def test_shards_are_found_fast(tmp_path):
     """The time of a lookup doesn't follow the number of shards."""
     import time

@@ -61,7 +61,9 @@ def minimizers(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         low = np.minimum(low[: len(low) - (width - step)], low[width - step :])
         place = (low & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        out.append((h[place[first]], place[first] + at, first + at, np.concatenate([first[1:], [len(place)]]) - 1 + at))
+        # the least of many hashes is small: mixed once more, or nearly all would have the same leading bits
+        own = h[place[first]] * np.uint64(0xC2B2AE3D27D4EB4F)
+        out.append((own ^ (own >> np.uint64(29)), place[first] + at, first + at, np.concatenate([first[1:], [len(place)]]) - 1 + at))
     empty = [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(empty)
 
