@@ -37,12 +37,22 @@ def any_true(p: Column) -> Column:
 
 
 def first_by(x: Column, *order: Column) -> Column:
-    """The x of the first row in the order, of rows where x isn't NULL; the order settles ties."""
-    return F.min_by(x, F.when(x.isNotNull(), F.struct(*order)))
+    """The x of the first row in the order, of rows where x isn't NULL; the order settles ties. One number as the order can be hashed."""
+    return F.min_by(x, F.when(x.isNotNull(), F.struct(*order) if len(order) > 1 else order[0]))
 
 
 def last_by(x: Column, *order: Column) -> Column:
-    return F.max_by(x, F.when(x.isNotNull(), F.struct(*order)))
+    return F.max_by(x, F.when(x.isNotNull(), F.struct(*order) if len(order) > 1 else order[0]))
+
+
+def words(path: Column) -> Column:
+    """How many parts a path has between blanks; NULL for NULL."""
+    return F.when(path.isNotNull(), F.size(F.split(F.trim(path), " ")))
+
+
+def place(text: Column, at: int) -> Column:
+    """The three-letter code at a position, upper case."""
+    return F.upper(F.substring(text, at, 3))
 
 
 def money(text: Column) -> Column:

@@ -11,8 +11,8 @@ from tripstrata.plans import sql
 from tripstrata.plans.base import query
 from tripstrata.sources.tables import star
 
-FLAGS = ("flown", "foreign_issue", "is_connecting", "is_award", "class_award", "class_group", "class_nonrev", "is_refund", "is_group_booking")
-MEASURES = ("n_coupons", "n_directions", "lead_days", "max_tier", "min_tier", "dep_month", "dest_region", "issue_country", "channel", "is_international", "is_domestic", "pilgrimage", "any_premium", "any_business", "is_award", "is_group", "foreign_issue", "corp_channel", "sea_crew", "connecting", "refund_any", "flown_any", "round_trip", "peak_month", "proxy_segment", "origin_first", "origin_last")
+FLAGS = ("flown", "foreign_issue", "is_connecting", "is_award", "class_award", "class_group", "class_nonrev", "is_refund", "is_group_booking", "rev_missing", "age_known")
+MEASURES = ("n_coupons", "n_directions", "lead_days", "max_tier", "min_tier", "dep_month", "dest_region", "issue_country", "channel", "is_international", "is_domestic", "pilgrimage", "any_premium", "any_business", "is_award", "is_group", "foreign_issue", "corp_channel", "sea_crew", "connecting", "refund_any", "flown_any", "round_trip", "peak_month", "proxy_segment", "origin_first", "dest_last", "age", "age_known")
 
 
 @query(sql.booking("SELECT proxy_segment, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS share, round(avg(rev_pos), 2) AS avg_rev FROM booking GROUP BY 1"))
@@ -21,9 +21,9 @@ def segment_profile(spark: SparkSession, d: str) -> DataFrame:
     return bk.groupBy("proxy_segment").agg(F.count("*").alias("n"), F.round(F.avg("rev_pos"), 2).alias("avg_rev")).withColumn("share", share("n"))
 
 
-@query(sql.clean("SELECT customer_id, issue_date::VARCHAR AS issue_date, departure_dt, lead_time_days, booking_class, sold_class, farebrand, value_tier, cabin, channel, revenue, trip_od, src_file, iss_year, " + ", ".join(FLAGS) + " FROM clean"))
+@query(sql.clean("SELECT customer_id, issue_date::VARCHAR AS issue_date, departure_dt, lead_time_days, booking_class, sold_class, farebrand, value_tier, cabin, channel, revenue, net_fare, age, n_legs, sector_origin, sector_dest, trip_od, src_file, iss_year, " + ", ".join(FLAGS) + " FROM clean"))
 def clean_coupons(spark: SparkSession, d: str) -> DataFrame:
-    return ops.clean(spark, d).select("customer_id", F.col("issue_date").cast("string").alias("issue_date"), "departure_dt", "lead_time_days", "booking_class", "sold_class", "farebrand", "value_tier", "cabin", "channel", "revenue", "trip_od", "src_file", "iss_year", *FLAGS)
+    return ops.clean(spark, d).select("customer_id", F.col("issue_date").cast("string").alias("issue_date"), "departure_dt", "lead_time_days", "booking_class", "sold_class", "farebrand", "value_tier", "cabin", "channel", "revenue", "net_fare", "age", "n_legs", "sector_origin", "sector_dest", "trip_od", "src_file", "iss_year", *FLAGS)
 
 
 @query(sql.clean("SELECT " + ", ".join(f"round(100 * avg({f}::INT), 2) AS {f}" for f in FLAGS) + " FROM clean"))
@@ -51,11 +51,14 @@ COLUMNS = ("customer_id", "issue_date", "booking_class", "value_tier", "channel"
 
 @query(sql.clean(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls, round(100.0 * (count(*) - count({c})) / count(*), 3) AS null_pct, count(DISTINCT {c}) AS n_distinct, min({c})::VARCHAR AS lowest, max({c})::VARCHAR AS highest FROM clean" for c in COLUMNS[:-1])))
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Exact distinct counts: one pass per column at most; approximate ones (column_sketch) take one pass for all."""
+    """Exact distinct counts: values are counted per column first, so that few rows are left to be told apart."""
     df = ops.clean(spark, d).select(*COLUMNS[:-1])
-    one = df.agg(F.count("*").alias("n"), *[f for c in df.columns for f in (F.count(c).alias(f"{c}_k"), F.count_distinct(c).alias(f"{c}_d"), F.min(c).cast("string").alias(f"{c}_lo"), F.max(c).cast("string").alias(f"{c}_hi"))])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), (F.col("n") - F.col(f"{c}_k")).alias("nulls"), F.round(100.0 * (F.col("n") - F.col(f"{c}_k")) / F.col("n"), 3).alias("null_pct"), F.col(f"{c}_d").alias("n_distinct"), F.col(f"{c}_lo").alias("lowest"), F.col(f"{c}_hi").alias("highest")) for c in df.columns])
-    return one.select(F.explode(rows).alias("x")).select("x.*")
+    wide = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"), (F.col(c).cast("long") if t in ("int", "bigint") else F.lit(None).cast("long")).alias("k")) for c, t in df.dtypes]))
+    values = df.select(wide.alias("x")).select("x.*").groupBy("column_name", "v", "k").agg(F.count("*").alias("n"))
+    some = values.groupBy("column_name").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("v").alias("n_distinct"), *[f(x).alias(f"{p}_{x}") for p, f in (("low", F.min), ("high", F.max)) for x in "vk"])
+    # numbers by value, all else as text
+    ends = {to: F.coalesce(F.col(f"{p}_k").cast("string"), F.col(f"{p}_v")) for p, to in (("low", "lowest"), ("high", "highest"))}
+    return some.select("column_name", "nulls", F.round(F.lit(100.0) * F.col("nulls") / F.col("n"), 3).alias("null_pct"), "n_distinct", *[v.alias(k) for k, v in ends.items()])
 
 
 @query(None)

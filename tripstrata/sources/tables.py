@@ -100,7 +100,7 @@ def coupons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     nation = star(spark, sf_dir, "nation").join(star(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     supplier = star(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    customer = star(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    customer = star(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     end = lambda p: nation.select(F.col("n_nationkey").alias(f"{p}_key"), F.col("n_name").alias(f"{p}_name"), F.col("r_name").alias(f"{p}_region"), (F.col("n_regionkey") != 4).cast("int").alias(f"{p}_domestic"))
     part = star(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     lines = star(spark, sf_dir, "lineitem").join(star(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
