@@ -249,7 +249,7 @@ def test_reliabilities():
 @pytest.mark.parametrize("bits", [64, 3])
 def test_exact_dedup(spark, docs, odd, bits):
     rows = [*odd, (20, "x y"), (21, "xy "), (22, " x\ty\n\n"), (23, "x\xa0y"), *((30 + i, f"t{i % 9}") for i in range(40))]
-    out = got(op6.exact_dedup(docs(*rows).repartition(4), bits=bits, capacity=4))
+    out = got(op6.exact_dedup(docs(*rows).repartition(4), bits=bits, capacity=4, chunk_bytes=200))
     groups = collections.defaultdict(list)
     for d, t in rows:
         groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), d is None, d or 0))
@@ -269,6 +269,21 @@ def test_extendible_hash():
     assert len(op6.split_buckets(np.full(100, 7, np.uint64), 8)) == 1
 
 
+def test_index_is_probed(spark, docs):
+    """Keys are found through the directory: with a wrong one they aren't."""
+    from tripstrata.llm.common import Scratch
+
+    texts = [f"text {i % 700}" for i in range(1000)]
+    with Scratch(spark) as s:
+        index = op6.build_index(docs(*enumerate(texts)).select("text").repartition(3), s, 64, 16)
+        keys = np.array([op6.hash_key(x.encode().translate(None, op6.SPACE)) for x in texts], np.uint64)
+        assert index.has_company(keys).tolist() == [i % 700 < 300 for i in range(1000)]
+        name = index.about["tables"][0][0]
+        index.maps[f"{name}.directory"] = np.roll(index.array(f"{name}.directory", "<i8"), 8)
+        with pytest.raises(LookupError):
+            index.has_company(keys)
+
+
 def test_toxicity(spark):
     d = "/root/testdata/sf0.01"
     labels = {x["doc_id"]: x["toxic"] for x in pq.read_table(f"{d}/labels.parquet").to_pylist()}
