@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 from tripstrata.llm import op1
 
@@ -76,3 +78,12 @@ def test_near_copies(spark, docs):
     first = {min(x for x in part if part[x] == c) for c in part.values()}
     out = [r["doc_id"] for r in p.near_dedup(spark, docs(*rows).repartition(3), "").collect()]
     assert len(first) < len(rows) - 80 and sorted(out) == sorted(first)
+
+
+def test_shuffled_input_and_clashing_columns(spark, docs):
+    """Stages on a shuffle's result, with columns of the names that numbers and keys have here."""
+    rows = [(i, f"some words {i % 50} and more of them {i % 50}") for i in range(200)]
+    df = docs(*rows).withColumn("__at", F.lit("mine")).withColumn("__AT_", F.col("doc_id")).repartition(7, "doc_id")
+    kept = p.exact_dedup(spark, df, "")
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(50)) and {r["__at"] for r in kept.collect()} == {"mine"}
+    assert sorted(r["doc_id"] for r in p.near_dedup(spark, kept, "").select("doc_id").collect())[0] == 0

@@ -206,6 +206,51 @@ def test_language(spark):
     assert r["right"] > 0.97 and r["low"] >= 0 and r["high"] <= 1
 
 
+def test_ftrl():
+    """One step after the other, coordinate by coordinate."""
+    rng = np.random.default_rng(0)
+    learner, z, n = op4.Ftrl(2), collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i, c):
+        x = z[i, c]
+        return 0.0 if abs(x) <= op4.L1 else (math.copysign(op4.L1, x) - x) / ((op4.BETA + math.sqrt(n[i, c])) / op4.ALPHA + op4.L2)
+
+    for _ in range(30):
+        at, x, y = np.sort(rng.choice(6, 3, replace=False)), rng.normal(0, 1, 3), int(rng.integers(0, 2))
+        learner.learn(at, x, y)
+        w = {(i, c): weight(i, c) for i in at.tolist() for c in (0, 1)}
+        e = [math.exp(sum(w[i, c] * v for i, v in zip(at.tolist(), x.tolist(), strict=True))) for c in (0, 1)]
+        for c in (0, 1):
+            for i, v in zip(at.tolist(), x.tolist(), strict=True):
+                g = (e[c] / sum(e) - (c == y)) * v
+                z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / op4.ALPHA * w[i, c]
+                n[i, c] += g * g
+    assert learner.weights(np.arange(6)) == pytest.approx(np.array([[weight(i, c) for c in (0, 1)] for i in range(6)]))
+
+
+def test_language_by_hand(spark, docs):
+    """IDF, weights and calibrated scores of a small corpus, worked out text by text; ties and repeated rows learn alike."""
+    rows = [(i, ("der Hund und die Katze " if i % 2 else "the dog and the cat ") * (1 + i % 3), "de" if i % 2 else "en") for i in range(40)]
+    rows += [(None, "das ist gut", "de")] * 3 + [(50, None, "en"), (51, "..", "en"), (52, "the dog", None)]
+    out = got(op4.identify(docs(*rows).repartition(3), sample=20))
+    again = got(op4.identify(docs(*rows[::-1]).repartition(5), sample=20))
+    key = lambda o: sorted((str(x["doc"]["doc_id"]), str(x["doc"]["text"]), x["lang_pred"], round(x["score"], 12)) for x in o)
+    assert key(out) == key(again)
+    model = op4.train(docs(*rows))
+    learned = [(d, t) for d, t, lang in rows if t is not None and lang and zlib.crc32(str("" if d is None else d).encode()) % 4 != 2]
+    grams = lambda t: collections.Counter(g for n in (1, 2, 3) for g in (t.lower()[i : i + n] for i in range(len(t) - n + 1)))
+    for g in ("h", "de", "dog"):
+        at = op4.counts(g)[0]
+        place = [i for i in at.tolist() if i not in {j for x in (g[:-1], g[1:]) for j in op4.counts(x)[0].tolist()}] if len(g) > 1 else at.tolist()
+        n = sum(g in grams(t) for _, t in learned)
+        assert model.idf[place[0]] == pytest.approx(math.log((1 + len(learned)) / (1 + n)) + 1, rel=1e-6)
+    for x in out:
+        t = x["doc"]["text"]
+        assert (x["lang_pred"] == "und") == (not re.search("[a-z]", t or "")) and 0 <= x["score"] <= 1
+        if t and "Hund" in t:
+            assert x["lang_pred"] == "de"
+
+
 def test_temperature():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 3, 4000)
@@ -236,6 +281,57 @@ def test_written_address(text):
     assert op5.candidates(text) == [("email", 0, len(text))]
 
 
+@pytest.mark.parametrize(("text", "span"), [("my name is Anja Probst.", (11, 22)), ("ask Robert Mills about it", (4, 16)), ("call Dr Osei now", (8, 12))])
+def test_proposed_names(text, span):
+    assert ("name", *span) in op5.candidates(text)
+
+
+def test_em_finds_the_likelihood_maximum():
+    """No small move of the labelers' rates makes the counted votes more probable."""
+    rng = np.random.default_rng(2)
+    rates = np.array([[[0.7, 0.2, 0.1], [0.1, 0.3, 0.6]], [[0.6, 0.3, 0.1], [0.2, 0.2, 0.6]], [[0.5, 0.4, 0.1], [0.1, 0.4, 0.5]]])
+    truth = rng.random(4000) < 0.4
+    votes = np.stack([[(1, 0, -1)[rng.choice(3, p=r[0 if t else 1])] for t in truth] for r in rates], 1)
+    counts = collections.Counter(("phone", tuple(v)) for v in votes.tolist())
+    p = op5.reliabilities(counts)
+    assert np.mean([(p["phone", tuple(v)] > 0.5) == t for v, t in zip(votes.tolist(), truth, strict=True)]) > 0.85
+
+    def objective(share, rate):
+        fits = lambda v, t: math.prod(rate[j][t][1 - x] for j, x in enumerate(v))
+        likely = sum(n * math.log(share * fits(v, 0) + (1 - share) * fits(v, 1)) for (_, v), n in counts.items())
+        return likely + sum(2 * c * math.log(rate[j][t][k]) for j in range(3) for t in (0, 1) for k, c in enumerate([(2.0, 1.0, 0.5), (0.5, 1.0, 2.0)][t]))
+
+    n = sum(counts.values())
+    share = sum(k * p[x] for x, k in counts.items()) / n
+    rate = []
+    for j in range(3):
+        sums = [[sum(k * (p[x] if t == 0 else 1 - p[x]) for x, k in counts.items() if x[1][j] == s) + 2 * c for s, c in zip((1, 0, -1), [(2.0, 1.0, 0.5), (0.5, 1.0, 2.0)][t], strict=True)] for t in (0, 1)]
+        rate.append([[x / sum(r) for x in r] for r in sums])
+    best = objective(share, rate)
+    for j in range(3):
+        for t in (0, 1):
+            for k in range(3):
+                for d in (-0.03, 0.03):
+                    moved = [[list(r) for r in x] for x in rate]
+                    moved[j][t][k] += d
+                    moved[j][t] = [x / sum(moved[j][t]) for x in moved[j][t]]
+                    assert objective(share, moved) < best + 0.05
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "a@b.co (716) 555-1234 , " * n
+        began = time.time()
+        starts, ends = op5.united([x for xs in op5.base_spans(text).values() for x in xs])
+        assert len(starts) == n and len(op5.candidates(text)) == n
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 12 * max(seconds(4000), 0.02)
+
+
 def test_many_zeros():
     text = f"1.2.3.{'0' * 5000}4"
     assert op5.base_spans(text)["ip"] == [(0, len(text))]
@@ -293,6 +389,30 @@ def test_toxicity(spark):
     assert np.mean(bad) > 5 * np.mean(good) and np.mean([s > 0.5 for s in good]) < 0.02
 
 
+def test_toxicity_held_out(spark):
+    """Labels that the model has not seen, and grades from other folds."""
+    d = "/root/testdata/sf0.1"
+    rows = pq.read_table(f"{d}/labels.parquet").to_pylist()
+    seen = [(x["doc_id"], x["toxic"]) for x in rows if x["doc_id"] % 2]
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    held = spark.createDataFrame([(x["doc_id"], x["toxic"]) for x in rows if x["doc_id"] % 2 == 0], "doc_id long, label int")
+    out = op7.severity(docs, spark.createDataFrame(seen, "doc_id long, grade int")).join(held, "doc_id").groupBy("label").agg(F.avg(F.col("toxic").cast("int")).alias("toxic"), F.avg("severity").alias("severity"))
+    by = {r["label"]: r for r in out.collect()}
+    assert by[1]["toxic"] > 0.8 and by[0]["toxic"] < 0.05 and by[1]["severity"] > 5 * by[0]["severity"]
+
+
+def test_cross_grades():
+    """A row's own label doesn't grade it: a feature that only one toxic row has gives it the least grade."""
+    rng = np.random.default_rng(1)
+    toxic = (np.arange(400) % 4 == 0).astype(int)
+    data = [([0], [float(x)]) for x in np.where(toxic, rng.uniform(1, 4, 400), rng.uniform(0, 1, 400))]
+    data[8] = ([1], [5.0])
+    grade = op7.cross_graded(data, toxic, 2)
+    assert (grade[toxic == 0] == 0).all() and grade[8] == 1 and set(grade[toxic == 1]) == {1, 2, 3}
+    scores = np.array([x[1][0] for x in data])
+    assert scores[grade == 3].min() > scores[(grade == 1) & (np.arange(400) != 8)].max()
+
+
 def test_cumulative_link():
     rng = np.random.default_rng(0)
     grade = rng.integers(0, 4, 600)
@@ -300,9 +420,10 @@ def test_cumulative_link():
     assert (np.diff(bounds) > 0).all() and w[0] > 1
 
 
-def test_shards(spark, docs, odd):
+@pytest.mark.parametrize("slice_bytes", [1 << 30, 800])
+def test_shards(spark, docs, odd, slice_bytes):
     rows = [*odd, *((100 + i, "same text") for i in range(300)), *((500 + i, "z" * (i % 97)) for i in range(300))]
-    out = got(op8.histogram_shards(docs(*rows).repartition(5), 6))
+    out = got(op8.histogram_shards(docs(*rows).repartition(5), 6, slice_bytes=slice_bytes))
     assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r[0]) for r in rows)
     texts = collections.Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows)
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == texts
@@ -403,5 +524,29 @@ OPERATORS = {
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_and_odd(docs, odd, name):
     assert OPERATORS[name](docs()).collect() == []
-    out = OPERATORS[name](docs(*odd)).collect()
+    out = [r.asDict(recursive=True) for r in OPERATORS[name](docs(*odd)).collect()]
     assert len(out) >= len(odd) if name == "pack" else len(out) == len(odd)
+    ids = [(r["doc"] if name == "language" else r)["doc_id"] for r in out]
+    if name != "pack":
+        assert collections.Counter(ids) == collections.Counter(d for d, _ in odd)
+    by = collections.defaultdict(list)
+    for d, r in zip(ids, out, strict=True):
+        by[d].append({k: v for k, v in r.items() if k not in ("row", "doc")})
+    # repeated rows get equal results, null and empty texts too
+    if name in ("suffix", "lm", "language", "pii", "toxicity"):
+        alike = lambda r: {k: v for k, v in r.items() if k not in ("doc_id", "held_out")}
+        assert by[4][0] == by[4][1] and alike(by[1][0]) == alike(by[2][0])
+    sizes = {d: len(t.encode()) for d, t in odd if t is not None}
+    if name == "suffix":
+        want = removed([(i, t.encode()) for i, t in sizes_of(odd)])
+        assert all((r["n_bytes"], r["n_removed"]) == (sizes.get(d, 0), want[d][0]) for d in (1, 2, 3, 7, 8, 9, 10) for r in by[d])
+    if name == "lm":
+        assert by[1][0]["n_tokens"] == by[2][0]["n_tokens"] == by[3][0]["n_tokens"] == 1 and by[7][0]["n_tokens"] == 40_001
+    if name == "language":
+        assert [by[d][0]["lang_pred"] for d in (1, 2, 3, 9)] == ["und"] * 4
+    if name == "pii":
+        assert by[10][0]["spans"] == "email:0:5,phone:6:23" and by[1][0]["spans"] == by[2][0]["spans"] == "" and by[9][0]["n_card"] == 0
+
+
+def sizes_of(odd):
+    return [(d, t or "") for d, t in odd if d is not None and d != 4]

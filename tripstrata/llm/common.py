@@ -16,18 +16,16 @@ from pyspark.sql import functions as F
 # workers get this package's functions by value: they need not have it on their path
 cloudpickle.register_pickle_by_value(sys.modules["tripstrata"])
 
-#: Bytes of text that one reducer of an operator takes, by default.
-REDUCER_BYTES = 64 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a new local one."""
+    """The folder in spark.checkpoint.dir; only where that is unset and all runs in one process (tests), a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -86,12 +84,14 @@ def text_bytes(spark_df: DataFrame, column: str = "text") -> int:
     return spark_df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]
 
 
-def parts_for(n_bytes: int, each: int = REDUCER_BYTES, least: int = 1) -> int:
-    return max(least, -(-n_bytes // each))
-
+def smallest_hashes(df: DataFrame, n: int, most: int) -> DataFrame:
+    """At most `most` rows of the n of `df`: those with the smallest o, a struct that begins with a hash h.
 
-def columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
-    return [batch.column(batch.schema.get_field_index(n)) for n in names]
+    Only rows with a hash that about twice as many have, or a smaller one, are sorted.
+    """
+    if n > 2 * most:
+        df = df.where(F.col("o.h") <= -(1 << 63) + (1 << 64) * 2 * most // n)
+    return df.orderBy("o").limit(most)
 
 
 def local_path(uri: str) -> str | None:
@@ -101,45 +101,35 @@ def local_path(uri: str) -> str | None:
     return uri if "://" not in uri else None
 
 
-def write_file(uri: str, data: bytes) -> None:
-    """Writes a file of the shared folder: under a name of its own first, so that a repeated task does no harm."""
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{local_path(uri)}")
-    system.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with system.open_output_stream(part) as out:
-        out.write(data)
-    system.move(part, path)
-
-
 #: Row numbers up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
-#: The column of a row's number in a table that numbered() wrote.
-AT = "__at"
-
-
 def row_number(column: str | None) -> Column:
     """The numbers in `column`; without one, numbers that hold only within the plan that makes them."""
     return F.monotonically_increasing_id() if column is None else F.col(column)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with row numbers (AT), written once: every plan that reads it sees the same numbers, however it is cut.
+    """`docs` with row numbers, written once: every plan that reads it sees the same numbers, however it is cut.
 
-    The table stays for whoever reads it: its path is in `_scratch_path`.
+    The numbers' column has a name that `docs` doesn't use, in `_at`. The table stays for whoever reads it: its path is in
+    `_scratch_path`.
     """
+    at = "__at"
+    while at.lower() in (c.lower() for c in docs.columns):
+        at += "_"
     with Scratch(docs.sparkSession) as s:
-        return s.keep(docs.withColumn(AT, F.monotonically_increasing_id()))
+        out = s.keep(docs.withColumn(at, F.monotonically_increasing_id()))
+    out._at = at
+    return out
 
 
 def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """`docs`, a table of numbered(), without the rows numbered in `rows` (row) and without the numbers."""
-    rows = rows.select(F.col("row").alias("__row"))
+    rows = rows.select(F.col("row").alias(docs._at))
     if rows.count() <= BROADCAST_ROWS:
         rows = F.broadcast(rows)
-    out = docs.join(rows, F.col(AT) == F.col("__row"), "left_anti").drop(AT)
+    out = docs.join(rows, docs._at, "left_anti").drop(docs._at)
     out._reads = docs
     return out

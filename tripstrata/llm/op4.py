@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripstrata.llm.common import table
+from tripstrata.llm.common import smallest_hashes, table
 
 BITS = 16
 GRAMS = 3
@@ -28,22 +28,15 @@ UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def counts(text: str) -> np.ndarray:
-    """How often each hashed character n-gram of 1 to GRAMS characters occurs in the lower-cased text."""
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed character n-grams of 1 to GRAMS characters of the lower-cased text, ascending, and how often each occurs."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    out, h = np.zeros(1 << BITS, np.int64), np.zeros(len(points) + 1, np.uint32)
-    for n in range(GRAMS):
-        if len(points) <= n:
-            break
+    found, h = [], np.zeros(len(points) + 1, np.uint32)
+    for n in range(min(GRAMS, len(points))):
         h = (h[: len(points) - n] + np.uint32(n + 1)) * np.uint32(0x01000193) + points[n:]
-        out += np.bincount((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), minlength=1 << BITS)
-    return out
-
-
-def present(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The features that occur, and how often."""
-    at = np.flatnonzero(found).astype(np.int32)
-    return at, found[at].astype(np.int32)
+        found.append((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS))
+    at, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    return at.astype(np.int32), n.astype(np.int32)
 
 
 class Ftrl:
@@ -95,8 +88,8 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not text or not LETTER.search(text):
             return UNKNOWN, 0.0
-        found = counts(text).astype(np.float32)
-        p = softmax((SCALE / max(float(found @ self.idf), 1e-12)) * (found @ self.table).astype(np.float64) / self.heat)
+        at, n = counts(text)
+        p = softmax((SCALE / max(float(n @ self.idf[at]), 1e-12)) * (n @ self.table[at]).astype(np.float64) / self.heat)
         k = int(np.argmax(p))
         return self.langs[k], float(p[k])
 
@@ -109,7 +102,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         seen, n = np.zeros(1 << BITS, np.int64), 0
         for b in batches:
             for x in b.column(0).to_pylist():
-                seen += counts(x) > 0
+                seen[counts(x)[0]] += 1
                 n += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*seen[at].tolist(), n], pa.int64())], ["f", "n"])
@@ -117,17 +110,19 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     # one row per feature at most
     df = {x["f"]: x["n"] for x in rows.select("text").mapInArrow(frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
     n = df.pop(-1, 0)
+    if not n:
+        return Model([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), 1.0)
     idf = np.zeros(1 << BITS)
     for f, k in df.items():
         idf[f] = np.log((1 + n) / (1 + k)) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [present(counts(x)) for x in b.column(0).to_pylist()]
+            found = [counts(x) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *(pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (0, 1))], ["lang", "h", "at", "n"])
 
-    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
-    few = rows.where(F.col("h") <= (0 if last is None else last)).limit(sample)
+    # ties of the hash are settled by what the rows teach, so that a rerun learns from the same ones
+    few = smallest_hashes(rows.withColumn("o", F.struct("h", "lang", F.xxhash64("text").alias("t"))), n, sample)
     got = few.select("text", "lang", "h").mapInArrow(vectors, "lang string, h long, at array<int>, n array<int>").toArrow().to_pylist()
     got.sort(key=lambda x: (x["h"], x["lang"]))
     langs = sorted({x["lang"] for x in got})
@@ -149,7 +144,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per row of `docs`: doc (all its columns), held_out, lang_pred, score (calibrated probability of lang_pred).
 
     Texts that are null or have no letter get `und` and score 0; so does every text when no row is there to learn from.
-    A null doc_id is never held out; rows with a null lang or text teach nothing. lang, source and doc_id are no inputs of a
+    A very long text counts whole. A null doc_id is never held out; rows with a null lang or text teach nothing. lang, source and doc_id are no inputs of a
     prediction. Repeated rows count each. An empty table gives no rows.
     """
     spark = docs.sparkSession

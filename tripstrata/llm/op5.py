@@ -1,7 +1,8 @@
 """Personal data: labelers vote on candidate spans, EM finds their reliabilities, a span classifier decides.
 
 Four kinds have fixed base rules, whose spans always stay. Weaker candidates (numbers that look like phones or ids, written-out
-addresses, account numbers, titled names) get votes of regex, checksum, context and gazetteer labelers. Vote patterns are
+addresses, account numbers, names that a title, the words before or a gazetteer propose) get votes of regex, checksum, context
+and gazetteer labelers. Vote patterns are
 counted over all documents; expectation-maximisation over these counts (at most KINDS x 3 ** labelers rows) gives each
 pattern a probability. A logistic regression on votes and shape, fitted on a bounded sample of candidates with these
 probabilities as labels, scores every candidate.
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm.common import Scratch, table
+from tripstrata.llm.common import Scratch, smallest_hashes, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "id", "iban", "name")
@@ -30,7 +32,7 @@ ROUNDS, ACCEPT = 50, 0.5
 #: Characters before a span in which cue words count.
 BEFORE = 40
 
-LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 DIGIT = re.compile("[0-9]")
 # a match never starts within a run of digits: if the run's first digit fails, so do the others
@@ -41,11 +43,22 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER = re.compile(r"(?<![\w.+-])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,17}(?![\w-])")
 WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: A name that the words before it announce, or that begins with a known given name.
+TOLD = re.compile(r"(?<!\w)(?:(?:[Nn]ame|[Nn]om|[Nn]ombre) (?:is|ist|est|es)|[Ss]igned(?: by)?|[Dd]ear|[Cc]ontact(?: person)?:?) ([A-ZÀ-Ý][\w'-]+(?: [A-ZÀ-Ý][\w'-]+){0,2})")
+PAIR = re.compile(r"(?<!\w)([A-ZÀ-Ý][\w'-]+) [A-ZÀ-Ý][\w'-]+")
 TITLED = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.? ([A-ZÀ-Ý][\w'-]+(?: [A-ZÀ-Ý][\w'-]+)?)")
 
 # Fixed word lists.
+TELLING = ("ame is", "ame ist", "om est", "ombre es", "igned", "ear ", "ontact")
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Señor")
-NAMES = frozenset("anna ben carlos carol claire david emma eva hans ivan james jane jean john jose juan julia karl laura linda lisa luis maria marie mark martin mary michael paul peter pierre robert sara sofia susan thomas".split())
+NAMES = frozenset(
+    """adam alan albert alejandro alice amanda amy ana andrea andrew angela anita ann anna anne anthony antonio barbara ben benjamin bernard brian bruno camille carl carla carlos carmen carol caroline
+    catherine charles charlotte chloe christian christine claire claudia clara daniel david deborah diana diego dieter donald donna dorothy edward elena elizabeth emil emily emma enrique eric erik eva felix
+    fernando francis frank franz fred gabriel george gerard giulia greta guillaume hannah hans heinrich helen helena henri henry hugo ida ines ingrid irene isabel ivan jack jacob jacques james jan jane javier
+    jean jeanne jennifer jessica joan john jonas jorge jose joseph josef juan julia julie julien jurgen karen karin karl katharina kevin klaus lara laura lea leon linda lisa louis louise lucas lucia luis lukas
+    manuel marc margaret maria marie mario mark markus marta martin mary matthew max michael michel miguel monika nancy nicolas nicole nina olivia oscar otto pablo patricia patrick paul paula pedro peter
+    philip pierre pilar rafael richard robert rosa ruth samuel sandra sara sarah sebastian sergio simon sofia sophie stefan stephen steven susan sven sylvia teresa theresa thomas ursula victor walter william""".split()
+)
 CUES = {
     "email": ("mail", "contact", "write", "correo", "courriel"),
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta"),
@@ -73,8 +86,9 @@ def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping addresses, found from their @, so that long runs of letters cost no more than their length."""
     out, last, at = [], 0, text.find("@")
     while at >= 0:
-        before = text[last:at]
-        start = last + len(before.rstrip(LOCAL))
+        start = at
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
         m = DOMAIN.match(text, at + 1) if start < at else None
         if m:
             out.append((start, m.end()))
@@ -83,6 +97,18 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def united(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans' union, ascending."""
+    starts, ends = [], []
+    for a, z in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], z)
+        else:
+            starts.append(a)
+            ends.append(z)
+    return starts, ends
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE_KINDS}
     found["email"] = emails(text)
@@ -109,7 +135,10 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         out += [("email", *m.span()) for m in WRITTEN.finditer(text)]
     if any(t in text for t in TITLES):
         out += [("name", *m.span(1)) for m in TITLED.finditer(text)]
-    return out
+    if any(t in text for t in TELLING):
+        out += [("name", *m.span(1)) for m in TOLD.finditer(text)]
+    out += [("name", *m.span()) for m in PAIR.finditer(text) if m.group(1).lower() in NAMES]
+    return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
 
 
 def entropy(x: str) -> float:
@@ -199,7 +228,8 @@ def find_personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per row of `docs`: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added.
 
     Spans are kind:start:end in code points, end exclusive, by kind, then start. A null or empty text has none. Added spans
-    never overlap base spans or each other (the earlier, then the longer wins). Repeated rows get equal results. Other
+    never overlap base spans or each other (the earlier, then the longer wins). Repeated rows get equal results; a very long
+    text is looked through whole, in time linear in its length and its spans. Other
     columns are ignored; an empty table gives no rows, and without candidates nothing is added.
     """
     spark = docs.sparkSession
@@ -209,9 +239,11 @@ def find_personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 base = [(k, *x) for k, xs in base_spans(text).items() for x in xs]
-                taken, weak = sorted((a, e) for _, a, e in base), []
+                (starts, ends), weak = united([(a, e) for _, a, e in base]), []
                 for kind, a, e in candidates(text):
-                    if not any(a < y and x < e for x, y in taken):
+                    # the last base run that begins before the candidate's end is the only one that can reach into it
+                    k = bisect_left(starts, e) - 1
+                    if k < 0 or ends[k] <= a:
                         x, before = text[a:e], text[max(0, a - BEFORE) : a].lower()
                         vote = votes(kind, x, before, text[e : e + 2].lower())
                         weak.append({"kind": kind, "start": a, "end": e, "votes": vote, "x": features(kind, x, vote)})
@@ -226,9 +258,9 @@ def find_personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         weak = found.select("doc_id", F.explode("weak").alias("w")).select("doc_id", "w.*")
         patterns = {(x["kind"], tuple(x["votes"])): x["count"] for x in weak.groupBy("kind", "votes").count().collect()}
         chance = reliabilities(patterns)
-        hashed = weak.select("kind", "votes", "x", F.xxhash64("doc_id", "start", "kind").alias("h"))
-        last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
-        few = [] if last is None else hashed.where(F.col("h") <= last).limit(sample).toArrow().to_pylist()
+        # candidates that tie in all of this teach the same
+        hashed = weak.select("kind", "votes", "x", F.struct(F.xxhash64("doc_id", "start", "kind").alias("h"), F.xxhash64("votes", "x").alias("t")).alias("o")).select("*", "o.h")
+        few = smallest_hashes(hashed, sum(patterns.values()), sample).drop("o").toArrow().to_pylist()
         few.sort(key=lambda r: (r["h"], r["x"]))
         w = fit_spans(np.array([r["x"] for r in few]), np.array([chance[r["kind"], tuple(r["votes"])] for r in few])) if few else np.zeros(0)
 

@@ -2,7 +2,8 @@
 
 P(grade > k) = sigmoid(w . x - b_k): one weight vector for all thresholds b_0 < b_1 < ..., so the grades stay ordered. Features
 are words and word beginnings, chosen by how unevenly they fall on the grades; the expected severity is the sum of
-P(grade > k) over k.
+P(grade > k) over k. Where labels are only 0 and 1, toxic rows are graded by how sure a model is of them that was
+fitted on the other folds, so that no row is graded by its own label.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripstrata.llm.common import table
+from tripstrata.llm.common import smallest_hashes, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: At most so many labelled rows are fitted on: those with the smallest hashes of their doc_id.
@@ -30,8 +31,8 @@ LEAST_DOCS, LEAST_CHI2, FEATURES = 8, 16.0, 2000
 L2, STEPS, RATE = 1e-5, 600, 0.05
 #: Distinct words whose features a worker remembers at a time.
 REMEMBERED = 500_000
-#: 0/1 labels are spread over so many grades.
-GRADES = 4
+#: 0/1 labels are spread over so many grades, by models of so many folds.
+GRADES, FOLDS, FOLD_STEPS = 4, 5, 150
 #: A document is toxic if P(grade > 0) is at least this.
 THRESHOLD = 0.5
 
@@ -99,7 +100,7 @@ def choose_features(sample: DataFrame, grades: dict[int, int], least_docs: int =
     return [x["word"] for x in top.collect()]
 
 
-def fit(rows: list[tuple[list[int], list[float]]], grade: np.ndarray, n_words: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[tuple[list[int], list[float]]], grade: np.ndarray, n_words: int, levels: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds by full-batch Adam steps on the cumulative-link log loss."""
     at = np.array([i for a, _ in rows for i in a], np.int64)
     x = np.array([v for _, b in rows for v in b])
@@ -108,7 +109,7 @@ def fit(rows: list[tuple[list[int], list[float]]], grade: np.ndarray, n_words: i
     gaps = np.log(np.maximum(np.diff(start), 1e-2))
     first, mean, square = start[0], np.zeros(n_words + levels - 1), np.zeros(n_words + levels - 1)
     k = np.arange(levels - 1)
-    for t in range(1, STEPS + 1):
+    for t in range(1, steps + 1):
         bounds = np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
         s = np.bincount(doc, x * w[at], len(rows))
         above = np.concatenate([np.ones((len(rows), 1)), sigmoid(s[:, None] - bounds), np.zeros((len(rows), 1))], axis=1)
@@ -125,13 +126,12 @@ def fit(rows: list[tuple[list[int], list[float]]], grade: np.ndarray, n_words: i
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from the documents with a label (doc_id, grade); grades are small whole numbers from 0, and 0/1 labels are spread by by_markers."""
+    """Learns from the documents with a label (doc_id, grade); grades are small whole numbers from 0, and 0/1 labels are spread by
+    cross_graded. Of the rows of a labelled doc_id one counts (the least hash of the text), so that `sample` bounds the rows too."""
     marked = labels.where(F.col("grade").isNotNull()).groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade")).withColumn("h", F.xxhash64("doc_id"))
-    last = marked.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
-    if last is None:
-        return Model([], np.zeros(0), np.zeros(0))
-    few = marked.where(F.col("h") <= last).limit(sample)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").select("text", "grade", "h")
+    few = smallest_hashes(marked.withColumn("o", F.struct("h", "doc_id")), marked.count(), sample).drop("o")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
+    rows = rows.groupBy("h", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("t"), "text"))["text"].alias("text")).select("text", "grade", "h")
     grades = {x["grade"]: x["count"] for x in rows.groupBy("grade").count().collect()}
     levels = max(grades, default=0) + 1
     if levels < 2:
@@ -147,23 +147,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = rows.mapInArrow(vectors, "grade int, h long, at array<int>, x array<double>").toArrow().to_pylist()
     got.sort(key=lambda r: (r["h"], r["at"], r["x"]))
     grade = np.array([r["grade"] for r in got])
+    data = [(r["at"], r["x"]) for r in got]
     if levels == 2:
-        grade, levels = by_markers(grade, np.array([sum(r["x"]) for r in got])), GRADES
-    return Model(features, *fit([(r["at"], r["x"]) for r in got], grade, len(features), levels))
-
-
-def by_markers(toxic: np.ndarray, markers: np.ndarray) -> np.ndarray:
-    """Grades 0 to GRADES - 1 from 0/1 labels: toxic texts are dealt to grades by how much of the chosen features they have."""
-    some = markers[(toxic > 0) & (markers > 0)]
+        grade, levels = cross_graded(data, grade, len(features)), GRADES
+    return Model(features, *fit(data, grade, len(features), levels))
+
+
+def cross_graded(data: list[tuple[list[int], list[float]]], toxic: np.ndarray, n_words: int) -> np.ndarray:
+    """Grades 0 to GRADES - 1 from 0/1 labels: the toxic rows, in order of their score by a model that saw only the other folds,
+    are dealt to grades of equal size. Rows come in the order of their hash, so every FOLDS-th row is a fold."""
+    fold, score = np.arange(len(data)) % FOLDS, np.zeros(len(data))
+    for k in range(FOLDS):
+        rest = np.flatnonzero(fold != k)
+        w, _ = fit([data[i] for i in rest], toxic[rest], n_words, 2, FOLD_STEPS)
+        for i in np.flatnonzero(fold == k):
+            at, x = data[i]
+            score[i] = float(w[at] @ np.array(x)) if len(at) else 0.0
+    some = score[toxic > 0]
     cuts = np.quantile(some, np.arange(1, GRADES - 1) / (GRADES - 1)) if len(some) else np.zeros(GRADES - 2)
-    return toxic * (1 + np.searchsorted(cuts, markers, "left"))
+    return toxic * (1 + np.searchsorted(cuts, score, "left"))
 
 
 def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per row of `docs`: doc_id, grade, severity, toxic_score, toxic.
 
     grade: the most probable one (the lowest of equals); severity: the expected grade; toxic_score: P(grade > 0). A null or empty
-    text has no words and gets what the thresholds alone say; without labels of two grades all scores are 0. Repeated
+    text has no words and gets what the thresholds alone say, a very long one counts whole; without labels of two grades all scores are 0. Repeated
     rows get equal results; of a doc_id's labels the highest counts, a label of no document is ignored. Other columns are
     ignored; an empty table gives no rows.
     """

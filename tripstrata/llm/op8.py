@@ -5,12 +5,14 @@ The order is (hash of the text, hash of the row), so equal texts lie side by sid
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripstrata.llm.common import Scratch, table
 
@@ -95,6 +97,31 @@ def find_splitters(keys: DataFrame, cuts: int, tolerance: float) -> tuple[list[t
     return [found[g] for g in goals], total
 
 
+def ranged(keys: DataFrame, splitters: list[tuple[int, int]], name: str) -> DataFrame:
+    """`keys` with the number of splitters at or below each (hash, row) in the column `name`."""
+    hashes, rows = np.array([x[0] for x in splitters], np.int64), np.array([x[1] for x in splitters], np.int64)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, r = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("hash", "row"))
+            yield b.append_column(name, pa.array(locate(hashes, rows, h, r).astype(np.int32)))
+
+    return keys.mapInArrow(dealt, T.StructType([*keys.schema.fields, T.StructField(name, T.IntegerType())]))
+
+
+def with_slices(keys: DataFrame, bounds: list[tuple[int, int]], each: int) -> list[tuple[int, int]]:
+    """The shards' bounds and about `each` - 1 splitters within each shard, at quantiles of its hashes; where several fall on one
+    hash (a group of copies), at equal parts of its row keys. One row of quantiles a shard comes to the driver."""
+    parts = F.array(*[F.lit(i / each) for i in range(1, each)])
+    found = set(bounds)
+    ends = [(-(1 << 63), 0), *bounds, ((1 << 63) - 1, (1 << 62))]
+    for r in keys.groupBy("shard").agg(F.percentile_approx("hash", parts, 10 * each).alias("q")).collect():
+        low, high = ends[r["shard"]], ends[r["shard"] + 1]
+        for h, n in Counter(r["q"]).items():
+            found |= {x for x in ((h, (1 << 62) * i // n) for i in range(n)) if low < x < high}
+    return sorted(found)
+
+
 def histogram_shards(docs: DataFrame, n_shards: int = SHARDS, tolerance: float = TOLERANCE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per row of `docs`: doc_id, size, text_crc32, shard, slot, text_hash.
 
@@ -114,20 +141,17 @@ def histogram_shards(docs: DataFrame, n_shards: int = SHARDS, tolerance: float =
         if not total:
             return s.keep(keys.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.col("hash").alias("text_hash")))
         each = max(1, -(-total // (n_shards * slice_bytes)))
-        splitters, _ = find_splitters(keys, n_shards * each, tolerance)
-        hashes, rows = np.array([x[0] for x in splitters], np.int64), np.array([x[1] for x in splitters], np.int64)
-
-        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                h, r = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("hash", "row"))
-                yield b.append_column("slice", pa.array(locate(hashes, rows, h, r).astype(np.int32)))
-
-        sliced = keys.mapInArrow(dealt, "doc_id long, size long, text_crc32 long, hash long, uid long, row long, slice int")
+        bounds, _ = find_splitters(keys, n_shards, tolerance)
+        shard = ranged(keys, bounds, "shard")
+        splitters = with_slices(shard, bounds, each) if each > 1 else bounds
+        starts_at = np.array([0, *(i + 1 for i, x in enumerate(splitters) if x in set(bounds))])
+        sliced = ranged(shard, splitters, "slice")
         window = Window.partitionBy("slice").orderBy("hash", "row", "uid")
         placed = s.save(sliced.withColumn("place", F.row_number().over(window) - 1), "placed")
         counts = {x["slice"]: x["n"] for x in placed.groupBy("slice").agg(F.count("*").alias("n")).collect()}
-        first = [sum(counts.get(j, 0) for j in range(i // each * each, i)) for i in range(n_shards * each)]
-        starts = spark.createDataFrame([(i, i // each, n) for i, n in enumerate(first)], "slice int, shard int, first long")
+        of = np.searchsorted(starts_at, np.arange(len(splitters) + 1), "right") - 1
+        first = [sum(counts.get(j, 0) for j in range(int(starts_at[of[i]]), i)) for i in range(len(of))]
+        starts = spark.createDataFrame(list(enumerate(first)), "slice int, first long")
         done = placed.join(F.broadcast(starts), "slice")
         return s.keep(done.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), F.col("hash").alias("text_hash")))
 
