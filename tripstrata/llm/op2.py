@@ -32,7 +32,7 @@ from tripstrata.llm.shards import Shard, bits_for, by_part, finer, packed, split
 
 GRAM = 16
 #: Bytes of text for each owner, and for what it sorts at a time; minimizers and contexts that a map task gathers at a time.
-OWNER_BYTES, FINE_BYTES, MINIMIZERS, CONTEXTS = 4 << 20, 2 << 20, 500_000, 60_000
+OWNER_BYTES, FINE_BYTES, MINIMIZERS, CONTEXTS = 8 << 20, 8 << 20, 500_000, 60_000
 #: Longer texts are looked through in pieces that overlap by LENGTH - 1.
 PIECE = 1 << 23
 NO_ID = (1 << 63) - 1
@@ -238,40 +238,46 @@ def _dedup_spans(docs: DataFrame, s: Scratch, owner_bytes: int, fine_bytes: int,
     found = rows.mapInArrow(send_contexts, "part long, blob binary")
     model.about["found"] = {x["part"]: (x["name"], x["ends"]) for x in by_part(found, bits, own_contexts, "part long, name string, ends array<long>").collect()}
 
-    def marks(model: Index, doc_ids: list, texts: list[bytes]) -> list[list[tuple[int, int]]]:
+    def marks(doc_ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Removed runs of bytes, in order: text number, start, end."""
         doc, h, first, last = contexts(model, texts)
-        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        mine = np.array([NO_ID if d is None else d for d in doc_ids], np.int64)
         order = np.argsort(h, kind="stable")
+        found = []
         for part, x in split_by(bits, h[order]):
             some = order[x]
-            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(texts[d][a : z + LENGTH]) for d, a, z in zip(doc[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True)), np.uint64).reshape(-1, 2)
+            d, a, z = doc[some], first[some], last[some]
+            keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(texts[i][j : k + LENGTH]) for i, j, k in zip(d.tolist(), a.tolist(), z.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
             n, offset = looked_up(model, part, h[some], keys)
-            values = model.array(f"{model.about['found'][part][0]}.ids", "<i8")
-            for d, a, z, k, o in zip(doc[some].tolist(), first[some].tolist(), last[some].tolist(), n.tolist(), offset.tolist(), strict=True):
-                mine = NO_ID if doc_ids[d] is None else doc_ids[d]
-                if k == 1:
-                    if values[o] < mine:
-                        out[d].append((a, z + LENGTH))
-                else:
-                    out[d] += [(a + int(i), a + int(i) + LENGTH) for i in np.flatnonzero(values[o : o + k] < mine)]
-        return out
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            hit = np.flatnonzero(model.array(f"{model.about['found'][part][0]}.ids", "<i8")[np.repeat(offset, n) + within] < np.repeat(mine[d], n))
+            of, within = np.repeat(np.arange(len(n)), n)[hit], within[hit]
+            start = a[of] + within
+            found.append((d[of], start, np.where(n[of] == 1, z[of], start) + LENGTH))
+        if not found:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        d, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((start, d))
+        begin = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        base = begin[d[order]]
+        start, top = start[order] + base, np.maximum.accumulate(end[order] + base) if len(d) else end
+        new = np.flatnonzero(np.append(True, start[1:] > top[:-1])) if len(d) else np.zeros(0, np.int64)
+        until = top[np.append(new[1:] - 1, len(top) - 1)] if len(d) else top
+        return d[order][new], start[new] - base[new], until - base[new]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+                for d, a, z in zip(*(x.tolist() for x in marks(ids, texts)), strict=True):
+                    spans[d].append((a, z))
                 out = []
-                for doc_id, text, spans in zip(ids, texts, marks(model, ids, texts), strict=True):
-                    merged: list[list[int]] = []
-                    for a, z in sorted(spans):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(z, merged[-1][1])
-                        else:
-                            merged.append([a, z])
-                    ends = [0, *(x for m in merged for x in m), len(text)]
+                for doc_id, text, gone in zip(ids, texts, spans, strict=True):
+                    ends = [0, *(x for m in gone for x in m), len(text)]
                     kept = b"".join(text[a:z] for a, z in zip(ends[::2], ends[1::2], strict=True))
-                    out.append((doc_id, len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": z} for a, z in merged]))
+                    out.append((doc_id, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": z} for a, z in gone]))
                 yield pa.RecordBatch.from_pylist([dict(zip(OUT.names, x, strict=True)) for x in out], OUT)
 
     OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])

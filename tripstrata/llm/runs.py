@@ -17,7 +17,7 @@ from tripstrata.llm.induced import CAP, END, STOP, Queues, suffixes_down
 
 LENGTH = 50
 #: Bytes of contexts that are sorted at a time; memory of queues, beyond which they lie on disk.
-BLOCK_BYTES, QUEUE_BYTES = 1 << 20, 32 << 20
+BLOCK_BYTES, QUEUE_BYTES = 4 << 20, 32 << 20
 #: Strings of each run that a merge holds; runs that are merged at a time.
 RUN_STRINGS, FAN = 1024, 32
 
