@@ -116,7 +116,10 @@ def scaled_centroids(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = list(ops.PENALTY.items())
 
 
-@query(f"WITH {LONG}, pen(label, p) AS (VALUES " + ", ".join(f"({i}, {v})" for i, (_, v) in enumerate(_NAMES)) + "), n AS (SELECT label FROM embeddings GROUP BY 1 HAVING count(*) >= 10), c AS (SELECT label, i, avg(x) AS c FROM v SEMI JOIN n USING (label) GROUP BY 1, 2), w AS (SELECT i, 1 + sum(p * abs(c)) / (SELECT sum(p) FROM pen) AS w FROM c JOIN pen USING (label) GROUP BY 1) SELECT i::INT AS i, round(w / avg(w) OVER (), 6) AS weight FROM w")
+_WEIGHTS = f"WITH {LONG}, pen(label, p) AS (VALUES " + ", ".join(f"({i}, {v})" for i, (_, v) in enumerate(_NAMES)) + "), n AS (SELECT label FROM embeddings GROUP BY 1 HAVING count(*) >= 10), c AS (SELECT label, i, avg(x) AS c FROM v SEMI JOIN n USING (label) GROUP BY 1, 2), w AS (SELECT i, 1 + sum(p * abs(c)) / (SELECT sum(p) FROM pen) AS w FROM c JOIN pen USING (label) GROUP BY 1) SELECT i::INT AS i, round(w / avg(w) OVER (), 6) AS weight FROM w"
+
+
+@query(_WEIGHTS)
 def feature_weights(spark: SparkSession, d: str) -> DataFrame:
     """1 + penalty-weighted mean size of a feature's group means, over groups of ten or more; divided by the mean weight."""
     from pyspark.sql import Window
@@ -129,6 +132,12 @@ def feature_weights(spark: SparkSession, d: str) -> DataFrame:
     return w.select("i", F.round(F.col("w") / F.avg("w").over(Window.partitionBy()), 6).alias("weight"))
 
 
+@query(f"SELECT i, weight FROM ({_WEIGHTS}) ORDER BY weight DESC, i LIMIT 15")
+def top_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen features of most weight."""
+    return feature_weights(spark, d).orderBy(F.desc("weight"), "i").limit(15)
+
+
 @query("SELECT label, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct, round(stddev_pop(count(*)) OVER (), 4) AS size_std FROM embeddings GROUP BY 1")
 def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window

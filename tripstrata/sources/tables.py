@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,9 +50,20 @@ def write_by_year(df: DataFrame, path: str) -> None:
 
 def read_coupons(spark: SparkSession, parquet: str, raw: list[str]) -> DataFrame:
     """The Parquet dataset if it is there, else the raw files."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(parquet)
-    there = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    return spark.read.parquet(parquet) if there else read_raw(spark, raw)
+    at, system = file_at(spark, parquet)
+    return spark.read.parquet(parquet) if system.exists(at) else read_raw(spark, raw)
+
+
+def write_table(df: DataFrame, path: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A zstd Parquet table, such as the bookings or the customers, and what it then reads as; sorted by `keys` within files, so
+    that later filters on them skip row groups."""
+    (df.sortWithinPartitions(*keys) if keys else df).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: str | T.StructType, header: bool = True) -> DataFrame:
+    """A CSV extract or dimension by a stated schema; what doesn't fit a type is NULL."""
+    return spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -62,15 +72,29 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_summary(tables: dict[str, DataFrame], path: str, rows: int = 50) -> None:
     """Markdown of small aggregates: at most `rows` rows of each reach the driver."""
-    lines = []
+    lines, df = [], None
     for title, df in tables.items():
         got = df.limit(rows).collect()
         lines += [f"## {title}", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *("| " + " | ".join(str(v) for v in r) + " |" for r in got), ""]
-    Path(path).write_text("\n".join(lines))
+    write_text(df.sparkSession, "\n".join(lines), path)
+
 
+def write_json(spark: SparkSession, values: dict, path: str) -> None:
+    write_text(spark, json.dumps(values, indent=1, default=str), path)
 
-def write_json(values: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(values, indent=1, default=str))
+
+def file_at(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, whatever store it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file."""
+    at, system = file_at(spark, path)
+    out = system.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def farebrands(spark: SparkSession) -> DataFrame:
@@ -88,7 +112,10 @@ def dimension(spark: SparkSession, rows: list[tuple], schema: str, key: str) ->
 
 def read_labels(spark: SparkSession, path: str | None) -> DataFrame | None:
     """Expert labels (id, true_segment), if there are any."""
-    if path is None or not Path(path).exists():
+    if path is None:
+        return None
+    at, system = file_at(spark, path)
+    if not system.exists(at):
         return None
     return spark.read.option("header", True).schema(T.StructType().add("id", "string").add("true_segment", "string")).csv(path)
 
