@@ -84,10 +84,12 @@ def test_ranks_and_splits(spark):
     ranked, n = sampling.with_rank(df, "x")
     assert n == 1000 and ranked.where("rank <> x + 1").count() == 0
     split = sampling.stratified_split(df.withColumn("s", F.col("id") % 3), "s", "id")
-    assert 0.75 < split.where("train").count() / 1000 < 0.85
+    assert {tuple(r) for r in split.groupBy("s").agg(F.count("*"), F.count_if("train")).collect()} == {(0, 334, 267), (1, 333, 266), (2, 333, 266)}
+    assert {r["count"] for r in sampling.folds(df.withColumn("s", F.col("id") % 3), "s", "id").groupBy("s", "fold").count().collect()} == {66, 67}
     e = spark.createDataFrame([(i, int(i < 6), [float(i), 0.0]) for i in range(30)], "id long, label int, v array<double>")
     over = dict(sampling.oversample(e, "label", "id").groupBy("label").count().collect())
-    assert over == {0: 24, 1: 24} and sampling.smote(e.where("label = 1"), "label", "id", "v", 5).count() == 5
+    under = dict(sampling.undersample(e, "label", "id").groupBy("label").count().collect())
+    assert over == {0: 24, 1: 24} and under == {0: 6, 1: 6} and sampling.smote(e.where("label = 1"), "label", "id", "v", 5).count() == 5
     assert [tuple(r) for r in sampling.tomek_links(spark.createDataFrame([(0, 0, [0.0]), (1, 1, [1.0]), (2, 1, [1.5]), (3, 0, [5.0])], "id int, label int, v array<double>"), "label", "id", "v").collect()] == []
 
 
@@ -95,14 +97,98 @@ def test_clustering():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.2, (60, 2)) for c in ((0, 0), (5, 5), (0, 5))])
     y = np.repeat([0, 1, 2], 60)
-    for f in (models.ward(3), models.hdbscan(15, 5), models.dbscan(5, 0.95)):
+    for f in (models.ward(3), models.hdbscan(15, 5)):
         got = f(x)
         assert all(len(set(got[y == c]) - {-1}) == 1 for c in range(3)) and len(set(got) - {-1}) == 3
-    assert models.silhouette(x, y) > 0.9 and models.dbcv(x, y) > 0.5 and np.isnan(models.dbcv(x, np.zeros(180, int)))
+    assert models.dbcv(x, y) > 0.5 and np.isnan(models.dbcv(x, np.zeros(180, int)))
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 0.2, (60, 2)) for c in ((0, 0), (5, 5), (0, 5))] + [[[20.0, 20.0]]])
+    y = np.append(np.repeat([0, 1, 2], 60), 2)
+    return x, y, spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], "id long, embedding array<double>, label int")
+
+
+def test_silhouettes(blobs):
+    x, y, df = blobs
     d = models.distances(x)
-    a = [d[i][(y == y[i])].sum() / 59 for i in range(180)]
-    b = [min(d[i][y == c].mean() for c in range(3) if c != y[i]) for i in range(180)]
-    assert models.silhouette(x, y) == pytest.approx(np.mean([(q - p) / max(p, q) for p, q in zip(a, b, strict=True)]))
+    n = len(x)
+    a = [d[i][(y == y[i])].sum() / ((y == y[i]).sum() - 1) for i in range(n)]
+    b = [min(d[i][y == c].mean() for c in range(3) if c != y[i]) for i in range(n)]
+    got = models.silhouettes(df, "label", "id").first()
+    assert got["asked"] == n and got["silhouette"] == pytest.approx(np.mean([(q - p) / max(p, q) for p, q in zip(a, b, strict=True)]))
+
+
+def test_dbscan(blobs):
+    """Against all pairs: core flags, reachable cores, border rows to the nearest core."""
+    x, _, df = blobs
+    d = models.distances(x)
+    eps = np.quantile(np.sort(d, 1)[:, 4], 0.9)
+    core = (d <= eps).sum(1) >= 6
+    want = np.where(core, np.arange(len(x)), -1)
+    for _ in range(len(x)):
+        want = np.array([min(want[j] for j in range(len(x)) if core[j] and d[i, j] <= eps) if core[i] else -1 for i in range(len(x))])
+    for i in np.flatnonzero(~core):
+        near = [j for j in range(len(x)) if core[j] and d[i, j] <= eps]
+        want[i] = want[min(near, key=lambda j: d[i, j])] if near else -1
+    got = dict(models.dbscan(df.drop("label"), "id", 6).collect())
+    assert [got[i] for i in range(len(x))] == want.tolist() and got[180] == -1
+
+
+@pytest.mark.parametrize(("probes", "cell", "group"), [(8, 1024, 50), (4, 12, 20)])
+def test_neighbours(blobs, monkeypatch, probes, cell, group):
+    """Exact in one cell, also when it is cut into groups; nearly all are found over cells."""
+    for k, v in (("PROBES", probes), ("CELL", cell), ("GROUP", group)):
+        monkeypatch.setattr(sampling, k, v)
+    x, _, df = blobs
+    d = models.distances(x)
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in sampling.neighbours(df, df, "id", "embedding", 3).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    hits = sum(len(got[i] & set(np.argsort(d[i])[:3].tolist())) for i in range(len(x))) / (3 * len(x))
+    assert hits == 1 if probes == 8 else hits > 0.9
+
+
+def test_tomek_and_adasyn(blobs):
+    _, _, df = blobs
+    e = df.withColumn("label", F.when(F.col("id") == 5, 1).otherwise(F.col("label")))
+    pairs = sampling.tomek_links(e, "label", "id", "embedding").collect()
+    assert all(5 in (r["a"], r["b"]) for r in pairs)
+    made = sampling.adasyn(e, "label", "id", "embedding", 1, 12)
+    assert made.count() > 0 and {r["label"] for r in made.collect()} == {1}
+
+
+def test_birch_is_bounded():
+    found = models.Features(0.01, 20)
+    rng = np.random.default_rng(0)
+    for v in rng.normal(0, 5, (600, 3)):
+        found.add(1.0, v, float(v @ v))
+    assert len(found.n) <= 20 and found.n.sum() == 600 and found.radius > 0.01
+
+
+def test_one_way_booking(spark):
+    """A booking of one coupon comes back to its origin only if the coupon ends there."""
+    day = dt.date(1998, 1, 2)
+    base = dict(customer_id=1, issue_date=day, departure_dt=day, lead_time_days=9, trip_origin=1, trip_dest=2, trip_od="a-b", value_tier=3, cabin="Y", is_award=False, is_group_booking=False, class_group=False, class_nonrev=False, foreign_issue=True, issue_country="X", channel="2-HIGH", segment_of_issue="FURNITURE", is_connecting=False, is_refund=False, revenue=10.0, flown=True, age=None, age_known=False, origin_key=1, dest_key=2, origin_domestic=1, dest_domestic=0, origin_region="ASIA", dest_region="EUROPE", coupon_order=1)
+    rows = [base, base | {"customer_id": 2}, base | {"customer_id": 2, "trip_origin": 2, "trip_dest": 1, "coupon_order": 2, "class_group": True}, base | {"customer_id": 3, "class_nonrev": True}]
+    kinds = ", ".join(f"{k} {dict(bool='boolean', int='long', float='double', str='string', date='date', NoneType='int')[type(v).__name__]}" for k, v in base.items())
+    got = {r["customer_id"]: r for r in coupon.bookings(spark.createDataFrame([tuple(r.values()) for r in rows], kinds)).collect()}
+    assert set(got) == {1, 2} and not got[1]["round_trip"] and got[2]["round_trip"] and got[2]["is_group"] and not got[1]["is_group"]
+    assert (got[1]["proxy_segment"], got[2]["proxy_segment"]) == ("OFW/Migrant", "Balikbayan/VFR")
+
+
+def test_paths_and_dates(spark):
+    from tripstrata.functions.columns import place, words
+    from tripstrata.operators import segments
+
+    df = spark.createDataFrame([(" MNL HKG LAX ", "mnllax", "31/12/2024", "12/31/68"), (None, None, "12/31/2024", "31/12/70")], "p string, s string, a string, b string")
+    got = df.select(words(F.col("p")), place(F.col("s"), 4), segments.date_day_first(F.col("a")), segments.date_month_first(F.col("b"))).collect()
+    assert tuple(got[0]) == (3, "LAX", dt.date(2024, 12, 31), dt.date(2068, 12, 31)) and tuple(got[1]) == (None, None, None, None)
+    one = spark.createDataFrame([(i, 3) for i in range(200)], "id long, month int")
+    assert 60 < segments.median_month(one, "month", "id").where("reference").count() < 140
 
 
 def test_latent_classes(spark):
@@ -124,6 +210,12 @@ def test_sources(spark, tmp_path):
     assert tables.read_coupons(spark, str(tmp_path / "out"), []).where("iss_year = 2025").count() == 2
     with pytest.raises(ValueError, match="repeated"):
         tables.dimension(spark, [("A", 1), ("A", 2)], "k string, v int", "k")
+    kept = tables.write_table(df.select("UniqueID", "iss_year"), str(tmp_path / "table"), ("UniqueID",))
+    assert kept.count() == 2 and "parquet" in kept._jdf.queryExecution().toString().lower()
+    tables.write_csv(df.select("UniqueID", "Age"), str(tmp_path / "csv"))
+    assert [tuple(r) for r in tables.read_table(spark, str(tmp_path / "csv"), "UniqueID string, Age int").orderBy("UniqueID").collect()] == [("ua", None), ("ub", None)]
+    tables.write_json(spark, {"a": 1}, str(tmp_path / "v.json"))
+    assert (tmp_path / "v.json").read_text() == '{\n "a": 1\n}'
     tables.write_summary({"t": df.select("UniqueID")}, str(tmp_path / "s.md"))
     assert "## t" in (tmp_path / "s.md").read_text() and tables.read_labels(spark, str(tmp_path / "no")) is None
 

@@ -9,7 +9,8 @@ from tripstrata.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"sub_segments", "bootstrap_stability", "random_forest", "gaussian_mixture", "resampling", "k_prototypes", "latent_classes", "kmeans", "minibatch_kmeans", "birch"}
+#: Many model fits: each runs once here, on few rows.
+SLOW = {"random_forest", "bootstrap_stability", "kmeans", "gaussian_mixture"}
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +49,12 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(SLOW))
+def test_models_run(spark, name, monkeypatch):
+    from tripstrata.plans import models
+
+    few = models.embeddings(spark, SF).where("vec_id < 300")
+    monkeypatch.setattr(models, "embeddings", lambda *_: few)
+    assert registry.queries()[name](spark, SF).count() > 0

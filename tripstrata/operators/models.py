@@ -1,7 +1,8 @@
 """Clustering, mixtures and classifiers.
 
 k-means, Gaussian mixtures, PCA and forests are Spark ML's. Latent classes are fitted by EM over distinct patterns, which are few
-however many rows there are. Methods that compare all pairs run on a sample with a stated bound, as one bounded group.
+however many rows there are. DBSCAN, nearest neighbours and the silhouette take all rows; HDBSCAN, Ward and the density-based
+validity, which need all pairs, are fitted on a sample with a stated bound, and every row is then assigned.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripstrata.operators.sampling import sample
+from tripstrata.functions.graph import components as connected
+from tripstrata.operators.sampling import cut_lineage, neighbours, sample
 
-#: Rows at most for what compares all pairs.
+#: Rows at most of a sample whose pairs are all compared.
 PAIRS = 2000
 
 
@@ -26,7 +28,7 @@ def as_vectors(df: DataFrame, array: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(array).cast("array<double>")))
 
 
-def kmeans(df: DataFrame, k: int, starts: int = 3, steps: int = 50) -> DataFrame:
+def kmeans(df: DataFrame, k: int, starts: int = 20, steps: int = 50) -> DataFrame:
     """The best of several starts by its cost."""
     v = as_vectors(df).persist()
     best = min((KMeans(k=k, maxIter=steps, seed=i).fit(v) for i in range(starts)), key=lambda m: m.summary.trainingCost)
@@ -55,6 +57,14 @@ def nearest(df: DataFrame, centres: np.ndarray) -> DataFrame:
     return df.withColumn("b", best).withColumns({"label": F.col("b.label"), "distance": F.sqrt("b.d2")}).drop("b")
 
 
+def kmeans_costs(df: DataFrame, ks: list[int], steps: int = 50) -> list[tuple[int, float]]:
+    """The cost of one fit for each number of clusters."""
+    v = as_vectors(df).persist()
+    out = [(k, KMeans(k=k, maxIter=steps, seed=1).fit(v).summary.trainingCost) for k in ks]
+    v.unpersist()
+    return out
+
+
 def gaussian_mixture(df: DataFrame, k: int) -> DataFrame:
     v = as_vectors(df)
     return GaussianMixture(k=k, seed=1, maxIter=30).fit(v).transform(v).withColumn("label", F.col("prediction")).drop("features", "prediction", "probability")
@@ -87,36 +97,30 @@ def distances(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(s[:, None] + s - 2 * x @ x.T, 0))
 
 
-def components(near: np.ndarray) -> np.ndarray:
-    """Component number of each node of a boolean adjacency matrix."""
-    label = np.arange(len(near))
-    while True:
-        low = np.minimum(label, np.where(near, label[None, :], len(near)).min(1, initial=len(near)))
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
-def dbscan(least: int = 15, quantile: float = 0.9, k: int = 5) -> Callable[[np.ndarray], np.ndarray]:
-    """eps is a quantile of the distances to the k-th neighbour, the point itself being the first."""
-
-    def run(x: np.ndarray) -> np.ndarray:
-        d = distances(x)
-        eps = np.quantile(np.sort(d, 1)[:, min(k, len(d)) - 1], quantile)
-        near = d <= eps
-        core = near.sum(1) >= least
-        label = np.full(len(d), -1)
-        if core.any():
-            at = np.flatnonzero(core)
-            label[at] = np.unique(components(near[np.ix_(at, at)]), return_inverse=True)[1]
-            for i in np.flatnonzero(~core):
-                touch = at[near[i, at]]
-                if len(touch):
-                    label[i] = label[touch[d[i, touch].argmin()]]
-        return label
-
-    return run
+def dbscan(df: DataFrame, key: str, least: int = 15, quantile: float = 0.9, k: int = 5, asked: int = 1000) -> DataFrame:
+    """(key, label): the smallest key of the row's cluster, -1 for noise. eps is a quantile of the distances to the k-th neighbour
+    (the row itself being the first), which `asked` rows measure against all; neighbours come by cells."""
+    some = neighbours(sample(df, asked, key), df, key, "embedding", k - 1).where(F.col("r") == k - 1)
+    eps = some.agg(F.percentile("distance", quantile).alias("eps")).first()["eps"]
+    if eps is None:
+        return df.select(key, F.lit(-1).cast("long").alias("label"))
+    near = cut_lineage(neighbours(df, df, key, "embedding", 0, within=eps).withColumnRenamed(key, "a").withColumnRenamed("other", "b"))
+    core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least).select(F.col("a").alias("id"))
+    # both ways: a neighbour may have been looked for from one side only
+    links = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+    found = connected(core, links.union(links.select("b", "a")).distinct(), cut_lineage)
+    border = near.join(found.select(F.col("id").alias("b"), "component"), "b").join(core.withColumnRenamed("id", "a"), "a", "left_anti")
+    border = border.groupBy(F.col("a").alias("id")).agg(F.min_by("component", F.struct("distance", "b")).alias("component"))
+    labels = found.unionByName(border).select(F.col("id").alias(key), F.col("component").alias("label"))
+    return df.select(key).join(labels, key, "left").na.fill(-1, ["label"])
+
+
+def assigned(df: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
+    """Every row's label: its own where it was in the fitted sample (key, label), else that of the nearest fitted row."""
+    some = df.join(F.broadcast(fitted.select(key)), key, "left_semi")
+    near = neighbours(df.join(F.broadcast(fitted.select(key)), key, "left_anti"), some, key, "embedding", 1)
+    rest = near.join(fitted.select(F.col(key).alias("other"), "label"), "other").select(key, "label")
+    return fitted.select(key, "label").unionByName(rest)
 
 
 def spanning_tree(w: np.ndarray) -> list[tuple[float, int, int]]:
@@ -220,44 +224,72 @@ def ward(k: int) -> Callable[[np.ndarray], np.ndarray]:
     return run
 
 
-def birch(df: DataFrame, key: str, k: int, radius: float, starts: int = 2) -> DataFrame:
-    """Per-partition subclusters within a radius (one pass, bounded sums), then k-means over the subclusters' means."""
+#: Subclusters that a partition keeps; beyond it, the radius grows and they are merged anew.
+SUBCLUSTERS = 512
+
+
+class Features:
+    """Clustering features: counts, sums and sums of squares of subclusters within a radius; a full table is rebuilt with a
+    larger radius, as by Zhang et al. (1996), here flat instead of a tree."""
+
+    def __init__(self, radius: float, most: int = SUBCLUSTERS):
+        self.radius, self.most, self.n, self.s, self.q = radius, most, np.zeros(0), np.zeros((0, 0)), np.zeros(0)
+
+    def add(self, n: float, s: np.ndarray, q: float) -> None:
+        if len(self.n):
+            centre = self.s / self.n[:, None]
+            at = int(((centre - s / n) ** 2).sum(1).argmin())
+            total, joint = self.n[at] + n, self.s[at] + s
+            if max((self.q[at] + q) / total - ((joint / total) ** 2).sum(), 0.0) ** 0.5 <= self.radius:
+                self.n[at], self.s[at], self.q[at] = total, joint, self.q[at] + q
+                return
+        self.n, self.q = np.append(self.n, n), np.append(self.q, q)
+        self.s = np.vstack([self.s.reshape(-1, len(s)), s])
+        if len(self.n) > self.most:
+            old = list(zip(self.n, self.s, self.q, strict=True))
+            self.radius, self.n, self.s, self.q = self.radius * 1.5 + 1e-9, np.zeros(0), np.zeros((0, len(s))), np.zeros(0)
+            for x in old:
+                self.add(*x)
+
+
+def birch(df: DataFrame, k: int, radius: float, starts: int = 2) -> DataFrame:
+    """Subclusters per partition in one pass, of bounded number, then k-means over their means, weighted by their sizes."""
 
     def summaries(batches):
-        n, s = [], []
+        found = Features(radius)
         for b in batches:
             for x in np.array(b["embedding"].tolist(), float).reshape(len(b), -1):
-                at = int(((np.array(s) / np.array(n)[:, None] - x) ** 2).sum(1).argmin()) if n else -1
-                if n and ((s[at] / n[at] - x) ** 2).sum() ** 0.5 <= radius:
-                    n[at] += 1
-                    s[at] = s[at] + x
-                else:
-                    n.append(1)
-                    s.append(x)
-        yield pd.DataFrame({"n": n, "embedding": [list(a / b) for a, b in zip(s, n, strict=True)]})
+                found.add(1.0, x, float(x @ x))
+        yield pd.DataFrame({"n": found.n, "embedding": (found.s / np.maximum(found.n, 1)[:, None]).tolist()})
 
-    subs = as_vectors(df.select("embedding").mapInPandas(summaries, "n long, embedding array<double>")).persist()
+    subs = as_vectors(df.select("embedding").mapInPandas(summaries, "n double, embedding array<double>")).persist()
     model = min((KMeans(k=k, seed=i, weightCol="n").fit(subs) for i in range(starts)), key=lambda m: m.summary.trainingCost)
     subs.unpersist()
     return nearest(df, np.array(model.clusterCenters()))
 
 
-def silhouette(x: np.ndarray, label: np.ndarray) -> float:
-    """Mean of (b - a) / max(a, b) over the clustered points, Euclidean."""
-    keep = label >= 0
-    x, label = x[keep], label[keep]
-    ids = np.unique(label)
-    if len(ids) < 2:
-        return float("nan")
-    d = distances(x)
-    means = np.stack([d[:, label == c].sum(1) for c in ids], 1)
-    n = np.array([(label == c).sum() for c in ids])
-    own = np.searchsorted(ids, label)
-    a = means[range(len(x)), own] / np.maximum(n[own] - 1, 1)
-    other = means / n
-    other[range(len(x)), own] = np.inf
-    b = other.min(1)
-    return float(np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).mean())
+def silhouettes(df: DataFrame, label: str, key: str, asked: int = PAIRS) -> DataFrame:
+    """Mean silhouette of `asked` rows (all, if there are no more) against all rows without noise, and how many they are. The asked
+    rows' vectors are what is broadcast; every batch of rows adds its distances by label."""
+    rows = df.where(F.col(label) >= 0)
+    few = sorted((r[0], r[1], r[2]) for r in sample(rows, asked, key).select(key, label, "embedding").collect())
+    ids, own, x = np.array([r[0] for r in few]), np.array([r[1] for r in few]), np.array([r[2] for r in few], float)
+
+    def add(batches):
+        for b in batches:
+            y, of = np.array(b["embedding"].tolist(), float), b[label].to_numpy()
+            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+            d[ids[:, None] == b[key].to_numpy()] = 0
+            for c in np.unique(of):
+                yield pd.DataFrame({"i": np.arange(len(x)), "c": int(c), "s": d[:, of == c].sum(1), "n": int((of == c).sum())})
+
+    sums = rows.select(key, label, "embedding").mapInPandas(add, "i int, c int, s double, n long").groupBy("i", "c").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    mine = df.sparkSession.createDataFrame(list(enumerate(own.tolist())) or [(0, 0)], "i int, own int")
+    both = sums.join(F.broadcast(mine), "i").groupBy("i").agg(
+        F.max(F.when(F.col("c") == F.col("own"), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.max(F.when(F.col("c") == F.col("own"), F.col("n"))).alias("n"), F.min(F.when(F.col("c") != F.col("own"), F.col("s") / F.col("n"))).alias("b"),
+    )
+    value = F.when(F.col("n") > 1, (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12))).otherwise(0.0)
+    return both.agg(F.count("*").alias("asked"), F.avg(value).alias("silhouette"))
 
 
 def dbcv(x: np.ndarray, label: np.ndarray) -> float:
@@ -286,20 +318,23 @@ def dbcv(x: np.ndarray, label: np.ndarray) -> float:
 
 
 def knn_labels(train: DataFrame, df: DataFrame, key: str, k: int = 15) -> DataFrame:
-    """Distance-weighted vote of the k nearest training rows (a bounded sample)."""
-    from tripstrata.operators.sampling import neighbours
-
+    """Distance-weighted vote of the k nearest of all training rows."""
     near = neighbours(df, train, key, "embedding", k)
     votes = near.join(train.select(F.col(key).alias("other"), "label"), "other").groupBy(key, "label").agg(F.sum(1 / F.greatest("distance", F.lit(1e-12))).alias("w"))
     return votes.groupBy(key).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("predicted"))
 
 
-def latent_classes(df: DataFrame, columns: list[str], k: int, steps: int = 40, seed: int = 0) -> dict:
-    """EM of a latent class model over the distinct patterns of integer codes; log-likelihood, BIC, AIC and class shares.
+def latent_classes(df: DataFrame, columns: list[str], k: int, steps: int = 40, starts: int = 2, weight: str | None = None) -> dict:
+    """EM of a latent class model over the distinct patterns of integer codes, the best of several starts; log-likelihood, BIC, AIC
+    and class shares. Rows count once, or as often as `weight` says.
 
     The patterns (one row each, with their counts) come to the driver: at most the product of the columns' levels.
     """
-    got = df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(*columns).collect()
+    got = df.groupBy(*columns).agg((F.sum(weight) if weight else F.count("*")).alias("n")).orderBy(*columns).collect()
+    return max((_latent_start(got, columns, k, steps, seed) for seed in range(starts)), key=lambda g: g["loglik"])
+
+
+def _latent_start(got: list, columns: list[str], k: int, steps: int, seed: int) -> dict:
     codes, n = np.array([[r[c] for c in columns] for r in got], int), np.array([r["n"] for r in got], float)
     levels = codes.max(0) + 1
     rng = np.random.default_rng(seed)

@@ -1,5 +1,5 @@
-"""Queries of the clustering, mixture, classification and resampling operators. SQL expresses few of these; tests hold the
-others against brute force."""
+"""Queries of the clustering, mixture, classification and resampling operators. SQL expresses few of these; tests hold their
+operators against brute force, or their results against given labels."""
 
 from __future__ import annotations
 
@@ -22,6 +22,12 @@ def kmeans(spark: SparkSession, d: str) -> DataFrame:
     return models.kmeans(embeddings(spark, d).drop("label"), 10).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query(None)
+def kmeans_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The cost of 2 to 15 clusters."""
+    return spark.createDataFrame([(k, round(c, 4)) for k, c in models.kmeans_costs(embeddings(spark, d).drop("label"), list(range(2, 16)))], "k int, cost double")
+
+
 @query(None)
 def minibatch_kmeans(spark: SparkSession, d: str) -> DataFrame:
     return models.minibatch_kmeans(embeddings(spark, d), 10, "vec_id").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 4).alias("mean_distance"))
@@ -29,8 +35,7 @@ def minibatch_kmeans(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def gaussian_mixture(spark: SparkSession, d: str) -> DataFrame:
-    e = embeddings(spark, d).withColumn("embedding", F.slice("embedding", 1, 4))
-    return models.gaussian_mixture(e.drop("label"), 4).groupBy("label").agg(F.count("*").alias("n"))
+    return models.gaussian_mixture(embeddings(spark, d).drop("label"), 4).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(None)
@@ -39,6 +44,15 @@ def principal_components(spark: SparkSession, d: str) -> DataFrame:
     return pc.select("vec_id", "label", F.round(F.col("pc")[0], 5).alias("pc1"), F.round(F.col("pc")[1], 5).alias("pc2"), F.lit(round(sum(parts), 5)).alias("explained"))
 
 
+@query(None)
+def variance_components(spark: SparkSession, d: str) -> DataFrame:
+    """How many principal components hold 90 % of the variance."""
+    _, parts = models.principal(embeddings(spark, d), 64)
+    held = np.cumsum(parts)
+    k = int(np.searchsorted(held, 0.9) + 1)
+    return spark.createDataFrame([(k, round(float(held[min(k, len(held)) - 1]), 5))], "components int, held double")
+
+
 @query(None)
 def segment_boxes(spark: SparkSession, d: str) -> DataFrame:
     """q02 to q98 of each label in the plane of the first two components."""
@@ -49,59 +63,68 @@ def segment_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def dbscan(spark: SparkSession, d: str) -> DataFrame:
-    return models.bounded(embeddings(spark, d).drop("label"), "vec_id", models.dbscan()).groupBy("label").agg(F.count("*").alias("n"))
+    return models.dbscan(embeddings(spark, d).drop("label"), "vec_id").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(None)
-def hdbscan(spark: SparkSession, d: str) -> DataFrame:
-    return models.bounded(embeddings(spark, d).drop("label"), "vec_id", models.hdbscan(15, 5)).groupBy("label").agg(F.count("*").alias("n"))
+def hdbscan_of_sample(spark: SparkSession, d: str) -> DataFrame:
+    """HDBSCAN of a sample of at most PAIRS rows; every other row gets the label of the nearest sampled one."""
+    e = embeddings(spark, d).drop("label")
+    return models.assigned(e, models.bounded(e, "vec_id", models.hdbscan(15, 5)), "vec_id").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(None)
-def ward(spark: SparkSession, d: str) -> DataFrame:
-    """Ward on a sample; every row then goes to the nearest centroid."""
+def ward_of_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Ward on a sample of at most 1,000 rows; every row then goes to the nearest centroid."""
     e = embeddings(spark, d).drop("label")
-    got = models.bounded(e, "vec_id", models.ward(10), 400)
+    got = models.bounded(e, "vec_id", models.ward(10), 1000)
     c = monitor.centroids(e.join(got, "vec_id"), "label", "embedding").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("v")).orderBy("label").collect()
     return models.nearest(e, np.array([[x["c"] for x in r["v"]] for r in c])).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(None)
 def birch(spark: SparkSession, d: str) -> DataFrame:
-    return models.birch(embeddings(spark, d).drop("label"), "vec_id", 10, 0.5).groupBy("label").agg(F.count("*").alias("n"))
+    return models.birch(embeddings(spark, d).drop("label"), 10, 0.5).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(None)
 def knn_classifier(spark: SparkSession, d: str) -> DataFrame:
     """Held-out accuracy by label of a 15-nearest-neighbour vote."""
     e = sampling.stratified_split(embeddings(spark, d), "label", "vec_id")
-    train = sampling.sample(e.where("train"), models.PAIRS, "vec_id").select("vec_id", "embedding", "label")
+    train = e.where("train").select("vec_id", "embedding", "label")
     test = e.where("NOT train").select("vec_id", "embedding", F.col("label").alias("own"))
     return test.join(models.knn_labels(train, test, "vec_id"), "vec_id").groupBy("own").agg(F.count("*").alias("n"), F.round(F.avg((F.col("own") == F.col("predicted")).cast("int")), 4).alias("accuracy"))
 
 
 @query(None)
 def random_forest(spark: SparkSession, d: str) -> DataFrame:
-    """Class-weighted forest, held-out confusion counts."""
+    """Confusion counts of a class-weighted forest of 200 trees, each row predicted by the forest of the four folds without it."""
     from pyspark.ml.classification import RandomForestClassifier
 
-    e = models.as_vectors(sampling.stratified_split(embeddings(spark, d), "label", "vec_id"))
+    e = models.as_vectors(sampling.folds(embeddings(spark, d), "label", "vec_id")).drop("embedding")
     n = e.groupBy("label").agg(F.count("*").alias("n"))
-    w = e.join(F.broadcast(n.select("label", (1.0 / F.col("n")).alias("w"))), "label")
-    model = RandomForestClassifier(numTrees=30, maxDepth=8, seed=1, weightCol="w").fit(w.where("train"))
-    return model.transform(w.where("NOT train")).groupBy("label", F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
+    w = e.join(F.broadcast(n.select("label", (1.0 / F.col("n")).alias("w"))), "label").persist()
+    forest = RandomForestClassifier(numTrees=200, maxDepth=12, seed=1, weightCol="w")
+    parts = [forest.fit(w.where(F.col("fold") != i)).transform(w.where(F.col("fold") == i)).groupBy("label", F.col("prediction").cast("int").alias("predicted")).count().collect() for i in range(5)]
+    w.unpersist()
+    return spark.createDataFrame([r for p in parts for r in p], "label int, predicted int, n long").groupBy("label", "predicted").agg(F.sum("n").alias("n"))
+
+
+@query(None)
+def silhouette(spark: SparkSession, d: str) -> DataFrame:
+    """Mean silhouette of the given labels, of at most PAIRS asked rows against all rows."""
+    return models.silhouettes(embeddings(spark, d), "label", "vec_id").withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query(None)
-def cluster_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Silhouette and density-based validity of the given labels, on a bounded sample."""
+def validity_of_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Density-based validity of the given labels, on a sample of at most PAIRS rows."""
     import pandas as pd
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.array(g["embedding"].tolist(), float), g["label"].to_numpy()
-        return pd.DataFrame({"n": [len(g)], "silhouette": [round(models.silhouette(x, y), 6)], "dbcv": [round(models.dbcv(x, y), 6)]})
+        return pd.DataFrame({"n": [len(g)], "dbcv": [round(models.dbcv(np.array(g["embedding"].tolist(), float), g["label"].to_numpy()), 6)]})
 
-    return sampling.sample(embeddings(spark, d), models.PAIRS, "vec_id").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "n long, silhouette double, dbcv double")
+    return sampling.sample(embeddings(spark, d), models.PAIRS, "vec_id").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "n long, dbcv double")
 
 
 def codes(spark: SparkSession, d: str) -> DataFrame:
@@ -116,8 +139,9 @@ CODES = ["lead_bucket", "tier", "coupons", "is_international", "round_trip", "an
 
 @query(None)
 def latent_classes(spark: SparkSession, d: str) -> DataFrame:
-    df = codes(spark, d).groupBy(*CODES).agg(F.count("*").alias("m")).select(F.explode(F.array_repeat(F.lit(1), F.col("m").cast("int"))).alias("one"), *CODES)
-    got = [models.latent_classes(df, CODES, k) for k in (2, 3, 4)]
+    df = codes(spark, d).groupBy(*CODES).agg(F.count("*").alias("m")).persist()
+    got = [models.latent_classes(df, CODES, k, weight="m") for k in range(3, 10)]
+    df.unpersist()
     return spark.createDataFrame([(g["k"], round(g["bic"], 3), round(g["aic"], 3), round(g["shares"][0], 4)) for g in got], "k int, bic double, aic double, largest double")
 
 
@@ -125,10 +149,11 @@ def latent_classes(spark: SparkSession, d: str) -> DataFrame:
 def sub_segments(spark: SparkSession, d: str) -> DataFrame:
     """Latent classes within parents; the number of classes with the least BIC. Columns that don't vary are dropped."""
     df, out = codes(spark, d).persist(), []
-    for parent in ("Family", "Unassigned"):
+    parents = [r[0] for r in df.groupBy("proxy_segment").count().where("count >= 50").orderBy("proxy_segment").collect()]
+    for parent in parents:
         some = df.where(F.col("proxy_segment") == parent)
         distinct = some.agg(*[F.count_distinct(c).alias(c) for c in CODES]).first()
-        best = min((models.latent_classes(some, [c for c in CODES if distinct[c] > 1], k) for k in (2, 3)), key=lambda g: g["bic"])
+        best = min((models.latent_classes(some, [c for c in CODES if distinct[c] > 1], k) for k in (2, 3, 4)), key=lambda g: g["bic"])
         out += [(parent, best["k"], i, round(s, 4)) for i, s in enumerate(best["shares"])]
     df.unpersist()
     return spark.createDataFrame(out, "parent string, k int, sub int, share double")
@@ -166,15 +191,26 @@ def reservoir_samples(spark: SparkSession, d: str) -> DataFrame:
     return a.agg(F.count("*").alias("sample_then_filter")).crossJoin(b.agg(F.count("*").alias("filter_then_sample")))
 
 
+@query("WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, n, (SELECT max(n) FROM n) AS over, (SELECT min(n) FROM n) AS under FROM n")
+def resampled_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Class sizes before and after over- and undersampling."""
+    e = embeddings(spark, d)
+    n = lambda df, name: df.groupBy("label").agg(F.count("*").alias(name))
+    return n(e, "n").join(n(sampling.oversample(e, "label", "vec_id"), "over"), "label").join(n(sampling.undersample(e, "label", "vec_id"), "under"), "label")
+
+
 @query(None)
 def resampling(spark: SparkSession, d: str) -> DataFrame:
-    """Class sizes before and after over- and undersampling, synthetic rows, and mutual nearest rows of two classes."""
+    """Synthetic rows that bring each class to the size of the largest (plain and by difficulty), and mutual nearest rows of two classes."""
     e = embeddings(spark, d)
-    n = lambda df, name: df.groupBy("label").agg(F.count("*").alias(name))
-    small = e.where("label = 0")
-    made = sampling.smote(small, "label", "vec_id", "embedding", 20)
-    links = sampling.tomek_links(sampling.sample(e, 500, "vec_id"), "label", "vec_id", "embedding").agg(F.count("*").alias("tomek_links"))
-    return n(e, "n").join(n(sampling.oversample(e, "label", "vec_id"), "over"), "label").join(n(sampling.undersample(e, "label", "vec_id"), "under"), "label", "left").join(n(made, "synthetic"), "label", "left").na.fill(0).crossJoin(F.broadcast(links))
+    sizes = {r["label"]: r["n"] for r in e.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    few = sorted((k for k in sizes if sizes[k] < max(sizes.values())), key=lambda k: (sizes[k], k))[:2]
+    plain = [sampling.smote(e.where(F.col("label") == k), "label", "vec_id", "embedding", max(sizes.values()) - sizes[k]).withColumn("how", F.lit("smote")) for k in few]
+    hard = [sampling.adasyn(e, "label", "vec_id", "embedding", k, max(sizes.values()) - sizes[k]).withColumn("how", F.lit("adasyn")) for k in few]
+    out = sampling.tomek_links(e, "label", "vec_id", "embedding").agg(F.count("*").alias("n")).select(F.lit("tomek links").alias("how"), F.lit(-1).alias("label"), "n")
+    for x in (*plain, *hard):
+        out = out.unionByName(x.groupBy("how", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n")))
+    return out
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
