@@ -88,3 +88,19 @@ def average_rank(df: DataFrame, column: str, name: str, descending: bool = False
     key = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
     w = Window.partitionBy().orderBy(key)
     return df.withColumn(name, F.rank().over(w) + (F.count("*").over(Window.partitionBy(column)) - 1) / 2.0)
+
+
+def counted_percentile(df: DataFrame, groups: list[str], x: str, parts: list[float]) -> DataFrame:
+    """Interpolated percentiles of x by group, as an array `q`, and how many rows have an x. Values are counted first: what
+    meets in one place is a group's distinct values (money in whole cents, say), not its rows."""
+    counted = df.where(F.col(x).isNotNull()).groupBy(*groups, x).agg(F.count("*").alias("__n"))
+    return counted.groupBy(*groups).agg(F.percentile(x, F.array(*map(F.lit, parts)), F.col("__n")).alias("q"), F.sum("__n").alias("n"))
+
+
+def cents(x: Column) -> Column:
+    return F.round(x * 100).cast("long")
+
+
+def from_cents(x: Column) -> Column:
+    """An amount in cents, rounded up at the half, as money: so that interpolated halves come out alike everywhere."""
+    return F.floor(x + 0.5) / 100

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripstrata.functions.columns import counted_percentile
+
 # What a miss of a segment costs.
 PENALTY = {"Corporate": 10, "Mabuhay Loyalist": 8, "OFW/Migrant": 5, "Premium Bleisure": 4, "Pilgrimage": 3, "Balikbayan/VFR": 2, "Family": 2, "Digital Nomad": 2, "Last-Minute": 1, "Budget/Adventure": 1}
 LEAST = 1e-6
@@ -28,7 +30,7 @@ def psi_terms(ref: DataFrame, cur: DataFrame, key: str) -> DataFrame:
 
 def decile_bins(ref: DataFrame, x: str) -> Column:
     """The bin of x between the distinct deciles of the reference (one row to the driver); open at both ends."""
-    edges = ref.agg(F.percentile(x, F.array(*[F.lit(i / 10) for i in range(11)])).alias("q")).first()["q"]
+    edges = counted_percentile(ref, [], x, [i / 10 for i in range(11)]).first()["q"]
     inner = sorted(set(edges))[1:-1]
     return sum((F.when(F.col(x) >= e, 1).otherwise(0) for e in inner), F.lit(0))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripstrata.functions.columns import clip, pct, share
+from tripstrata.functions.columns import cents, clip, counted_percentile, from_cents, pct, share
 from tripstrata.operators import coupon as ops
 from tripstrata.plans import sql
 from tripstrata.plans.base import query
@@ -77,10 +77,15 @@ def grain_stats(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count("*").alias("n_ids"), F.round(F.avg("n"), 4).alias("avg_rows"), F.median("n").alias("med_rows"), F.max("n").alias("max_rows"), F.round(F.percentile("n", 0.95), 4).alias("p95_rows"), F.round(F.avg("k"), 4).alias("avg_keys"), F.count_if(c("n") > 1).alias("repeat_ids"), F.round(F.avg("r"), 2).alias("avg_revenue"))
 
 
-@query(sql.clean("SELECT count(*) AS n, count(*) FILTER (revenue < 0) AS negative, count(*) FILTER (revenue = 0) AS zero, count(*) FILTER (revenue IS NULL) AS missing, round(avg(revenue), 2) AS mean, round(median(revenue), 2) AS median, round(quantile_cont(revenue, 0.99), 2) AS p99, round(max(revenue), 2) AS highest, count(*) FILTER (l_quantity > 45 OR l_quantity < 2) AS outliers FROM clean"))
+@query(sql.clean("SELECT count(*) AS n, count(*) FILTER (revenue < 0) AS negative, count(*) FILTER (revenue = 0) AS zero, count(*) FILTER (revenue IS NULL) AS missing, round(avg(revenue), 2) AS mean, floor(median(round(revenue * 100)::BIGINT) + 0.5) / 100 AS median, floor(quantile_cont(round(revenue * 100)::BIGINT, 0.99) + 0.5) / 100 AS p99, round(max(revenue), 2) AS highest, count(*) FILTER (l_quantity > 45 OR l_quantity < 2) AS outliers FROM clean"))
 def money_stats(spark: SparkSession, d: str) -> DataFrame:
-    r = F.col("revenue")
-    return ops.clean(spark, d).agg(F.count("*").alias("n"), F.count_if(r < 0).alias("negative"), F.count_if(r == 0).alias("zero"), F.count_if(r.isNull()).alias("missing"), F.round(F.avg(r), 2).alias("mean"), F.round(F.median(r), 2).alias("median"), F.round(F.percentile(r, 0.99), 2).alias("p99"), F.round(F.max(r), 2).alias("highest"), F.count_if((F.col("l_quantity") > 45) | (F.col("l_quantity") < 2)).alias("outliers"))
+    """Rows are counted by value (in cents) and outlier flag once; all figures come from the counts."""
+    x, n = F.col("x"), F.col("n")
+    out = (F.col("l_quantity") > 45) | (F.col("l_quantity") < 2)
+    counts = ops.clean(spark, d).groupBy(cents(F.col("revenue")).alias("x"), out.alias("out")).agg(F.count("*").alias("n"))
+    some = lambda p: F.coalesce(F.sum(F.when(p, n)), F.lit(0))
+    q = F.percentile("x", F.array(F.lit(0.5), F.lit(0.99)), n)
+    return counts.agg(F.sum("n").alias("n"), some(x < 0).alias("negative"), some(x == 0).alias("zero"), some(x.isNull()).alias("missing"), F.round(F.sum(x * n) / F.sum(F.when(x.isNotNull(), n)) / 100, 2).alias("mean"), from_cents(q[0]).alias("median"), from_cents(q[1]).alias("p99"), (F.max("x") / 100).alias("highest"), some(F.col("out")).alias("outliers"))
 
 
 @query(sql.clean("SELECT src_file, count(*) AS n, min(issue_date)::VARCHAR AS first_issue, max(issue_date)::VARCHAR AS last_issue FROM clean GROUP BY 1"))
@@ -101,7 +106,7 @@ def guard_id_persistence(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.clean(", g AS (SELECT issue_country, median(revenue) AS m FROM clean WHERE revenue > 0 GROUP BY 1 HAVING count(*) > 50) SELECT count(*) AS n_countries, round(max(m) / nullif(min(m), 0), 1) AS spread, round(max(m) / nullif(min(m), 0), 1) < 20 AS ok FROM g"))
 def guard_value_spread(spark: SparkSession, d: str) -> DataFrame:
-    g = ops.clean(spark, d).where("revenue > 0").groupBy("issue_country").agg(F.median("revenue").alias("m"), F.count("*").alias("k")).where("k > 50")
+    g = counted_percentile(ops.clean(spark, d).where("revenue > 0").withColumn("x", cents(F.col("revenue"))), ["issue_country"], "x", [0.5]).where("n > 50").select((F.col("q")[0] / 100).alias("m"))
     return g.agg(F.count("*").alias("n_countries"), F.round(F.try_divide(F.max("m"), F.min("m")), 1).alias("spread")).withColumn("ok", F.col("spread") < 20)
 
 

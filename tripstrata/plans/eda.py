@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripstrata.functions.columns import average_rank, bins, clip, null_false, share
+from tripstrata.functions.columns import average_rank, bins, cents, clip, from_cents, null_false, share
 from tripstrata.operators import coupon, rules
 from tripstrata.operators import tickets as t
 from tripstrata.plans import sql
@@ -149,15 +149,17 @@ def fare_histogram(spark: SparkSession, d: str) -> DataFrame:
     return counted(tickets(spark, d).withColumn("bin", width_bucket(x, 0.0, 60000.0, 60).cast("long")), "bin")
 
 
-@query(ticket_sql(""", q AS (SELECT cabin, quantile_cont(revenue, 0.25) AS q1, median(revenue) AS med, quantile_cont(revenue, 0.75) AS q3, avg(revenue) AS mean FROM ticket GROUP BY 1)
-SELECT q.cabin, round(any_value(q1), 2) AS q1, round(any_value(med), 2) AS med, round(any_value(q3), 2) AS q3, round(any_value(mean), 2) AS mean, round(min(revenue) FILTER (revenue >= q1 - 1.5 * (q3 - q1)), 2) AS low, round(max(revenue) FILTER (revenue <= q3 + 1.5 * (q3 - q1)), 2) AS high FROM ticket t JOIN q USING (cabin) GROUP BY 1"""))
+@query(ticket_sql(""", c AS (SELECT cabin, round(revenue * 100)::BIGINT AS x FROM ticket WHERE revenue IS NOT NULL), q AS (SELECT cabin, quantile_cont(x, 0.25) AS q1, median(x) AS med, quantile_cont(x, 0.75) AS q3, sum(x)::DOUBLE / count(*) AS mean FROM c GROUP BY 1)
+SELECT cabin, floor(any_value(q1) + 0.5) / 100 AS q1, floor(any_value(med) + 0.5) / 100 AS med, floor(any_value(q3) + 0.5) / 100 AS q3, floor(any_value(mean) + 0.5) / 100 AS mean, min(x) FILTER (x >= q1 - 1.5 * (q3 - q1)) / 100 AS low, max(x) FILTER (x <= q3 + 1.5 * (q3 - q1)) / 100 AS high FROM c JOIN q USING (cabin) GROUP BY 1"""))
 def box_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Quartiles per group, then whiskers at the last value within 1.5 interquartile ranges; groups are few, so quartiles are broadcast."""
-    df = tickets(spark, d).select("cabin", "revenue")
-    q = df.groupBy("cabin").agg(F.percentile("revenue", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg("revenue").alias("mean"))
+    """Quartiles per group, then whiskers at the last value within 1.5 interquartile ranges. Rows are counted by value once; both
+    steps work on the counts, in cents."""
+    n = tickets(spark, d).select("cabin", cents(F.col("revenue")).alias("x")).where("x IS NOT NULL").groupBy("cabin", "x").agg(F.count("*").alias("n"))
+    q = n.groupBy("cabin").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
     q = q.select("cabin", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"), "mean")
-    r, reach = F.col("revenue"), 1.5 * (F.col("q3") - F.col("q1"))
-    return df.join(F.broadcast(q), "cabin").groupBy("cabin").agg(*[F.round(F.first(c), 2).alias(c) for c in ("q1", "med", "q3", "mean")], F.round(F.min(F.when(r >= F.col("q1") - reach, r)), 2).alias("low"), F.round(F.max(F.when(r <= F.col("q3") + reach, r)), 2).alias("high"))
+    x, reach = F.col("x"), 1.5 * (F.col("q3") - F.col("q1"))
+    ends = [(F.min(F.when(x >= F.col("q1") - reach, x)) / 100).alias("low"), (F.max(F.when(x <= F.col("q3") + reach, x)) / 100).alias("high")]
+    return n.join(F.broadcast(q), "cabin").groupBy("cabin").agg(*[from_cents(F.first(c)).alias(c) for c in ("q1", "med", "q3", "mean")], *ends)
 
 
 @query(ticket_sql("SELECT region, round(median(fare_per_pax), 4) AS med_fare, median(lead_time) AS med_lead, count(*) AS n FROM ticket GROUP BY 1"))
