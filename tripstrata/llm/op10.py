@@ -2,7 +2,7 @@
 
 A window of an item occurs in a document only if all its shingles do, so its prefix for full containment is one shingle:
 the rarest over all documents. Every document word position is tested against a bit filter of the benchmark's shingles
-(of fixed size, so that it can sit in the plan; it can only pass too many), the positions that pass are joined exactly,
+(of bounded size, so that it can sit in the plan; it can only pass too many), the positions that pass are joined exactly,
 counted for the rarity order, and only the anchors' positions are joined with windows: the positional bound (the window
 has to start in the document) and the length bound (it has to end there) come first, then its words are compared.
 """
@@ -17,7 +17,8 @@ from tripstrata.llm.common import Scratch, row_number, table
 
 WINDOW = 13
 SHINGLE = 4
-FILTER_BITS = 20
+#: The filter has two to this many bits at least, sixteen for each shingle, and two to the second at most; a fuller one passes more.
+FILTER_BITS, MOST_BITS = 20, 24
 #: What separates words; A-Z are lower-cased after the split.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,9 +100,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         found = F.array().cast("array<struct<pos:int,size:int>>")
         for size in sizes:
             known = of_window.where(F.col("size") == size).select("shingle").distinct()
-            marks = bit_filter(known.select(F.xxhash64(*[F.lower(F.get(F.split("shingle", " "), j)) for j in range(size)]).alias("h")), filter_bits)
+            bits = max(filter_bits, min(MOST_BITS, (16 * known.count()).bit_length()))
+            marks = bit_filter(known.select(F.xxhash64(*[F.lower(F.get(F.split("shingle", " "), j)) for j in range(size)]).alias("h")), bits)
             base = base.withColumn(f"h{size}", shingle_hashes("folded", size))
-            found = F.concat(found, found_of(size, F.col(f"h{size}"), n, marks, filter_bits))
+            found = F.concat(found, found_of(size, F.col(f"h{size}"), n, marks, bits))
         base = base.select("row", "doc_id", n.cast("long").alias("n_words"), "text", found.alias("found"))
         base = base.withColumn("words", F.when(F.size("found") > 0, split_words(F.col("text"))))
         left = window - 1
