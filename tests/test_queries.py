@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tripstrata.plans import registry
 
@@ -55,6 +56,6 @@ def test_runs(spark, name):
 def test_models_run(spark, name, monkeypatch):
     from tripstrata.plans import models
 
-    few = models.embeddings(spark, SF).where("vec_id < 300")
+    few = models.embeddings(spark, SF).where("vec_id < 500").withColumn("embedding", F.slice("embedding", 1, 8))
     monkeypatch.setattr(models, "embeddings", lambda *_: few)
     assert registry.queries()[name](spark, SF).count() > 0

@@ -24,7 +24,7 @@ U3 = """CASE WHEN cabin = 'J' THEN 'Corporate' WHEN cabin = 'W' THEN 'Premium Bl
  WHEN region = 'Middle East' AND channel = 'Traditional Travel Agency' THEN 'Pilgrimage' WHEN pax BETWEEN 3 AND 5 THEN 'Family' WHEN lead_time <= 3 THEN 'Last-Minute' WHEN lead_time > 30 AND cabin = 'Y' AND pax = 1 THEN 'Digital Nomad' ELSE 'Budget/Adventure' END"""
 U8 = """CASE WHEN lead_time <= 3 THEN 'Last-Minute' WHEN farebrand = 'Economy Supersaver' THEN 'Budget Leisure' WHEN itinerary = 'Beyonds (INT - DOM)' THEN 'Balikbayan' WHEN region = 'Middle East' THEN 'OFW (Mid East)' WHEN cabin = 'W' THEN 'Prem Bleisure (W)' WHEN cabin = 'J' THEN 'Corporate (J)' ELSE 'Other' END"""
 RECORD = """rec0 AS (SELECT *, isodow_ - 1 AS dep_dow, month(departure_dt) AS dep_month, l_quantity::INT + 5 AS age, CASE cabin WHEN 'J' THEN 2 WHEN 'W' THEN 1 ELSE 0 END AS cabin_ord, l_quantity * 10 + origin_key AS ancillary,
- CASE WHEN origin_domestic = 1 THEN 'PH' ELSE 'AE' END AS point_of_origin, CASE dest_region_of_leg WHEN 'ASIA' THEN 'Asia' WHEN 'MIDDLE EAST' THEN 'MiddleEast' ELSE dest_region_of_leg END AS region_name FROM (SELECT *, isodow(departure_dt) AS isodow_ FROM clean)),
+ CASE WHEN origin_domestic = 1 THEN 'PH' ELSE 'AE' END AS point_of_origin, CASE dest_region_of_leg WHEN 'ASIA' THEN 'Asia' WHEN 'MIDDLE EAST' THEN 'MiddleEast' ELSE dest_region_of_leg END AS region_name FROM (SELECT * EXCLUDE (age, n_legs), isodow(departure_dt) AS isodow_ FROM clean)),
 rec AS (SELECT *, (dep_dow IN (5, 6))::INT AS is_weekend, (dep_month IN (12, 3, 4, 5))::INT AS is_peak_season, (age < 12)::INT AS is_child, (channel = '3-MEDIUM')::INT AS is_gds, (channel = '4-NOT SPECIFIED')::INT AS is_ota, is_group_booking::INT AS is_group,
  (foreign_issue AND origin_domestic = 0)::INT AS pos_mismatch, CASE WHEN age < 12 THEN 'child' WHEN age < 25 THEN 'youth' WHEN age < 60 THEN 'adult' ELSE 'senior' END AS age_band,
  CASE WHEN dom_coupon THEN 'Domestic' WHEN region_name = 'Asia' THEN 'Regional' WHEN region_name IN ('MiddleEast', 'AMERICA', 'EUROPE') THEN 'LongHaul' ELSE 'Other' END AS haul_type,
@@ -140,10 +140,10 @@ def party_by_weekday(spark: SparkSession, d: str) -> DataFrame:
 
 
 def width_bucket(x: Column, low: float, high: float, k: int) -> Column:
-    return F.least(F.floor((x - low) / ((high - low) / k)), F.lit(k - 1))
+    return F.when(x.isNotNull(), F.least(F.floor((x - low) / ((high - low) / k)), F.lit(k - 1)))
 
 
-@query(ticket_sql("SELECT least(floor(least(greatest(fare_per_pax, 0), 60000) / 1000), 59)::BIGINT AS bin, count(*) AS n FROM ticket GROUP BY 1"))
+@query(ticket_sql("SELECT CASE WHEN fare_per_pax IS NOT NULL THEN least(floor(least(greatest(fare_per_pax, 0), 60000) / 1000), 59)::BIGINT END AS bin, count(*) AS n FROM ticket GROUP BY 1"))
 def fare_histogram(spark: SparkSession, d: str) -> DataFrame:
     x = clip(F.col("fare_per_pax"), 0.0, 60000.0)
     return counted(tickets(spark, d).withColumn("bin", width_bucket(x, 0.0, 60000.0, 60).cast("long")), "bin")
