@@ -147,9 +147,26 @@ def test_runs_need_no_more_memory():
     assert peak(20_000) < 2 * peak(2000)
 
 
-def test_minimizers_are_dealt_evenly():
-    h = op2.minimizers(np.random.default_rng(0).integers(97, 123, 100_000, np.uint8))[0]
-    part = np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=16)
+def test_minimizers(monkeypatch):
+    """Every string of 50 bytes has its minimizer, alone or together with other texts, whole or in pieces; parts are even."""
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(97, 123, n, np.uint8).tobytes() for n in (100_000, 10, 0, 49, 50, 51, 300, 5000, 70)]
+
+    def strings():
+        doc, h, first, last = op2.minimizers(texts)
+        return {(d, i): k for d, k, a, z in zip(doc.tolist(), h.tolist(), first.tolist(), last.tolist(), strict=True) for i in range(a, z + 1)}
+
+    got = strings()
+    assert set(got) == {(d, i) for d, x in enumerate(texts) for i in range(len(x) - 49)}
+    by = {}
+    for (d, i), k in got.items():
+        assert by.setdefault(texts[d][i : i + 50], k) == k
+    for d in (4, 6, 8):
+        alone = op2.minimizers([texts[d]])
+        assert {(d, i): k for k, a, z in zip(*(x.tolist() for x in alone[1:]), strict=True) for i in range(a, z + 1)} == {k: v for k, v in got.items() if k[0] == d}
+    monkeypatch.setattr(op2, "PIECE", 1000)
+    assert strings() == got
+    part = np.bincount((op2.minimizers(texts)[1] >> np.uint64(60)).astype(np.int64), minlength=16)
     assert part.max() < 1.3 * part.mean()
 
 

@@ -33,39 +33,57 @@ from tripstrata.llm.shards import Shard, bits_for, by_part, finer, packed, split
 GRAM = 16
 #: Bytes of text for each owner, and for what it sorts at a time; minimizers and contexts that a map task gathers at a time.
 OWNER_BYTES, FINE_BYTES, MINIMIZERS, CONTEXTS = 8 << 20, 8 << 20, 500_000, 60_000
-#: Longer texts are looked through in pieces that overlap by LENGTH - 1.
-PIECE = 1 << 23
+#: Longer texts are looked through in pieces that overlap by LENGTH - 1; shorter ones together, up to so many bytes.
+PIECE, TOGETHER = 1 << 23, 1 << 15
 NO_ID = (1 << 63) - 1
 #: Rows and bytes of a batch that goes to Python.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
-def minimizers(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and place of each minimizer of the bytes, and the first and last start of the strings that have it."""
-    out = []
-    for at in range(0, max(1, len(text) - LENGTH + 1), PIECE):
-        x = text[at : at + PIECE + LENGTH - 1]
-        if len(x) < LENGTH:
-            break
-        h, step = x.astype(np.uint64) + np.uint64(1), 1
-        while step < GRAM:
-            h = h[:-step] * np.uint64(pow(0x9E3779B97F4A7C15, step, 1 << 64)) + h[step:]
-            step *= 2
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        low = (h & np.uint64(~0xFFFFFF & (1 << 64) - 1)) | np.arange(len(h), dtype=np.uint64)
-        width, step = LENGTH - GRAM + 1, 1
-        while 2 * step <= width:
-            low = np.minimum(low[:-step], low[step:])
-            step *= 2
-        low = np.minimum(low[: len(low) - (width - step)], low[width - step :])
-        place = (low & np.uint64(0xFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+def least_grams(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams of the bytes, and for each string of LENGTH bytes the place of its gram with the least."""
+    h, step = x.astype(np.uint64) + np.uint64(1), 1
+    while step < GRAM:
+        h = h[:-step] * np.uint64(pow(0x9E3779B97F4A7C15, step, 1 << 64)) + h[step:]
+        step *= 2
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    low = (h & np.uint64(~0xFFFFFF & (1 << 64) - 1)) | np.arange(len(h), dtype=np.uint64)
+    width, step = LENGTH - GRAM + 1, 1
+    while 2 * step <= width:
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    low = np.minimum(low[: len(low) - (width - step)], low[width - step :])
+    return h, (low & np.uint64(0xFFFFFF)).astype(np.int64)
+
+
+def minimizers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and hash of each minimizer, and the first and last start of the strings that have it.
+
+    Short texts are taken together and a very long one in pieces; strings across two texts are left out.
+    """
+    pieces = [(d, at, x[at : at + PIECE + LENGTH - 1] if len(x) > PIECE else x) for d, x in enumerate(texts) for at in range(0, max(1, len(x) - LENGTH + 1), PIECE) if len(x) - at >= LENGTH]
+    out, a = [], 0
+    while a < len(pieces):
+        z, size = a, 0
+        while z < len(pieces) and (z == a or size + len(pieces[z][2]) <= TOGETHER):
+            size, z = size + len(pieces[z][2]), z + 1
+        sizes = np.array([len(x) for *_, x in pieces[a:z]])
+        begin, n = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
+        h, place = least_grams(np.frombuffer(b"".join([x for *_, x in pieces[a:z]]), np.uint8))
+        of = np.repeat(np.arange(z - a), n)
+        start = np.arange(len(of)) + np.repeat(begin - (np.cumsum(n) - n), n)
+        place = place[start]
+        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (of[1:] != of[:-1])]))
+        of, first, last = of[new], start[new], start[np.append(new[1:], len(start)) - 1]
         # the least of many hashes is small: mixed once more, or nearly all would have the same leading bits
-        own = h[place[first]] * np.uint64(0xC2B2AE3D27D4EB4F)
-        out.append((own ^ (own >> np.uint64(29)), place[first] + at, first + at, np.concatenate([first[1:], [len(place)]]) - 1 + at))
-    empty = [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))]
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(empty)
+        own = h[place[new]] * np.uint64(0xC2B2AE3D27D4EB4F)
+        shift = (np.array([at for _, at, _ in pieces[a:z]]) - begin)[of]
+        out.append((np.array([d for d, *_ in pieces[a:z]])[of], own ^ (own >> np.uint64(29)), first + shift, last + shift))
+        a = z
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def known(model: Model, hashes: np.ndarray) -> np.ndarray:
@@ -82,9 +100,7 @@ def known(model: Model, hashes: np.ndarray) -> np.ndarray:
 
 def contexts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of the minimizers that two documents have: text number, hash, first and last start."""
-    found = [minimizers(np.frombuffer(x, np.uint8)) for x in texts]
-    doc = np.repeat(np.arange(len(texts)), [len(x[0]) for x in found])
-    h, _, first, last = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(4))
+    doc, h, first, last = minimizers(texts)
     ok = known(model, h)
     return doc[ok], h[ok], first[ok], last[ok]
 
@@ -146,7 +162,7 @@ def _dedup_spans(docs: DataFrame, s: Scratch, owner_bytes: int, fine_bytes: int,
         held, size, doc = [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, d = np.concatenate([x[0] for x in held]), np.concatenate([np.full(len(x[0]), x[1], np.int64) for x in held])
+            d, h = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(h, kind="stable")
             h, d = h[order], d[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -156,10 +172,11 @@ def _dedup_spans(docs: DataFrame, s: Scratch, owner_bytes: int, fine_bytes: int,
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([packed(h[x], twice[x])], pa.binary())], ["part", "blob"])
 
         for b in batches:
-            for x in b.column(0).to_pylist():
-                h = minimizers(np.frombuffer(x, np.uint8))[0]
-                held.append((h, doc))
-                size, doc = size + len(h), doc + 1
+            for at in range(0, b.num_rows, 200):
+                texts = b.column(0).slice(at, 200).to_pylist()
+                d, h, *_ = minimizers(texts)
+                held.append((d + doc, h))
+                size, doc = size + len(h), doc + len(texts)
                 if size >= MINIMIZERS:
                     yield from flush()
                     held, size = [], 0
