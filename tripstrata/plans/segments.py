@@ -176,3 +176,14 @@ def centroid_names(spark: SparkSession, d: str) -> DataFrame:
     )
     means = df.groupBy("cluster").agg(F.count("*").alias("size"), *[F.avg(n).alias(n) for n, _ in _NAMED])
     return means.select("cluster", "size", rules.first_match(rules.centroid_rules()).alias("name"))
+
+
+_P = "CASE true_segment " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in monitor.PENALTY.items()) + " ELSE 1 END"
+
+
+@query(sql.customer(f", l AS (SELECT customer_id, dominant_segment AS true_segment FROM customer_ WHERE customer_id % 3 = 0) SELECT true_segment, count(*) AS support, round(avg((true_segment = proxy_segment)::INT), 3) AS recall, sum(CASE WHEN true_segment <> proxy_segment THEN {_P} ELSE 0 END)::BIGINT AS cost FROM booking JOIN l USING (customer_id) GROUP BY 1"))
+def labelled_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Bookings against the labels of some customers (their dominant segment): an inner join, then recall and cost of misses."""
+    bk = booked(spark, d)
+    labels = coupon.customers(bk).where("customer_id % 3 = 0").select("customer_id", F.col("dominant_segment").alias("true_segment"))
+    return monitor.recall_and_cost(bk.join(labels, "customer_id"), "true_segment", "proxy_segment")
