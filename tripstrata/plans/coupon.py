@@ -21,9 +21,9 @@ def segment_profile(spark: SparkSession, d: str) -> DataFrame:
     return bk.groupBy("proxy_segment").agg(F.count("*").alias("n"), F.round(F.avg("rev_pos"), 2).alias("avg_rev")).withColumn("share", share("n"))
 
 
-@query(sql.clean("SELECT customer_id, issue_date::VARCHAR AS issue_date, departure_dt, lead_time_days, booking_class, sold_class, farebrand, value_tier, cabin, channel, revenue, net_fare, age, n_legs, sector_origin, sector_dest, trip_od, src_file, iss_year, " + ", ".join(FLAGS) + " FROM clean"))
+@query(sql.clean("SELECT customer_id, issue_date::VARCHAR AS issue_date, departure_dt, lead_time_days, booking_class, sold_class, farebrand, value_tier, cabin, channel, revenue, net_fare, age, n_legs, sector_origin, sector_dest, booking_type, sector, origin_poo, online_od, flight_number, pax_count, is_nonstop, coupon_number, trip_od, src_file, iss_year, " + ", ".join(FLAGS) + " FROM clean"))
 def clean_coupons(spark: SparkSession, d: str) -> DataFrame:
-    return ops.clean(spark, d).select("customer_id", F.col("issue_date").cast("string").alias("issue_date"), "departure_dt", "lead_time_days", "booking_class", "sold_class", "farebrand", "value_tier", "cabin", "channel", "revenue", "net_fare", "age", "n_legs", "sector_origin", "sector_dest", "trip_od", "src_file", "iss_year", *FLAGS)
+    return ops.clean(spark, d).select("customer_id", F.col("issue_date").cast("string").alias("issue_date"), "departure_dt", "lead_time_days", "booking_class", "sold_class", "farebrand", "value_tier", "cabin", "channel", "revenue", "net_fare", "age", "n_legs", "sector_origin", "sector_dest", "booking_type", "sector", "origin_poo", "online_od", "flight_number", "pax_count", "is_nonstop", "coupon_number", "trip_od", "src_file", "iss_year", *FLAGS)
 
 
 @query(sql.clean("SELECT " + ", ".join(f"round(100 * avg({f}::INT), 2) AS {f}" for f in FLAGS) + " FROM clean"))
