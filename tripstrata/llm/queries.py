@@ -1,4 +1,4 @@
-"""The queries of the ten operators and their SQL, by name."""
+"""The queries of the thirteen operators and their SQL, by name."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripstrata.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
+from tripstrata.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12, op13
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_shard": op8.op8_shard,
         "op9_pack": op9.op9_pack,
         "op10_decontaminate": op10.op10_decontaminate,
+        "op11_bpe": op11.op11_bpe,
+        "op12_resample": op12.op12_resample,
+        "op13_whiten": op13.op13_whiten,
     }
 
 
