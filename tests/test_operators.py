@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripstrata.functions.columns import average_rank, bins, clip, first_by, money, quantile_bucket, timestamp19
-from tripstrata.operators import coupon, models, monitor, rules, sampling
+from tripstrata.operators import coupon, models, monitor, resample, rules, sampling
 from tripstrata.sources import tables
 
 BASE = dict(is_award=False, corp_channel=False, any_business=False, lead_days=30, pilgrimage=False, sea_crew=False, foreign_issue=False, is_international=False, max_tier=3, round_trip=False, any_premium=False, is_group=False, is_domestic=False)
@@ -89,8 +89,8 @@ def test_ranks_and_splits(spark):
     e = spark.createDataFrame([(i, int(i < 6), [float(i), 0.0]) for i in range(30)], "id long, label int, v array<double>")
     over = dict(sampling.oversample(e, "label", "id").groupBy("label").count().collect())
     under = dict(sampling.undersample(e, "label", "id").groupBy("label").count().collect())
-    assert over == {0: 24, 1: 24} and under == {0: 6, 1: 6} and sampling.smote(e.where("label = 1"), "label", "id", "v", 5).count() == 5
-    assert [tuple(r) for r in sampling.tomek_links(spark.createDataFrame([(0, 0, [0.0]), (1, 1, [1.0]), (2, 1, [1.5]), (3, 0, [5.0])], "id int, label int, v array<double>"), "label", "id", "v").collect()] == []
+    assert over == {0: 24, 1: 24} and under == {0: 6, 1: 6} and resample.smote(e.where("label = 1"), "label", "id", "v", 5).count() == 5
+    assert [tuple(r) for r in resample.tomek_links(spark.createDataFrame([(0, 0, [0.0]), (1, 1, [1.0]), (2, 1, [1.5]), (3, 0, [5.0])], "id int, label int, v array<double>"), "label", "id", "v").collect()] == []
 
 
 def test_clustering():
@@ -137,27 +137,12 @@ def test_dbscan(blobs):
     assert [got[i] for i in range(len(x))] == want.tolist() and got[180] == -1
 
 
-@pytest.mark.parametrize(("probes", "cell", "group"), [(8, 1024, 50), (4, 12, 20)])
-def test_neighbours(blobs, monkeypatch, probes, cell, group):
-    """Exact in one cell, also when it is cut into groups; nearly all are found over cells."""
-    for k, v in (("PROBES", probes), ("CELL", cell), ("GROUP", group)):
-        monkeypatch.setattr(sampling, k, v)
-    x, _, df = blobs
-    d = models.distances(x)
-    np.fill_diagonal(d, np.inf)
-    got = {}
-    for r in sampling.neighbours(df, df, "id", "embedding", 3).collect():
-        got.setdefault(r["id"], set()).add(r["other"])
-    hits = sum(len(got[i] & set(np.argsort(d[i])[:3].tolist())) for i in range(len(x))) / (3 * len(x))
-    assert hits == 1 if probes == 8 else hits > 0.9
-
-
 def test_tomek_and_adasyn(blobs):
     _, _, df = blobs
     e = df.withColumn("label", F.when(F.col("id") == 5, 1).otherwise(F.col("label")))
-    pairs = sampling.tomek_links(e, "label", "id", "embedding").collect()
+    pairs = resample.tomek_links(e, "label", "id", "embedding").collect()
     assert all(5 in (r["a"], r["b"]) for r in pairs)
-    made = sampling.adasyn(e, "label", "id", "embedding", 1, 12)
+    made = resample.adasyn(e, "label", "id", "embedding", 1, 12)
     assert made.count() > 0 and {r["label"] for r in made.collect()} == {1}
 
 

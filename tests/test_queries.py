@@ -10,9 +10,6 @@ from tripstrata.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Many model fits: each runs once here, on few rows.
-SLOW = {"random_forest", "bootstrap_stability", "kmeans", "gaussian_mixture"}
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -47,15 +44,6 @@ def test_same_as_sql(spark, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
-
-
-@pytest.mark.parametrize("name", sorted(SLOW))
-def test_models_run(spark, name, monkeypatch):
-    from tripstrata.plans import models
-
-    few = models.embeddings(spark, SF).where("vec_id < 500").withColumn("embedding", F.slice("embedding", 1, 8))
-    monkeypatch.setattr(models, "embeddings", lambda *_: few)
-    assert registry.queries()[name](spark, SF).count() > 0

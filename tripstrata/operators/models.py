@@ -1,24 +1,27 @@
 """Clustering, mixtures and classifiers.
 
-k-means, Gaussian mixtures, PCA and forests are Spark ML's. Latent classes are fitted by EM over distinct patterns, which are few
+k-means, PCA and forests are Spark ML's, mixtures have their own EM (mixture.py). Latent classes are fitted by EM over distinct patterns, which are few
 however many rows there are. DBSCAN, nearest neighbours and the silhouette take all rows; HDBSCAN, Ward and the density-based
 validity, which need all pairs, are fitted on a sample with a stated bound, and every row is then assigned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripstrata.functions.graph import components as connected
-from tripstrata.operators.sampling import cut_lineage, neighbours, sample
+from tripstrata.functions.quantiles import percentiles
+from tripstrata.operators.neighbours import GROUP, Cells, first_of, matrix, measured, meet, nearest_compare, nearest_points, neighbours, place, points, within_reach
+from tripstrata.operators.sampling import cut_lineage, sample
 
 #: Rows at most of a sample whose pairs are all compared.
 PAIRS = 2000
@@ -65,17 +68,6 @@ def kmeans_costs(df: DataFrame, ks: list[int], steps: int = 50) -> list[tuple[in
     return out
 
 
-def gaussian_mixture(df: DataFrame, k: int, starts: int = 2, noise: float = 1e-3) -> DataFrame:
-    """The likeliest of several starts, on all dimensions. Each element gets noise of that deviation, a function of its value and
-    place, which adds noise ** 2 to the covariances' diagonals: without it those of few rows can't be inverted."""
-    small = lambda x, i: x.cast("double") + (F.pmod(F.xxhash64(x, i), F.lit(2001)) - 1000) / 1000.0 * (noise * 3**0.5)
-    v = as_vectors(df.withColumn("__noisy", F.transform("embedding", small)), "__noisy").persist()
-    best = max((GaussianMixture(k=k, seed=i, maxIter=30).fit(v) for i in range(1, starts + 1)), key=lambda m: m.summary.logLikelihood)
-    out = best.transform(v).withColumn("label", F.col("prediction")).drop("features", "prediction", "probability", "__noisy")
-    v.unpersist()
-    return out
-
-
 def principal(df: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     """Centred principal components and their explained parts; each component's largest loading is positive."""
     n = len(df.select("embedding").first()[0])
@@ -103,22 +95,73 @@ def distances(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(s[:, None] + s - 2 * x @ x.T, 0))
 
 
-def dbscan(df: DataFrame, key: str, least: int = 15, quantile: float = 0.9, k: int = 5, asked: int = 1000) -> DataFrame:
-    """(key, label): the smallest key of the row's cluster, -1 for noise. eps is a quantile of the distances to the k-th neighbour
-    (the row itself being the first), which `asked` rows measure against all; neighbours come by cells."""
-    some = neighbours(sample(df, asked, key), df, key, "embedding", k - 1).where(F.col("r") == k - 1)
-    eps = some.agg(F.percentile("distance", quantile).alias("eps")).first()["eps"]
+def eps_of(placed: DataFrame, cells: Cells, k: int, quantile: float, group: int) -> float | None:
+    """A quantile, over all rows, of the distances to the k-th neighbour, the row itself being the first."""
+    near = nearest_points(placed, placed, cells, k, group).join(placed.select(F.col("id").alias("other"), F.col("w").alias("held")), "other")
+    run = near.withColumn("held", F.sum("held").over(Window.partitionBy("id").orderBy("distance", "other").rowsBetween(Window.unboundedPreceding, 0)))
+    kth = run.where(F.col("held") >= k).groupBy("id").agg(F.min("distance").alias("distance"))
+    got = percentiles(kth.join(placed.select("id", "w"), "id"), [], "distance", [quantile], cut_lineage, "w").first()
+    return got["q"][0] if got else None
+
+
+def counted_within(eps: float) -> Callable:
+    """How many rows lie within eps of each asker."""
+
+    def compare(a: pa.Table | None, q: pa.Table | None, seen: Iterator) -> pa.Table:
+        m = np.zeros(0 if q is None else len(q), np.int64)
+        if a is not None:
+            x, y, w = matrix(a["v"]), matrix(q["v"]), a["w"].to_numpy()
+            for who, at in seen:
+                for i, j, d in measured(y[who], x[at], np.full(len(who), eps * eps)):
+                    np.add.at(m, who[i[d <= eps]], w[at[j[d <= eps]]])
+        return pa.table([pa.array([], pa.int64()) if q is None else q["id"], pa.array(m)], ["id", "m"])
+
+    return compare
+
+
+def linked_within(eps: float) -> Callable:
+    """Links that connect what links of at most eps between askers and points connect: no more of them than there are of both."""
+
+    def compare(a: pa.Table | None, q: pa.Table | None, seen: Iterator) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        if a is not None:
+            x, y, ids, own = matrix(a["v"]), matrix(q["v"]), a["id"].to_numpy(), q["id"].to_numpy()
+            part = np.arange(len(x))
+            for who, at in seen:
+                for i, j, d in measured(y[who], x[at], np.full(len(who), eps * eps)):
+                    i, j = i[d <= eps], j[d <= eps]
+                    bounds = np.flatnonzero(np.diff(i, prepend=-1, append=-1)) if len(i) else np.zeros(1, int)
+                    for lo, hi in zip(bounds, bounds[1:], strict=False):
+                        met = at[j[lo:hi]]
+                        roots, firsts = np.unique(part[met], return_index=True)
+                        links += [(own[who[i[lo]]], ids[met[f]]) for f in firsts]
+                        if len(roots) > 1:
+                            part[np.isin(part, roots)] = roots[0]
+        found = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return compare
+
+
+def dbscan(df: DataFrame, key: str, least: int = 15, quantile: float = 0.9, k: int = 5, group: int = GROUP) -> DataFrame:
+    """(key, label): the smallest core key of the row's cluster, -1 for noise. eps is a quantile of all rows' distances to the k-th neighbour
+    (the row itself being the first). Equal vectors are one weighted point, and a task gives counts and spanning links, never all
+    pairs: what is exchanged grows with the rows, however dense they lie."""
+    placed, cells = place(points(df, key, "embedding"), group)
+    eps = eps_of(placed, cells, k, quantile, group)
     if eps is None:
         return df.select(key, F.lit(-1).cast("long").alias("label"))
-    near = cut_lineage(neighbours(df, df, key, "embedding", 0, within=eps).withColumnRenamed(key, "a").withColumnRenamed("other", "b"))
-    core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least).select(F.col("a").alias("id"))
-    # both ways: a neighbour may have been looked for from one side only
-    links = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
-    found = connected(core, links.union(links.select("b", "a")).distinct(), cut_lineage)
-    border = near.join(found.select(F.col("id").alias("b"), "component"), "b").join(core.withColumnRenamed("id", "a"), "a", "left_anti")
-    border = border.groupBy(F.col("a").alias("id")).agg(F.min_by("component", F.struct("distance", "b")).alias("component"))
-    labels = found.unionByName(border).select(F.col("id").alias(key), F.col("component").alias("label"))
-    return df.select(key).join(labels, key, "left").na.fill(-1, ["label"])
+    asked, need = placed.withColumn("reach", F.lit(float(eps))), within_reach(cells)
+    counts = meet(asked, placed, cells, need, counted_within(eps), "id long, m long", group).groupBy("id").agg(F.sum("m").alias("m"))
+    core = cut_lineage(counts.where(F.col("m") >= least).select("id"))
+    dense = cut_lineage(placed.join(core, "id", "left_semi").select(placed.columns))
+    links = meet(asked.join(core, "id", "left_semi"), dense, cells, need, linked_within(eps), "a long, b long", group).where("a <> b")
+    found = connected(core, cut_lineage(links.union(links.select("b", "a")).distinct()), cut_lineage)
+    near = meet(asked.join(core, "id", "left_anti"), dense, cells, need, nearest_compare(1), "id long, other long, distance double", group).where(F.col("distance") <= eps)
+    border = first_of(near, 1).join(found.select(F.col("id").alias("other"), "component"), "other").select("id", "component")
+    labels = placed.join(found.unionByName(border), "id").select("v", F.col("component").alias("label"))
+    rows = df.select(key, F.col("embedding").cast("array<double>").alias("v"))
+    return rows.join(labels, "v", "left").select(key, F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def assigned(df: DataFrame, fitted: DataFrame, key: str) -> DataFrame:

@@ -1,13 +1,9 @@
-"""Global ranks, deterministic samples, stratified splits and resamplers."""
+"""Global ranks, deterministic samples, stratified splits, over- and undersampling."""
 
 from __future__ import annotations
 
 import tempfile
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,100 +83,3 @@ def undersample(df: DataFrame, label: str, key: str) -> DataFrame:
     ranked = rank_within(df, label, key)
     least = ranked.agg(F.min("size").alias("least"))
     return ranked.crossJoin(F.broadcast(least)).where("rank <= least").drop("rank", "size", "least")
-
-
-#: Rows that one group compares on a side; rows of a cell on average; cells that a row looks into.
-GROUP, CELL, PROBES = 4096, 1024, 8
-
-
-def in_cells(df: DataFrame, vector: str, key: str, cells: int) -> DataFrame:
-    """Adds `cells`: the numbers of the centres, nearest first, of a few centres fitted on a sample of 20 rows a centre."""
-    if cells <= 1:
-        return df.withColumn("cells", F.array(F.lit(0)))
-    v = sample(df, 20 * cells, key).withColumn("f", array_to_vector(F.col(vector).cast("array<double>")))
-    centres = KMeans(k=cells, featuresCol="f", seed=1, maxIter=10).fit(v).clusterCenters()
-    c2, c = np.array([x @ x for x in centres]), np.array(centres)
-
-    @F.pandas_udf("array<int>")
-    def ranked(x: pd.Series) -> pd.Series:
-        d = c2 - 2 * np.array(x.tolist(), float) @ c.T
-        return pd.Series(np.argsort(d, axis=1, kind="stable")[:, :PROBES].astype(np.int32).tolist())
-
-    return df.withColumn("cells", ranked(F.col(vector).cast("array<double>")))
-
-
-def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, within: float | None = None) -> DataFrame:
-    """(key, other, distance, r): the k nearest of `rows` for each of `queries`, or all closer than `within`; a row isn't its own.
-
-    Rows lie in cells of about CELL rows, by the nearest of as many centres; a query looks into its PROBES nearest cells, so results are
-    exact up to PROBES * CELL rows and approximate beyond. Large cells are cut, so that no group holds over GROUP or so rows a side.
-    """
-    n = rows.count()
-    cells = 1 if n <= PROBES * CELL else n // CELL
-    both = in_cells(rows.select(key, vector).withColumn("__q", F.lit(0)).unionByName(queries.select(key, vector).withColumn("__q", F.lit(1))), vector, key, cells)
-    placed = both.where("__q = 0").select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.get("cells", F.lit(0)).alias("cell"))
-    asked = both.where("__q = 1").select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.explode("cells").alias("cell"))
-    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    left = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    slices = asked.groupBy("cell").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("slices"))
-    left = left.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("cell", "part", "slice", "id", "v")
-    right = asked.join(parts, "cell").join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", "slice", "id", "v")
-
-    def compare(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "distance": np.zeros(0)})]
-        if len(a) and len(q):
-            x, ids = np.array(a["v"].tolist()), a["id"].to_numpy()
-            for at in range(0, len(q), 512):
-                y, own = np.array(q["v"].iloc[at : at + 512].tolist()), q["id"].to_numpy()[at : at + 512]
-                d = np.sqrt(np.maximum((y * y).sum(1)[:, None] + (x * x).sum(1) - 2 * y @ x.T, 0))
-                d[own[:, None] == ids] = np.inf
-                if within is None:
-                    near = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, : min(k, d.shape[1])]
-                    i, j = np.repeat(np.arange(len(y)), near.shape[1]), near.ravel()
-                else:
-                    i, j = np.nonzero(d <= within)
-                ok = np.isfinite(d[i, j])
-                out.append(pd.DataFrame({"id": own[i[ok]], "other": ids[j[ok]], "distance": d[i[ok], j[ok]]}))
-        return pd.concat(out)
-
-    groups = ["cell", "part", "slice"]
-    found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(compare, "id long, other long, distance double")
-    if within is not None:
-        return found.withColumnRenamed("id", key)
-    w = Window.partitionBy("id").orderBy("distance", "other")
-    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).withColumnRenamed("id", key)
-
-
-def between(picked: DataFrame, df: DataFrame, label: str, key: str, vector: str) -> DataFrame:
-    """Synthetic rows on the way from a row to its `other`, a part of it that the two keys and `copy` give."""
-    v = df.select(F.col(key), F.col(vector).alias("a"), label)
-    o = df.select(F.col(key).alias("other"), F.col(vector).alias("b"))
-    t = F.pmod(F.xxhash64(key, "other", "copy"), F.lit(1000)) / 1000.0
-    return picked.join(v, key).join(o, "other").select(key, label, F.zip_with("a", "b", lambda x, y: x + (y - x) * t).alias(vector))
-
-
-def smote(df: DataFrame, label: str, key: str, vector: str, wanted: int, k: int = 3) -> DataFrame:
-    """`wanted` synthetic rows of one class: points on the way to one of the k nearest others of the class."""
-    near = neighbours(df, df, key, vector, k)
-    ranked, n = with_rank(near.select(key, "other", F.xxhash64(key, "other", F.lit(7)).alias("h")), "h", key, "other")
-    times = F.lit(wanted // max(n, 1)) + F.when(F.col("rank") <= wanted % max(n, 1), 1).otherwise(0)
-    return between(ranked.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))), df, label, key, vector)
-
-
-def adasyn(df: DataFrame, label: str, key: str, vector: str, small: int, wanted: int, k: int = 3) -> DataFrame:
-    """About `wanted` synthetic rows of class `small`, more where more of a row's k nearest are of other classes (He et al. 2008)."""
-    own = df.where(F.col(label) == small)
-    hard = neighbours(own, df, key, vector, k).join(df.select(F.col(key).alias("other"), F.col(label).alias("of")), "other").groupBy(key).agg(F.avg((F.col("of") != small).cast("double")).alias("hard"))
-    whole = hard.agg(F.sum("hard").alias("whole"))
-    made = hard.crossJoin(F.broadcast(whole)).select(key, F.round(F.try_divide("hard", "whole") * wanted).cast("int").alias("times")).where("times > 0")
-    near = neighbours(own, own, key, vector, k).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", "other"))).alias("near"))
-    picked = made.join(near, key).select(key, "near", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
-    return between(picked.select(key, "copy", F.get("near", F.pmod("copy", F.size("near")).cast("int"))["other"].alias("other")), df, label, key, vector)
-
-
-def tomek_links(df: DataFrame, label: str, key: str, vector: str) -> DataFrame:
-    """Pairs of different classes that are each other's nearest."""
-    near = neighbours(df, df, key, vector, 1).select(F.col(key).alias("a"), F.col("other").alias("b"))
-    both = near.join(near.toDF("b", "a"), ["a", "b"]).where("a < b")
-    lab = df.select(key, label)
-    return both.join(lab.toDF("a", "la"), "a").join(lab.toDF("b", "lb"), "b").where("la <> lb").select("a", "b")

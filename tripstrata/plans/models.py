@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripstrata.functions.columns import bins, clip
-from tripstrata.operators import coupon, models, monitor, sampling
+from tripstrata.operators import coupon, mixture, models, monitor, resample, sampling
 from tripstrata.plans.base import query
 from tripstrata.sources.tables import star
 
@@ -35,7 +35,7 @@ def minibatch_kmeans(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def gaussian_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return models.gaussian_mixture(embeddings(spark, d).drop("label"), 4).groupBy("label").agg(F.count("*").alias("n"))
+    return mixture.gaussian_mixture(embeddings(spark, d).drop("label"), 10, "vec_id").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(None)
@@ -212,13 +212,17 @@ def resampled_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def resampling(spark: SparkSession, d: str) -> DataFrame:
-    """Synthetic rows that bring each class to the size of the largest (plain and by difficulty), and mutual nearest rows of two classes."""
+    """Synthetic rows that bring every class to the size of the largest (plain and by difficulty), and mutual nearest rows of two classes."""
     e = embeddings(spark, d)
     sizes = {r["label"]: r["n"] for r in e.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    few = sorted((k for k in sizes if sizes[k] < max(sizes.values())), key=lambda k: (sizes[k], k))[:2]
-    plain = [sampling.smote(e.where(F.col("label") == k), "label", "vec_id", "embedding", max(sizes.values()) - sizes[k]).withColumn("how", F.lit("smote")) for k in few]
-    hard = [sampling.adasyn(e, "label", "vec_id", "embedding", k, max(sizes.values()) - sizes[k]).withColumn("how", F.lit("adasyn")) for k in few]
-    out = sampling.tomek_links(e, "label", "vec_id", "embedding").agg(F.count("*").alias("n")).select(F.lit("tomek links").alias("how"), F.lit(-1).alias("label"), "n")
+    few = sorted(k for k in sizes if sizes[k] < max(sizes.values()))
+    near, most, plain, hard = sampling.cut_lineage(resample.neighbours(e, e, "vec_id", "embedding", 3)), max(sizes.values()), [], []
+    for k in few:
+        own = e.where(F.col("label") == k)
+        near_own = sampling.cut_lineage(resample.neighbours(own, own, "vec_id", "embedding", 3))
+        plain.append(resample.smote(own, "label", "vec_id", "embedding", most - sizes[k], near=near_own).withColumn("how", F.lit("smote")))
+        hard.append(resample.adasyn(e, "label", "vec_id", "embedding", k, most - sizes[k], near=near, near_own=near_own).withColumn("how", F.lit("adasyn")))
+    out = resample.tomek_links(e, "label", "vec_id", "embedding", near).agg(F.count("*").alias("n")).select(F.lit("tomek links").alias("how"), F.lit(-1).alias("label"), "n")
     for x in (*plain, *hard):
         out = out.unionByName(x.groupBy("how", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n")))
     return out
