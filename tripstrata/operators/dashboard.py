@@ -1,16 +1,22 @@
-"""The dashboard's facts and measures: generated passenger and capacity facts, load factor, alerts, advance bookings."""
+"""The dashboard's facts and measures over flown coupons: passengers and seats, load factor, alerts, advance bookings."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SECTORS = (("MNL-CEB", 100, 60), ("MNL-DVO", 80, 75), ("MNL-NRT", 60, 320), ("MNL-LAX", 40, 780), ("MNL-DXB", 50, 410), ("MNL-SIN", 70, 210))
-CABINS = (("Y", "Economy", 0.8, 1.0), ("W", "Premium Economy", 0.12, 1.6), ("J", "Business", 0.08, 3.2))
-SEGMENTS = (("Corporate", 0.2, 1.5), ("OFW/Migrant", 0.3, 1.1), ("Family", 0.2, 0.9), ("Balikbayan/VFR", 0.18, 1.0), ("Budget/Adventure", 0.12, 0.7))
-YEARS, OPS, SEATS = (2024, 2025), 30, 180
+from tripstrata.functions.columns import cents
+
+#: Code, name and part of a flight's seats.
+CABINS = (("Y", "Economy", 0.8), ("W", "Premium Economy", 0.12), ("J", "Business", 0.08))
+#: The segments that the dashboard shows, in this order.
+SEGMENTS = ("Corporate", "OFW/Migrant", "Family", "Balikbayan/VFR", "Budget/Adventure")
+#: The two years that are compared; seats of one departure.
+YEARS, SEATS = (1996, 1997), 180
 #: Part of the final passengers that is booked ahead, by segment.
 ADVANCE = {"Corporate": 0.35, "OFW/Migrant": 0.55, "Family": 0.6, "Balikbayan/VFR": 0.65, "Budget/Adventure": 0.45}
+#: What a missed record costs, by a penalty of one.
+LOSS = 4000
 
 
 def flight_base(od: Column) -> Column:
@@ -18,28 +24,32 @@ def flight_base(od: Column) -> Column:
     return (F.conv(F.substring(F.md5(od.cast("binary")), 1, 5), 16, 10).cast("int") % 600 + 100).cast("int")
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    od = spark.createDataFrame(list(SECTORS), "od string, base int, fare int")
-    cabin = spark.createDataFrame(list(CABINS), "cabin_code string, cabin_name string, part double, uplift double")
-    return od.crossJoin(F.broadcast(cabin)).withColumn("year", F.explode(F.array(*map(F.lit, YEARS)))).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("leg", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("flight", F.concat(F.lit("X"), (flight_base(F.col("od")) + F.col("leg")).cast("string")))
+def legs(coupons: DataFrame) -> DataFrame:
+    """Coupons with year and month of departure, directed pair of places and flight; a connecting leg has the next flight number."""
+    c = F.col
+    flight = F.concat(F.lit("X"), (flight_base(c("trip_od")) + c("is_connecting").cast("int")).cast("string"))
+    return coupons.withColumns({"year": F.year("departure_dt"), "month": F.month("departure_dt"), "od": c("trip_od"), "flight": flight})
+
 
+def passengers(coupons: DataFrame, bookings: DataFrame) -> DataFrame:
+    """pax, cents and domestic by year, month, od, flight, cabin and the booking's segment; refunds and missing amounts earn nothing.
 
-def passengers(spark: SparkSession) -> DataFrame:
-    """pax and revenue by sector, flight, month, cabin and segment; the noise is a function of the row's key."""
+    Coupons meet their booking by its key; customers without bookings are left out.
+    """
     c = F.col
-    segment = spark.createDataFrame([(i, *s) for i, s in enumerate(SEGMENTS)], "k int, segment string, mix double, worth double")
-    df = grid(spark).crossJoin(F.broadcast(segment))
-    wide = lambda x: c(x).cast("long")
-    noise = ((wide("year") * 7919 + wide("month") * 104729 + wide("k") * 1299709 + wide("leg") * 15485863 + wide("base") * 32452843) % 1000) / 1000.0
-    pax = F.floor(c("base") * c("part") * c("mix") * (0.8 + 0.4 * noise) * F.when(c("month").isin(4, 5, 12), 1.3).otherwise(1.0) * (1 + 0.08 * (c("year") - YEARS[0])) * 10).cast("int")
-    df = df.withColumn("pax", pax).withColumn("avg_fare", F.floor(c("fare") * c("uplift") * c("worth") * (0.9 + 0.2 * noise)).cast("int"))
-    return df.select("year", "month", "od", "flight", "cabin_code", "cabin_name", "segment", "pax", (c("pax") * c("avg_fare")).cast("long").alias("revenue"), "avg_fare")
+    segment = bookings.select("customer_id", "issue_date", c("proxy_segment").alias("segment"))
+    earned = F.when(~c("is_refund") & (c("revenue") > 0), cents(c("revenue"))).otherwise(0)
+    domestic = (c("origin_domestic") == 1) & (c("dest_domestic") == 1)
+    return legs(coupons).join(segment, ["customer_id", "issue_date"]).groupBy("year", "month", "od", "flight", c("cabin").alias("cabin_code"), "segment").agg(
+        F.sum("pax_count").alias("pax"), F.sum(earned).cast("long").alias("cents"), F.bool_or(domestic).alias("domestic"),
+    )
 
 
-def capacity(spark: SparkSession) -> DataFrame:
-    """Seats per flight, month and cabin: no randomness."""
-    c = F.col
-    return grid(spark).where(~((c("od") == "MNL-DXB") & (c("leg") == 1))).select("year", "month", "od", "flight", "cabin_code", "cabin_name", F.floor(F.lit(SEATS * OPS / 12.0) * c("part") * (c("base") / 40.0)).cast("int").alias("seats"))
+def capacity(coupons: DataFrame) -> DataFrame:
+    """Seats per flight, month and cabin: the days with a departure, by the seats of one, by the cabin's part."""
+    cabin = coupons.sparkSession.createDataFrame(list(CABINS), "cabin_code string, cabin_name string, part double")
+    ops = legs(coupons).groupBy("year", "month", "od", "flight").agg(F.count_distinct(F.to_date("departure_dt")).alias("ops"))
+    return ops.crossJoin(F.broadcast(cabin)).withColumn("seats", F.floor(SEATS * F.col("ops") * F.col("part")).cast("int")).drop("ops", "part")
 
 
 def sliced(df: DataFrame, month: int | None = None, od: str | None = None, flight: str | None = None, cabin: str | None = None) -> DataFrame:
@@ -49,6 +59,12 @@ def sliced(df: DataFrame, month: int | None = None, od: str | None = None, fligh
     return df
 
 
+def shown(df: DataFrame) -> DataFrame:
+    """One row per segment that the dashboard shows, with nulls where `df` (segment, ...) has none."""
+    domain = df.sparkSession.createDataFrame([(s,) for s in SEGMENTS], "segment string")
+    return domain.join(df, "segment", "left")
+
+
 def years(x: str, y: int) -> Column:
     return F.coalesce(F.sum(F.when(F.col("year") == YEARS[y], F.col(x))), F.lit(0))
 
@@ -68,3 +84,25 @@ def alerts(pax: DataFrame, threshold: float) -> DataFrame:
     both = of(0).join(of(1), ["od", "segment"], "full").na.fill(0)
     yoy = F.bround((F.col("y2") - F.col("y1")) / F.when(F.col("y1") == 0, 1).otherwise(F.col("y1")) * 100.0, 0)
     return both.withColumn("yoy", yoy).where(F.abs("yoy") >= threshold).orderBy(F.desc(F.abs("yoy")), "od", "segment")
+
+
+def advance(pax: DataFrame, months: list[int]) -> DataFrame:
+    """Booked ahead for some months, last year and this, in whole passengers, and what that projects to."""
+    part = pax.sparkSession.createDataFrame(list(ADVANCE.items()), "segment string, part double")
+    g = pax.where(F.col("month").isin(*months)).groupBy("segment").agg(years("pax", 0).alias("ly"), years("pax", 1).alias("cy")).join(F.broadcast(part), "segment")
+    g = g.select("segment", "part", F.floor(F.col("ly") * F.col("part")).alias("ly_booked"), F.floor(F.col("cy") * F.col("part")).alias("cy_booked"))
+    return g.select("segment", "ly_booked", "cy_booked", F.floor(F.col("cy_booked") / F.col("part")).alias("projected"))
+
+
+def forward(month: int, n: int) -> list[int]:
+    """The n months after `month`, round the year's end."""
+    return [(month + i) % 12 + 1 for i in range(n)]
+
+
+def risk(bookings: DataFrame, customers: DataFrame, penalties: dict[str, int]) -> DataFrame:
+    """What is lost where a customer's dominant segment misses the segment of a booking: whole misses by the loss of one."""
+    both = bookings.join(customers.select("customer_id", "dominant_segment"), "customer_id")
+    g = both.groupBy(F.col("proxy_segment").alias("segment")).agg(F.count("*").alias("support"), (F.lit(100.0) * F.count_if(F.col("dominant_segment") == F.col("proxy_segment")) / F.count("*")).alias("recall"))
+    loss = bookings.sparkSession.createDataFrame([(s, float(LOSS * p)) for s, p in penalties.items()], "segment string, loss double")
+    g = g.join(F.broadcast(loss), "segment").withColumn("missed", F.floor(F.col("support") * (1 - F.col("recall") / 100.0)))
+    return g.select("segment", "support", F.round("recall", 4).alias("recall"), "loss", "missed", F.round(F.col("missed") * F.col("loss"), 2).alias("risk"))

@@ -1,4 +1,4 @@
-"""Dashboard queries, each with its SQL over the same generated facts."""
+"""Dashboard queries over the coupon view, each with its SQL."""
 
 from __future__ import annotations
 
@@ -6,103 +6,127 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripstrata.functions.columns import share
+from tripstrata.operators import coupon, monitor
 from tripstrata.operators import dashboard as ops
+from tripstrata.plans import sql
 from tripstrata.plans.base import query
 
-_OD = ", ".join(str(x) for x in ops.SECTORS)
-_CABIN = ", ".join(str(x) for x in ops.CABINS)
-_SEGMENT = ", ".join(str((i, *x)) for i, x in enumerate(ops.SEGMENTS))
-_ADVANCE = ", ".join(str(x) for x in ops.ADVANCE.items())
-FACTS = f"""od(od, base, fare) AS (VALUES {_OD}), cabin(cabin_code, cabin_name, part, uplift) AS (VALUES {_CABIN}), segment(k, segment, mix, worth) AS (VALUES {_SEGMENT}), adv(segment, part) AS (VALUES {_ADVANCE}),
-grid AS (SELECT *, 'X' || (('0x' || substr(md5(od), 1, 5))::INT % 600 + 100 + leg) AS flight FROM od CROSS JOIN (SELECT cabin_code, cabin_name, part::DOUBLE AS part, uplift::DOUBLE AS uplift FROM cabin) CROSS JOIN (SELECT unnest([2024, 2025]) AS year) CROSS JOIN (SELECT unnest(range(1, 13))::INT AS month) CROSS JOIN (SELECT unnest([0, 1]) AS leg)),
-noisy AS (SELECT *, ((year::BIGINT * 7919 + month * 104729 + k * 1299709 + leg * 15485863 + base::BIGINT * 32452843) % 1000) / 1000.0::DOUBLE AS noise FROM grid CROSS JOIN segment),
-pax0 AS (SELECT *, floor(base * part * mix::DOUBLE * (0.8::DOUBLE + 0.4::DOUBLE * noise) * (CASE WHEN month IN (4, 5, 12) THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END) * (1 + 0.08::DOUBLE * (year - 2024)) * 10)::INT AS pax, floor(fare * uplift * worth::DOUBLE * (0.9::DOUBLE + 0.2::DOUBLE * noise))::INT AS avg_fare FROM noisy),
-pax AS (SELECT year, month, od, flight, cabin_code, cabin_name, segment, pax, (pax * avg_fare)::BIGINT AS revenue, avg_fare FROM pax0),
-seats AS (SELECT year, month, od, flight, cabin_code, cabin_name, floor(450.0::DOUBLE * part * (base / 40.0::DOUBLE))::INT AS seats FROM grid WHERE NOT (od = 'MNL-DXB' AND leg = 1))"""
+Y1, Y2 = ops.YEARS
+#: A pair of places, for the slicers.
+OD = "NATION_3-NATION_12"
+_CABIN = ", ".join(f"({i}, '{c}', '{n}', {p}::DOUBLE)" for i, (c, n, p) in enumerate(ops.CABINS))
+_SHOWN = ", ".join(f"('{s}')" for s in ops.SEGMENTS)
+_ADVANCE = ", ".join(f"('{s}', {p}::DOUBLE)" for s, p in ops.ADVANCE.items())
+FACTS = f"""cabin_(nth, cabin_code, cabin_name, part) AS (VALUES {_CABIN}), shown(segment) AS (VALUES {_SHOWN}), adv(segment, part) AS (VALUES {_ADVANCE}),
+legs AS (SELECT *, year(departure_dt)::INT AS year, month(departure_dt)::INT AS month, trip_od AS od, 'X' || (('0x' || substr(md5(trip_od), 1, 5))::INT % 600 + CASE WHEN l_linenumber > 1 THEN 101 ELSE 100 END) AS flight FROM clean),
+pax AS (SELECT year, month, od, flight, cabin AS cabin_code, proxy_segment AS segment, sum(pax_count)::BIGINT AS pax, coalesce(sum(round(revenue * 100)::BIGINT) FILTER (revenue > 0 AND NOT legs.is_refund), 0)::BIGINT AS cents, max(dom_coupon) AS domestic
+ FROM legs JOIN (SELECT customer_id, issue_date, proxy_segment FROM booking) USING (customer_id, issue_date) GROUP BY ALL),
+seats AS (SELECT year, month, od, flight, cabin_code, cabin_name, floor({ops.SEATS} * ops * part)::INT AS seats FROM (SELECT year, month, od, flight, count(DISTINCT departure_dt::DATE) AS ops FROM legs GROUP BY ALL) CROSS JOIN cabin_)"""
 
 
 def facts(text: str) -> str:
-    return f"WITH {FACTS} {text}"
+    return sql.booking(f", {FACTS} {text}")
 
 
-@query(facts("SELECT * FROM pax"))
+def pax(spark: SparkSession, d: str) -> DataFrame:
+    clean = coupon.clean(spark, d)
+    return ops.passengers(clean, coupon.bookings(clean))
+
+
+@query(facts("SELECT year, month, od, flight, cabin_code, cabin_name, segment, pax, cents / 100.0::DOUBLE AS revenue, (cents // pax) / 100.0::DOUBLE AS avg_fare FROM pax JOIN cabin_ USING (cabin_code)"))
 def passenger_facts(spark: SparkSession, d: str) -> DataFrame:
-    return ops.passengers(spark)
+    names = spark.createDataFrame([(c, n) for c, n, _ in ops.CABINS], "cabin_code string, cabin_name string")
+    revenue = F.col("cents") / 100.0
+    return pax(spark, d).join(F.broadcast(names), "cabin_code").select("year", "month", "od", "flight", "cabin_code", "cabin_name", "segment", "pax", revenue.alias("revenue"), (F.expr("cents div pax") / 100.0).alias("avg_fare"))
 
 
 @query(facts("SELECT * FROM seats"))
 def capacity_facts(spark: SparkSession, d: str) -> DataFrame:
-    return ops.capacity(spark)
+    return ops.capacity(coupon.clean(spark, d))
 
 
-Y = "coalesce(sum({0}) FILTER (year = 2024), 0)::BIGINT AS {0}_y1, coalesce(sum({0}) FILTER (year = 2025), 0)::BIGINT AS {0}_y2"
+SUMS = f"coalesce(sum({{0}}) FILTER (year = {Y1}), 0)::BIGINT AS {{0}}_y1, coalesce(sum({{0}}) FILTER (year = {Y2}), 0)::BIGINT AS {{0}}_y2"
 
 
-@query(facts(f", g AS (SELECT segment, {Y.format('pax')}, {Y.format('revenue')} FROM pax WHERE cabin_code = 'Y' GROUP BY 1) SELECT *, round(coalesce(revenue_y1 / nullif(pax_y1, 0), 0), 4) AS fare_y1, round(coalesce(revenue_y2 / nullif(pax_y2, 0), 0), 4) AS fare_y2 FROM g"))
+@query(facts(f""", g AS (SELECT segment, {SUMS.format('pax')}, {SUMS.format('cents')} FROM pax WHERE cabin_code = 'Y' GROUP BY 1), s AS (SELECT segment, coalesce(pax_y1, 0) AS pax_y1, coalesce(pax_y2, 0) AS pax_y2, coalesce(cents_y1, 0) / 100.0::DOUBLE AS revenue_y1, coalesce(cents_y2, 0) / 100.0::DOUBLE AS revenue_y2 FROM shown LEFT JOIN g USING (segment))
+SELECT *, round(coalesce(revenue_y1 / nullif(pax_y1, 0), 0), 4) AS fare_y1, round(coalesce(revenue_y2 / nullif(pax_y2, 0), 0), 4) AS fare_y2 FROM s"""))
 def yoy_pivot(spark: SparkSession, d: str) -> DataFrame:
-    g = ops.sliced(ops.passengers(spark), cabin="Y").groupBy("segment").agg(*[ops.years(x, i).alias(f"{x}_y{i + 1}") for x in ("pax", "revenue") for i in (0, 1)])
+    """Passengers, revenue and fare of the shown segments in economy, by year; a segment without any has zeros."""
+    g = ops.sliced(pax(spark, d), cabin="Y").groupBy("segment").agg(*[ops.years(x, i).alias(f"{x}_y{i + 1}") for x in ("pax", "cents") for i in (0, 1)])
+    g = ops.shown(g).na.fill(0)
+    g = g.select("segment", *[F.col(f"pax_y{i}") for i in (1, 2)], *[(F.col(f"cents_y{i}") / 100.0).alias(f"revenue_y{i}") for i in (1, 2)])
     return g.withColumns({f"fare_y{i}": F.round(F.coalesce(F.try_divide(F.col(f"revenue_y{i}"), F.col(f"pax_y{i}")), F.lit(0.0)), 4) for i in (1, 2)})
 
 
-@query(facts("SELECT segment, list(pax ORDER BY month)::VARCHAR AS monthly FROM (SELECT segment, month, sum(pax)::BIGINT AS pax FROM pax WHERE year = 2025 GROUP BY 1, 2) GROUP BY 1"))
+@query(facts(f", n AS (SELECT segment, month, sum(pax)::BIGINT AS pax FROM pax WHERE year = {Y2} GROUP BY 1, 2) SELECT segment, list(coalesce(pax, 0) ORDER BY month)::VARCHAR AS monthly FROM (SELECT segment, unnest(range(1, 13))::INT AS month FROM shown) LEFT JOIN n USING (segment, month) GROUP BY 1"))
 def monthly_vector(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve monthly sums per segment, in order, zero-filled."""
-    n = ops.passengers(spark).where("year = 2025").groupBy("segment", "month").agg(F.sum("pax").alias("pax"))
-    grid = n.select("segment").distinct().withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    """Twelve monthly sums per shown segment, in order, zero-filled."""
+    n = pax(spark, d).where(F.col("year") == Y2).groupBy("segment", "month").agg(F.sum("pax").alias("pax"))
+    grid = spark.createDataFrame([(s, m) for s in ops.SEGMENTS for m in range(1, 13)], "segment string, month int")
     full = grid.join(n, ["segment", "month"], "left").na.fill(0, ["pax"])
     values = F.transform(F.array_sort(F.collect_list(F.struct("month", "pax"))), lambda x: x["pax"].cast("string"))
     return full.groupBy("segment").agg(F.concat(F.lit("["), F.array_join(values, ", "), F.lit("]")).alias("monthly"))
 
 
-@query(facts(""", p AS (SELECT year, flight, sum(pax)::BIGINT AS pax FROM pax GROUP BY 1, 2), s AS (SELECT year, flight, sum(seats) AS seats FROM seats GROUP BY 1, 2), b AS (SELECT p.*, CASE WHEN coalesce(seats, 0) = 0 THEN 0 ELSE round(100.0::DOUBLE * pax / seats, 4) END AS lf FROM p LEFT JOIN s USING (year, flight))
-SELECT flight, max(lf) FILTER (year = 2024) AS lf_y1, max(pax) FILTER (year = 2024) AS pax_y1, max(lf) FILTER (year = 2025) AS lf_y2, max(pax) FILTER (year = 2025) AS pax_y2 FROM b GROUP BY 1"""))
+@query(facts(f""", p AS (SELECT year, flight, sum(pax)::BIGINT AS pax FROM pax GROUP BY 1, 2), s AS (SELECT year, flight, sum(seats) AS seats FROM seats GROUP BY 1, 2), b AS (SELECT p.*, CASE WHEN coalesce(seats, 0) = 0 THEN 0 ELSE round(100.0::DOUBLE * pax / seats, 4) END AS lf FROM p LEFT JOIN s USING (year, flight))
+SELECT flight, coalesce(max(lf) FILTER (year = {Y1}), 0) AS lf_y1, coalesce(max(pax) FILTER (year = {Y1}), 0) AS pax_y1, coalesce(max(lf) FILTER (year = {Y2}), 0) AS lf_y2, coalesce(max(pax) FILTER (year = {Y2}), 0) AS pax_y2 FROM b GROUP BY 1"""))
 def load_factor(spark: SparkSession, d: str) -> DataFrame:
-    return ops.load_factor(ops.passengers(spark), ops.capacity(spark))
+    clean = coupon.clean(spark, d)
+    return ops.load_factor(ops.passengers(clean, coupon.bookings(clean)), ops.capacity(clean))
 
 
-@query(facts(", g AS (SELECT segment, coalesce(sum(pax) FILTER (year = 2024), 0) AS ly, coalesce(sum(pax) FILTER (year = 2025), 0) AS cy FROM pax WHERE month IN (11, 12, 1) GROUP BY 1) SELECT segment, floor(ly * part::DOUBLE)::BIGINT AS ly_booked, floor(cy * part::DOUBLE)::BIGINT AS cy_booked, floor(floor(cy * part::DOUBLE) / part::DOUBLE)::BIGINT AS projected FROM g JOIN adv USING (segment)"))
+@query(facts(f", g AS (SELECT segment, coalesce(sum(pax) FILTER (year = {Y1}), 0) AS ly, coalesce(sum(pax) FILTER (year = {Y2}), 0) AS cy FROM pax WHERE month IN (11, 12, 1) GROUP BY 1) SELECT segment, floor(ly * part)::BIGINT AS ly_booked, floor(cy * part)::BIGINT AS cy_booked, floor(floor(cy * part) / part)::BIGINT AS projected FROM g JOIN adv USING (segment)"))
 def advance_onhand(spark: SparkSession, d: str) -> DataFrame:
-    """Booked ahead for the months 11, 12 and 1, and what that projects to."""
-    part = spark.createDataFrame(list(ops.ADVANCE.items()), "segment string, part double")
-    g = ops.passengers(spark).where(F.col("month").isin(*[(10 + i) % 12 + 1 for i in range(3)])).groupBy("segment").agg(ops.years("pax", 0).alias("ly"), ops.years("pax", 1).alias("cy")).join(F.broadcast(part), "segment")
-    g = g.select("segment", "part", F.floor(F.col("ly") * F.col("part")).alias("ly_booked"), F.floor(F.col("cy") * F.col("part")).alias("cy_booked"))
-    return g.select("segment", "ly_booked", "cy_booked", F.floor(F.col("cy_booked") / F.col("part")).alias("projected"))
+    """Booked ahead for the three months after October, and what that projects to."""
+    return ops.advance(pax(spark, d), ops.forward(10, 3))
 
 
-@query(facts("SELECT segment, round(sum(revenue) / sum(pax), 4) AS revenue_per_pax, floor(100.0::DOUBLE * sum(pax) FILTER (od IN ('MNL-CEB', 'MNL-DVO')) / sum(pax))::INT AS dom_pct FROM pax GROUP BY 1"))
+@query(facts("SELECT segment, round(sum(cents) / 100.0::DOUBLE / sum(pax), 4) AS revenue_per_pax, floor(100.0::DOUBLE * coalesce(sum(pax) FILTER (domestic), 0) / sum(pax))::INT AS dom_pct FROM pax GROUP BY 1"))
 def behaviour(spark: SparkSession, d: str) -> DataFrame:
-    dom = F.sum(F.when(F.col("od").isin("MNL-CEB", "MNL-DVO"), F.col("pax")))
-    return ops.passengers(spark).groupBy("segment").agg(F.round(F.sum("revenue") / F.sum("pax"), 4).alias("revenue_per_pax"), F.floor(F.lit(100.0) * dom / F.sum("pax")).cast("int").alias("dom_pct"))
+    """Revenue of a passenger and the whole percent of domestic ones, by segment."""
+    dom = F.sum(F.when(F.col("domestic"), F.col("pax")).otherwise(0))
+    return pax(spark, d).groupBy("segment").agg(F.round(F.sum("cents") / 100.0 / F.sum("pax"), 4).alias("revenue_per_pax"), F.floor(F.lit(100.0) * dom / F.sum("pax")).cast("int").alias("dom_pct"))
+
 
+YOY = "round_even((y2 - y1) / (CASE WHEN y1 = 0 THEN 1 ELSE y1 END)::DOUBLE * 100.0::DOUBLE, 0)"
 
-@query(facts(", g AS (SELECT od, segment, coalesce(sum(pax) FILTER (year = 2024), 0)::BIGINT AS y1, coalesce(sum(pax) FILTER (year = 2025), 0)::BIGINT AS y2 FROM pax GROUP BY 1, 2) SELECT *, round_even((y2 - y1) / (CASE WHEN y1 = 0 THEN 1 ELSE y1 END)::DOUBLE * 100.0::DOUBLE, 0) AS yoy FROM g WHERE abs(round_even((y2 - y1) / (CASE WHEN y1 = 0 THEN 1 ELSE y1 END)::DOUBLE * 100.0::DOUBLE, 0)) >= 9"))
+
+@query(facts(f", g AS (SELECT od, segment, coalesce(sum(pax) FILTER (year = {Y1}), 0)::BIGINT AS y1, coalesce(sum(pax) FILTER (year = {Y2}), 0)::BIGINT AS y2 FROM pax WHERE year IN ({Y1}, {Y2}) GROUP BY 1, 2) SELECT *, {YOY} AS yoy FROM g WHERE abs({YOY}) >= 50"))
 def yoy_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return ops.alerts(ops.passengers(spark), 9)
+    """Sectors and segments whose passengers changed by half or more."""
+    return ops.alerts(pax(spark, d), 50)
 
 
-@query(facts(", g AS (SELECT coalesce(segment, 'TOTAL') AS segment, sum(pax)::BIGINT AS pax, sum(revenue)::BIGINT AS revenue FROM pax WHERE year = 2025 AND od = 'MNL-NRT' GROUP BY ROLLUP (segment)), n AS (SELECT segment, 100.0::DOUBLE * sum(pax) / sum(sum(pax)) OVER () AS net FROM pax WHERE year = 2025 GROUP BY 1) SELECT g.*, round(100.0::DOUBLE * pax / (SELECT pax FROM g WHERE segment = 'TOTAL'), 4) AS share, round(100.0::DOUBLE * pax / (SELECT pax FROM g WHERE segment = 'TOTAL') - coalesce(net, 100), 4) AS pp_delta FROM g LEFT JOIN n USING (segment)"))
+@query(facts(f""", y AS (SELECT * FROM pax WHERE year = {Y2}), g AS (SELECT coalesce(segment, 'TOTAL') AS segment, sum(pax)::BIGINT AS pax, sum(cents) / 100.0::DOUBLE AS revenue FROM y WHERE od = '{OD}' GROUP BY ROLLUP (segment) HAVING sum(pax) IS NOT NULL), n AS (SELECT segment, 100.0::DOUBLE * sum(pax) / sum(sum(pax)) OVER () AS net FROM y GROUP BY 1)
+SELECT g.*, round(100.0::DOUBLE * pax / (SELECT pax FROM g WHERE segment = 'TOTAL'), 4) AS share, round(100.0::DOUBLE * pax / (SELECT pax FROM g WHERE segment = 'TOTAL') - coalesce(net, 100), 4) AS pp_delta FROM g LEFT JOIN n USING (segment)"""))
 def totals_and_delta(spark: SparkSession, d: str) -> DataFrame:
     """Rows and total of a sector, shares, and the difference to the shares of the network in points."""
-    df = ops.passengers(spark).where("year = 2025")
-    g = ops.sliced(df, od="MNL-NRT").rollup("segment").agg(F.sum("pax").alias("pax"), F.sum("revenue").alias("revenue")).withColumn("segment", F.coalesce("segment", F.lit("TOTAL")))
+    df = pax(spark, d).where(F.col("year") == Y2)
+    g = ops.sliced(df, od=OD).rollup("segment").agg(F.sum("pax").alias("pax"), (F.sum("cents") / 100.0).alias("revenue")).withColumn("segment", F.coalesce("segment", F.lit("TOTAL"))).where("pax IS NOT NULL")
     net = df.groupBy("segment").agg(F.sum("pax").alias("n")).withColumn("net", F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy())).select("segment", "net")
     part = F.lit(100.0) * F.col("pax") / F.max("pax").over(Window.partitionBy())
     return g.join(net, "segment", "left").select("segment", "pax", "revenue", F.round(part, 4).alias("share"), F.round(part - F.coalesce("net", F.lit(100.0)), 4).alias("pp_delta"))
 
 
-@query("SELECT segment, loss, floor(support * (1 - recall / 100.0::DOUBLE))::BIGINT AS missed, round(floor(support * (1 - recall / 100.0::DOUBLE)) * loss, 2) AS risk FROM (VALUES ('Corporate', 40000.0::DOUBLE, 300, 80.0::DOUBLE), ('Family', 8000.0::DOUBLE, 200, 100.0::DOUBLE), ('OFW/Migrant', 20000.0::DOUBLE, 600, 18.0::DOUBLE)) t(segment, loss, support, recall)")
+_LOSS = ", ".join(f"('{s}', {float(ops.LOSS * p)}::DOUBLE)" for s, p in monitor.PENALTY.items())
+
+
+@query(sql.customer(f""", loss_(segment, loss) AS (VALUES {_LOSS}), g AS (SELECT proxy_segment AS segment, count(*) AS support, 100.0::DOUBLE * count(*) FILTER (dominant_segment = proxy_segment) / count(*) AS recall FROM booking JOIN (SELECT customer_id, dominant_segment FROM customer_) USING (customer_id) GROUP BY 1)
+SELECT segment, support, round(recall, 4) AS recall, loss, floor(support * (1 - recall / 100.0::DOUBLE))::BIGINT AS missed, round(floor(support * (1 - recall / 100.0::DOUBLE)) * loss, 2) AS risk FROM g JOIN loss_ USING (segment)"""))
 def revenue_risk(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([("Corporate", 40000.0, 300, 80.0), ("Family", 8000.0, 200, 100.0), ("OFW/Migrant", 20000.0, 600, 18.0)], "segment string, loss double, support int, recall double")
-    return df.select("segment", "loss", F.floor(F.col("support") * (1 - F.col("recall") / 100.0)).alias("missed")).withColumn("risk", F.round(F.col("missed") * F.col("loss"), 2))
+    """Revenue at risk where every booking is given its customer's dominant segment."""
+    bk = coupon.bookings(coupon.clean(spark, d))
+    return ops.risk(bk, coupon.customers(bk), monitor.PENALTY)
 
 
-@query(facts("SELECT year, cabin_name, sum(pax)::BIGINT AS pax, round(100.0 * sum(pax) / sum(sum(pax)) OVER (), 4) AS share FROM pax WHERE month = 12 AND od = 'MNL-LAX' GROUP BY 1, 2"))
+@query(facts(f"SELECT year, cabin_name, sum(pax)::BIGINT AS pax, round(100.0 * sum(pax) / sum(sum(pax)) OVER (), 4) AS share FROM pax JOIN cabin_ USING (cabin_code) WHERE month = 12 AND od = '{OD}' GROUP BY 1, 2"))
 def sliced_mix(spark: SparkSession, d: str) -> DataFrame:
-    return ops.sliced(ops.passengers(spark), month=12, od="MNL-LAX").groupBy("year", "cabin_name").agg(F.sum("pax").alias("pax")).withColumn("share", share("pax"))
+    names = spark.createDataFrame([(c, n) for c, n, _ in ops.CABINS], "cabin_code string, cabin_name string")
+    return ops.sliced(pax(spark, d), month=12, od=OD).join(F.broadcast(names), "cabin_code").groupBy("year", "cabin_name").agg(F.sum("pax").alias("pax")).withColumn("share", share("pax"))
 
 
-@query(facts(", g AS (SELECT segment, sum(pax)::BIGINT AS n FROM pax GROUP BY 1), r(rate) AS (VALUES (1), (5), (10)) SELECT segment, rate, round(n * 4000.0::DOUBLE * rate / 100.0::DOUBLE, 2) AS uplift FROM g CROSS JOIN r"))
+@query(facts(f", g AS (SELECT segment, sum(pax)::BIGINT AS n FROM pax GROUP BY 1), r(rate) AS (VALUES (1), (5), (10)) SELECT segment, rate, round(n * {ops.LOSS}.0::DOUBLE * rate / 100.0::DOUBLE, 2) AS uplift FROM g CROSS JOIN r"))
 def uplift_scenarios(spark: SparkSession, d: str) -> DataFrame:
-    """Value kept if so many percent of the misses were caught; 5 segments by 3 rates."""
-    g = ops.passengers(spark).groupBy("segment").agg(F.sum("pax").alias("n"))
-    return g.withColumn("rate", F.explode(F.array(F.lit(1), F.lit(5), F.lit(10)))).select("segment", "rate", F.round(F.col("n") * 4000.0 * F.col("rate") / 100.0, 2).alias("uplift"))
+    """Value kept if so many percent of the misses were caught, by segment and rate."""
+    g = pax(spark, d).groupBy("segment").agg(F.sum("pax").alias("n"))
+    return g.withColumn("rate", F.explode(F.array(F.lit(1), F.lit(5), F.lit(10)))).select("segment", "rate", F.round(F.col("n") * float(ops.LOSS) * F.col("rate") / 100.0, 2).alias("uplift"))
