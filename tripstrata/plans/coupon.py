@@ -117,9 +117,22 @@ def excluded_customers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.clean(", x AS (SELECT customer_id FROM clean GROUP BY 1 HAVING bool_and(class_nonrev)) SELECT count(*) AS n FROM clean WHERE customer_id NOT IN (SELECT customer_id FROM x)"))
 def coupons_without_excluded(spark: SparkSession, d: str) -> DataFrame:
-    """An anti join: the key is never NULL, so NOT IN needs no null-aware plan."""
     df = ops.clean(spark, d)
-    return df.join(ops.excluded(df), "customer_id", "left_anti").agg(F.count("*").alias("n"))
+    return ops.not_in(df, "customer_id", ops.excluded(df), "customer_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1")
+def customers_not_in(spark: SparkSession, d: str) -> DataFrame:
+    """Customers without a pending order."""
+    some = star(spark, d, "orders").where("o_orderstatus = 'P'")
+    return ops.not_in(star(spark, d, "customer"), "c_custkey", some, "o_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_totalprice > 1000 THEN o_custkey END FROM orders)")
+def customers_not_in_null(spark: SparkSession, d: str) -> DataFrame:
+    """The same where one order or more has no known customer: none is left."""
+    some = star(spark, d, "orders").select(F.when(F.col("o_totalprice") > 1000, F.col("o_custkey")).alias("k"))
+    return ops.not_in(star(spark, d, "customer"), "c_custkey", some, "k").agg(F.count("*").alias("n"))
 
 
 @query(sql.booking("SELECT customer_id, issue_date::VARCHAR AS issue_date, round(rev_pos, 2) AS rev_pos, " + ", ".join(MEASURES) + " FROM booking"))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripstrata.functions.columns import average_rank, bins, cents, clip, from_cents, null_false, share
+from tripstrata.functions.quantiles import percentiles
 from tripstrata.operators import coupon, rules
 from tripstrata.operators import tickets as t
+from tripstrata.operators.sampling import cut_lineage
 from tripstrata.plans import sql
 from tripstrata.plans.base import query
 from tripstrata.sources.tables import star
@@ -89,10 +91,16 @@ def overlapping_proxies(spark: SparkSession, d: str) -> DataFrame:
     return tickets(spark, d).agg(F.count("*").alias("n"), *[F.count_if(p).alias(k) for k, p in {"corporate": c("cabin") == "J", "mid_east": c("region") == "Middle East", "bleisure": c("cabin") == "W", "beyonds": c("itinerary") == "Beyonds (INT - DOM)", "budget": c("farebrand") == "Economy Supersaver", "last_minute": c("lead_time") <= 3, "crew": c("channel") == "Sea Crew", "tmc": c("channel") == "TMC"}.items()])
 
 
+def joined_groups(df: DataFrame, more: DataFrame, group: str) -> DataFrame:
+    """`df` with the columns of `more`, by a group that can be NULL."""
+    more = more.withColumnRenamed(group, "__group")
+    return df.join(more, df[group].eqNullSafe(more["__group"]), "left").drop("__group")
+
+
 def record_labels(spark: SparkSession, d: str) -> DataFrame:
     """The two scalars of the rules are one-row aggregates, joined as a broadcast row."""
     df = t.records(coupon.clean(spark, d))
-    cuts = df.agg(F.median("ancillary").alias("anc_median"), F.percentile("ancillary", 0.25).alias("anc_quarter"))
+    cuts = percentiles(df, [], "ancillary", [0.5, 0.25], cut_lineage).select(F.col("q")[0].alias("anc_median"), F.col("q")[1].alias("anc_quarter"))
     df = df.crossJoin(F.broadcast(cuts))
     df = df.withColumn("segment", rules.last_match(rules.record_rules(["K", "U"], ["Y", "J"], F.col("anc_median"))))
     return df.withColumn("segment_nl", rules.without_contradictions(F.col("segment"), rules.record_contradictions(F.col("anc_quarter"))))
@@ -164,12 +172,18 @@ def box_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ticket_sql("SELECT region, round(median(fare_per_pax), 4) AS med_fare, median(lead_time) AS med_lead, count(*) AS n FROM ticket GROUP BY 1"))
 def group_medians(spark: SparkSession, d: str) -> DataFrame:
-    return tickets(spark, d).groupBy("region").agg(F.round(F.median("fare_per_pax"), 4).alias("med_fare"), F.median("lead_time").alias("med_lead"), F.count("*").alias("n")).orderBy("med_fare")
+    """Fares are free doubles, narrowed down by counting; lead times are few whole numbers."""
+    df = tickets(spark, d)
+    fares = percentiles(df, ["region"], "fare_per_pax", [0.5], cut_lineage).select("region", F.round(F.col("q")[0], 4).alias("med_fare"))
+    return joined_groups(df.groupBy("region").agg(F.median("lead_time").alias("med_lead"), F.count("*").alias("n")), fares, "region").orderBy("med_fare")
 
 
 @query(ticket_sql(f", s AS (SELECT *, {U2} AS segment FROM ticket) SELECT segment, round(least(median(fare_per_pax) / 1000, 1), 6) AS fare, round(least(median(lead_time) / 90, 1), 6) AS lead, round(least((median(pax) - 1) / 9, 1), 6) AS party, round(avg((is_dom = 0)::INT), 6) AS intl, round(avg((farebrand = 'Economy Flex')::INT), 6) AS flex FROM s GROUP BY 1 HAVING count(*) >= 10"))
 def radar(spark: SparkSession, d: str) -> DataFrame:
-    g = labelled(spark, d).groupBy("segment").agg(F.round(F.least(F.median("fare_per_pax") / 1000, F.lit(1.0)), 6).alias("fare"), F.round(F.least(F.median("lead_time") / 90, F.lit(1.0)), 6).alias("lead"), F.round(F.least((F.median("pax") - 1) / 9, F.lit(1.0)), 6).alias("party"), F.round(F.avg((F.col("is_dom") == 0).cast("int")), 6).alias("intl"), F.round(F.avg((F.col("farebrand") == "Economy Flex").cast("int")), 6).alias("flex"), F.count("*").alias("n"))
+    df = labelled(spark, d)
+    fares = percentiles(df, ["segment"], "fare_per_pax", [0.5], cut_lineage).select("segment", F.round(F.least(F.col("q")[0] / 1000, F.lit(1.0)), 6).alias("fare"))
+    g = df.groupBy("segment").agg(F.round(F.least(F.median("lead_time") / 90, F.lit(1.0)), 6).alias("lead"), F.round(F.least((F.median("pax") - 1) / 9, F.lit(1.0)), 6).alias("party"), F.round(F.avg((F.col("is_dom") == 0).cast("int")), 6).alias("intl"), F.round(F.avg((F.col("farebrand") == "Economy Flex").cast("int")), 6).alias("flex"), F.count("*").alias("n"))
+    g = joined_groups(g, fares, "segment")
     return g.where("n >= 10").drop("n")
 
 
@@ -197,7 +211,7 @@ def null_pass_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey, coalesce(nullif(c_acctbal, 0), (SELECT median(c_acctbal) FROM customer WHERE c_acctbal > 0)) AS balance, ln(1 + greatest(c_acctbal, 0)) > 5 AS rich FROM customer")
 def median_impute(spark: SparkSession, d: str) -> DataFrame:
     df = star(spark, d, "customer")
-    m = df.where("c_acctbal > 0").agg(F.median("c_acctbal").alias("m"))
+    m = percentiles(df.where("c_acctbal > 0"), [], "c_acctbal", [0.5], cut_lineage).select(F.col("q")[0].alias("m"))
     return df.crossJoin(F.broadcast(m)).select("c_custkey", F.coalesce(F.nullif("c_acctbal", F.lit(0.0)), "m").alias("balance"), (F.log1p(F.greatest("c_acctbal", F.lit(0.0))) > 5).alias("rich"))
 
 

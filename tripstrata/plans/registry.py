@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripstrata.plans import coupon, dashboard, eda, models, monitor, segments  # noqa: F401
+from tripstrata.plans import coupon, dashboard, eda, models, monitor, segments, sources  # noqa: F401
 from tripstrata.plans.base import QUERIES, SQL, Query
 
 

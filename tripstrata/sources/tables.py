@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,16 +29,60 @@ def star(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The column names of one CSV file, plain or compressed, without byte-order mark, stray brackets and blanks."""
+    at, system = file_at(spark, path)
+    jvm = spark._jvm
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(at)
+    stream = system.open(at)
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    first = lines.readLine() or ""
+    lines.close()
+    return tuple(c.lstrip("\ufeff").rstrip("] ").strip() for c in next(csv.reader([first]), []))
+
+
+def read_united(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """CSV files as text columns, united by name, with src_file. Files with one header are one scan, so the plan grows with the
+    kinds of files, not with their number."""
+    kinds: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        kinds.setdefault(header(spark, path), []).append(path)
+    out = None
+    for names, files in kinds.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = spark.read.option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").schema(schema).csv(files)
+        df = df.withColumn("src_file", F.regexp_extract(F.input_file_name(), r"[^/]+$", 0))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def sniffed(df: DataFrame, **fixed: str) -> dict[str, str]:
+    """A type for every text column: the narrowest of bigint, double, timestamp_ntz and string that all of its values have; `fixed`
+    ones aren't asked for. One pass over all rows; NULL and empty values have no say, and a column of none is text."""
+    names = [c for c in df.columns if c not in fixed]
+    kinds = ("bigint", "double", "timestamp_ntz")
+
+    def fits(c: str, kind: str) -> Column:
+        value = F.when(F.trim(F.col(f"`{c}`")) != "", F.trim(F.col(f"`{c}`")))
+        return F.every(F.when(value.isNotNull(), value.try_cast(kind).isNotNull())).alias(f"{c}:{kind}")
+
+    row = df.agg(*[fits(c, k) for c in names for k in kinds]).first() if names else {}
+    return {c: fixed.get(c) or next((k for k in kinds if row[f"{c}:{k}"]), "string") for c in df.columns}
+
+
+def read_sniffed(spark: SparkSession, paths: list[str], **fixed: str) -> DataFrame:
+    """read_united() with the types that sniffed() finds."""
+    df = read_united(spark, paths)
+    kinds = sniffed(df, **{"src_file": "string", **fixed})
+    return df.select(*[F.trim(F.col(f"`{c}`")).try_cast(k).alias(c) if k != "string" else F.col(f"`{c}`") for c, k in kinds.items()])
+
+
 def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Gzipped coupon CSVs, united by column name, typed, with src_file and iss_year.
 
-    Each file is read with the columns of its own header; gzip isn't splittable, so rows are dealt anew before a write.
+    Gzip isn't splittable, so rows are dealt anew before a write.
     """
-    out = None
-    for path in paths:
-        df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-        df = df.toDF(*(c.lstrip("﻿").rstrip("] ").strip() for c in df.columns)).withColumn("src_file", F.regexp_extract(F.input_file_name(), r"[^/]+$", 0))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    out = read_united(spark, paths)
     typed = {c: timestamp19(F.col(f"`{c}`")) for c in TIMES if c in out.columns}
     typed |= {c: F.col(f"`{c}`").try_cast("int") for c in WHOLE if c in out.columns} | {c: F.col(f"`{c}`").try_cast("double") for c in MONEY if c in out.columns}
     return out.withColumns(typed).withColumn("iss_year", F.coalesce(F.year("DateOfIssuance"), F.lit(0)))
