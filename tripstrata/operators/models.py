@@ -7,6 +7,7 @@ validity, which need all pairs, are fitted on a sample with a stated bound, and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,13 +16,14 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripstrata.functions.graph import components as connected
 from tripstrata.functions.quantiles import percentiles
-from tripstrata.operators.neighbours import GROUP, Cells, first_of, matrix, measured, meet, nearest_compare, nearest_points, neighbours, place, points, within_reach
-from tripstrata.operators.sampling import cut_lineage, sample
+from tripstrata.operators.mixture import starts_of
+from tripstrata.operators.neighbours import GROUP, Cells, first_of, matrix, measured, meet, nearest_compare, nearest_points, neighbours, place, points, squares, usable, within_reach
+from tripstrata.operators.sampling import cut_lineage, sample, shared_folder
 
 #: Rows at most of a sample whose pairs are all compared.
 PAIRS = 2000
@@ -40,17 +42,59 @@ def kmeans(df: DataFrame, k: int, starts: int = 20, steps: int = 50) -> DataFram
     return out
 
 
-def minibatch_kmeans(df: DataFrame, k: int, key: str, batch: int = 256, steps: int = 8) -> DataFrame:
-    """Centres moved by per-step samples of `batch` rows with a rate of 1 / count; rows then go to the nearest centre."""
-    first = sample(df, k, key, seed=0).select("embedding").collect()
-    centres, seen = np.array([r[0] for r in first], float), np.zeros(len(first))
+def batch_sums(rows: DataFrame, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each set of centres: how many rows each is nearest to, the sums of their vectors, and the cost. A task adds up what it reads."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((len(c), c.shape[1] + 2)) for c in centres]
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                x = matrix(b.column(0).slice(at, 4096))
+                for t, c in zip(total, centres, strict=True):
+                    d = squares(x, c)
+                    near = d.argmin(1)
+                    np.add.at(t, near, np.column_stack([np.ones(len(x)), d.min(1), x]))
+        flat = np.concatenate([t.ravel() for t in total])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["at", "s"])
+
+    got = rows.select("embedding").mapInArrow(add, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).toArrow()
+    flat, out, at = np.zeros(sum(len(c) * (c.shape[1] + 2) for c in centres)), [], 0
+    flat[got["at"].to_numpy()] = got["s"].to_numpy()
+    for c in centres:
+        t = flat[at : at + len(c) * (c.shape[1] + 2)].reshape(len(c), -1)
+        at += t.size
+        out.append((t[:, 0], t[:, 2:], float(t[:, 1].sum())))
+    return out
+
+
+def minibatch_centres(df: DataFrame, k: int, key: str, batch: int = 4096, steps: int = 20, starts: int = 3) -> np.ndarray:
+    """Centres moved by one batch of about `batch` rows a step, with a rate of 1 / count; the start of the least cost over all rows.
+
+    A row's hash gives its batch. One scan writes all batches that the steps use, a folder for each, so a step reads its own rows
+    only; more steps than batches go round. Seeds are drawn over a sample of 200 rows a centre (k-means++).
+    """
+    rows = usable(df, "embedding").select(key, "embedding")
+    n = rows.count()
+    groups = max(1, -(-n // batch))
+    at = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64(key, F.lit(5)), F.lit(groups)).cast("int")).where(F.col("batch") < steps)
+    dealt.write.partitionBy("batch").parquet(at)
+    batches = df.sparkSession.read.parquet(at)
+    x = np.array([r[0] for r in sample(rows, 200 * k, key).select("embedding").collect()], float)
+    centres = [c.copy() for c in starts_of(x, k, starts)]
+    seen = [np.zeros(k) for _ in centres]
     for step in range(steps):
-        x = np.array([r[0] for r in sample(df, batch, key, seed=step + 1).select("embedding").collect()], float)
-        near = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
-        for row, j in zip(x, near, strict=True):
-            seen[j] += 1
-            centres[j] += (row - centres[j]) / seen[j]
-    return nearest(df, centres)
+        for c, held, (count, sums, _) in zip(centres, seen, batch_sums(batches.where(F.col("batch") == step % groups), centres), strict=True):
+            held += count
+            some = count > 0
+            # each row moves its centre by 1 / (rows so far): together, a mean of what was there and the batch
+            c[some] += (sums[some] - count[some, None] * c[some]) / held[some, None]
+    return min(zip(batch_sums(rows, centres), centres, strict=True), key=lambda g: g[0][2])[1]
+
+
+def minibatch_kmeans(df: DataFrame, k: int, key: str, batch: int = 4096, steps: int = 20, starts: int = 3) -> DataFrame:
+    """Rows go to the nearest of minibatch_centres()."""
+    return nearest(df, minibatch_centres(df, k, key, batch, steps, starts))
 
 
 def nearest(df: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -401,19 +445,60 @@ def _latent_start(got: list, columns: list[str], k: int, steps: int, seed: int)
     return {"k": k, "loglik": loglik, "bic": -2 * loglik + p * float(np.log(n.sum())), "aic": -2 * loglik + 2 * p, "shares": sorted(pi.tolist(), reverse=True)}
 
 
-def k_prototypes(df: DataFrame, key: str, numbers: list[str], codes: list[str], k: int, gamma: float = 0.5, steps: int = 6) -> DataFrame:
-    """Lloyd steps with squared distances plus gamma per mismatch; means of numbers and modes of codes (Huang 1998)."""
-    seeds = [r.asDict() for r in sample(df, k, key).select(*numbers, *codes).collect()]
+def spread_modes(df: DataFrame, codes: list[str], k: int) -> list[dict]:
+    """Start modes (Huang 1998): the values of each code by falling frequency, dealt to the k modes in turns."""
+    out: list[dict] = [{} for _ in range(k)]
+    for c in codes:
+        by = [r[0] for r in df.groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c).limit(k).collect()]
+        for i, mode in enumerate(out):
+            mode[c] = by[i % len(by)] if by else None
+    return out
 
-    def cost(c: dict) -> object:
-        parts = [(F.col(x) - float(c[x])) ** 2 for x in numbers] + [F.when(F.col(x) == F.lit(c[x]), 0.0).otherwise(gamma) for x in codes]
-        return sum(parts[1:], parts[0])
 
-    def assigned(centres: list[dict]) -> DataFrame:
-        return df.withColumn("label", F.array_min(F.array(*[F.struct(cost(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))["i"])
+def k_prototypes(df: DataFrame, key: str, numbers: list[str], codes: list[str], k: int, gamma: float = 0.5, steps: int = 30, starts: int = 2) -> tuple[DataFrame, list[float]]:
+    """All rows with `label`, and the costs of the best start's steps: Lloyd steps with squared distances plus gamma per mismatch, means of
+    numbers and modes of codes, until the cost stays (Huang 1998).
 
-    for _ in range(steps):
-        got = assigned(seeds).groupBy("label").agg(*[F.avg(x).alias(x) for x in numbers], *[F.mode(x, True).alias(x) for x in codes]).collect()
-        new = {r["label"]: r.asDict() for r in got}
-        seeds = [new.get(i, c) for i, c in enumerate(seeds)]
-    return assigned(seeds)
+    Equal (numbers, codes) are folded to one weighted row first, so a step reads as many rows as there are kinds of rows. A mode takes the most
+    frequent value, the smallest of equals, from counts by value; ties of distance go to the first prototype. NULLs match NULLs in codes;
+    a NULL number adds nothing.
+    """
+    kinds = cut_lineage(df.groupBy(*numbers, *codes).agg(F.count("*").alias("__n")))
+    few = [r.asDict() for r in sample(df, k * starts, key).select(*numbers).collect()]
+    modes = spread_modes(df, codes, k)
+
+    def cost(p: dict) -> Column:
+        parts = [F.coalesce((F.col(x) - F.lit(p[x])) ** 2, F.lit(0.0)) for x in numbers] + [F.when(F.col(x).eqNullSafe(F.lit(p[x])), 0.0).otherwise(gamma) for x in codes]
+        return sum(parts[1:], parts[0])
+
+    def near(rows: DataFrame, prototypes: list[dict]) -> DataFrame:
+        best = F.array_min(F.array(*[F.struct(cost(p).alias("d"), F.lit(i).alias("i")) for i, p in enumerate(prototypes)]))
+        return rows.withColumn("__b", best).withColumns({"label": F.col("__b.i"), "__d": F.col("__b.d")}).drop("__b")
+
+    def step(prototypes: list[dict]) -> tuple[list[dict], float]:
+        at = near(kinds, prototypes)
+        n = F.col("__n")
+        got = at.groupBy("label").agg(F.sum(F.col("__d") * n).alias("cost"), *[F.try_divide(F.sum(F.col(x) * n), F.sum(F.when(F.col(x).isNotNull(), n))).alias(x) for x in numbers]).collect()
+        new = [dict(p) for p in prototypes]
+        for r in got:
+            new[r["label"]] |= {x: r[x] if r[x] is not None else prototypes[r["label"]][x] for x in numbers}
+        for c in codes:
+            counts = at.groupBy("label", c).agg(F.sum("__n").alias("n"))
+            for r in counts.groupBy("label").agg(F.min_by(c, F.struct(-F.col("n"), c)).alias("mode")).collect():
+                new[r["label"]][c] = r["mode"]
+        return new, float(sum(r["cost"] for r in got))
+
+    best: tuple[list[dict], list[float]] | None = None
+    for start in range(starts if few else 0):
+        now, costs = [m | few[(start * k + i) % len(few)] for i, m in enumerate(modes[start % k :] + modes[: start % k])], []
+        for _ in range(steps):
+            new, total = step(now)
+            costs.append(total)
+            if len(costs) > 1 and costs[-1] >= costs[-2]:
+                break
+            now = new
+        if best is None or costs[-1] < best[1][-1]:
+            best = now, costs
+    if best is None:
+        return df.withColumn("label", F.lit(None).cast("int")), []
+    return near(df, best[0]).drop("__d"), best[1]

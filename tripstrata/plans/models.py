@@ -173,7 +173,7 @@ def sub_segments(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def k_prototypes(spark: SparkSession, d: str) -> DataFrame:
     df = codes(spark, d).withColumn("id", F.xxhash64("customer_id", "issue_date")).withColumn("lead", F.col("lead_bucket").cast("double"))
-    got = models.k_prototypes(sampling.sample(df, 20_000, "id"), "id", ["lead"], ["tier", "is_international", "any_premium"], 4)
+    got, _ = models.k_prototypes(df, "id", ["lead"], ["tier", "is_international", "any_premium"], 4)
     return got.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("lead"), 4).alias("lead"), F.mode("proxy_segment", True).alias("segment"))
 
 
