@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tripstrata.operators import models
+from tripstrata.operators import models, monitor
 
 
 def test_minibatch_cost_is_near_a_whole_fit(spark):
@@ -37,3 +37,30 @@ def test_prototypes_take_all_rows_and_their_cost_never_rises(spark):
         total += sum((0 if r[1] is None else (r[1] - mean) ** 2) + (0 if r[2] == mode else 0.5) for r in some)
     assert costs[-1] == pytest.approx(total, rel=1e-6)
     assert models.k_prototypes(df.where(F.col("id") < 0), "id", ["x"], ["c"], 3)[0].count() == 0
+
+
+def rand_index(a, b):
+    """Adjusted Rand index by counting pairs of rows."""
+    n = len(a)
+    same = lambda x: {(i, j) for i in range(n) for j in range(i) if x[i] == x[j]}
+    p, q = same(a), same(b)
+    chance = len(p) * len(q) / (n * (n - 1) / 2)
+    return (len(p & q) - chance) / ((len(p) + len(q)) / 2 - chance)
+
+
+def test_stability_of_exact_samples(spark):
+    df = spark.range(200).withColumn("x", F.xxhash64("id"))
+    sizes, labels = [], []
+
+    def fit(some, run):
+        got = some.withColumn("label", F.pmod(F.xxhash64("x", F.lit(run // 2)), F.lit(3)).cast("int"))
+        rows = {r["id"]: r["label"] for r in got.collect()}
+        sizes.append(len(rows))
+        labels.append(rows)
+        return got
+
+    got = monitor.bootstrap_stability(df, "id", fit, runs=4)
+    assert sizes == [180] * 4 and len({tuple(sorted(x)) for x in labels}) == 4
+    pairs = [(labels[i], labels[j]) for i in range(4) for j in range(i + 1, 4)]
+    want = [rand_index(*zip(*((a[k], b[k]) for k in a.keys() & b.keys()), strict=True)) for a, b in pairs]
+    assert got == pytest.approx(np.mean(want)) and want[0] == pytest.approx(1.0)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripstrata.functions.columns import counted_percentile
+from tripstrata.operators.sampling import cut_lineage, rank_within
 
 # What a miss of a segment costs.
 PENALTY = {"Corporate": 10, "Mabuhay Loyalist": 8, "OFW/Migrant": 5, "Premium Bleisure": 4, "Pilgrimage": 3, "Balikbayan/VFR": 2, "Family": 2, "Digital Nomad": 2, "Last-Minute": 1, "Budget/Adventure": 1}
@@ -116,21 +117,34 @@ def calinski_harabasz(df: DataFrame, label: str, vector: str, key: str) -> DataF
     return between.agg(((F.sum(F.col("n") * F.col("b2")) / (k - 1)) / (F.sum("sum_d2") / (n - k))).alias("calinski_harabasz"))
 
 
-def bootstrap_stability(df: DataFrame, key: str, fit: Callable[[DataFrame, int], DataFrame], runs: int = 3, part: float = 0.9) -> float:
-    """Mean agreement of the labels that `fit` gives to pairs of samples without replacement, over the rows that both have."""
-    got = []
-    for i in range(runs):
-        some = df.where(F.pmod(F.xxhash64(key, F.lit(i)), F.lit(1000)) < int(1000 * part))
-        got.append(fit(some, i).select(key, F.col("label").alias(f"l{i}")).persist())
-    out = []
-    for i in range(runs):
-        for j in range(i + 1, runs):
-            both = got[i].join(got[j], key)
-            if both.count() >= 10:
-                out.append(adjusted_rand(both, f"l{i}", f"l{j}").first()["ari"])
-    for x in got:
-        x.unpersist()
-    return sum(out) / len(out) if out else float("nan")
+def exact_part(df: DataFrame, key: str, part: float, seed: int) -> DataFrame:
+    """round(part * rows) rows, those with the smallest seeded hashes of the key: ranks come from counted hash bins, not from a sort of all rows."""
+    ranked = rank_within(df.withColumn("__all", F.lit(0)), "__all", key, seed)
+    return ranked.where(F.col("rank") <= F.round(F.col("size") * part)).drop("__all", "rank", "size")
+
+
+def pairwise_rand(labels: DataFrame, key: str) -> DataFrame:
+    """(a, b, shared, ari) for all pairs of runs of `labels` (run, key, label): the adjusted Rand index over the rows that both have,
+    from one table of contingency counts. 1 where neither run can differ."""
+    left, right = (labels.select(key, F.col("run").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
+    cells = left.join(right, key).where("a < b").groupBy("a", "b", "la", "lb").agg(F.count("*").alias("n"))
+    two = lambda n: F.sum(n * (n - 1) / 2)
+    rows = cells.groupBy("a", "b", "la").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(two(F.col("n")).alias("r"), F.sum("n").alias("shared"))
+    columns = cells.groupBy("a", "b", "lb").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(two(F.col("n")).alias("c"))
+    both = cells.groupBy("a", "b").agg(two(F.col("n")).alias("s")).join(rows, ["a", "b"]).join(columns, ["a", "b"])
+    chance = F.try_divide(F.col("r") * F.col("c"), F.col("shared") * (F.col("shared") - 1) / 2)
+    return both.select("a", "b", "shared", F.coalesce(F.try_divide(F.col("s") - chance, (F.col("r") + F.col("c")) / 2 - chance), F.lit(1.0)).alias("ari"))
+
+
+def bootstrap_stability(df: DataFrame, key: str, fit: Callable[[DataFrame, int], DataFrame], runs: int = 10, part: float = 0.9, least: int = 10) -> float:
+    """Mean agreement of the labels that `fit` gives to pairs of exact samples without replacement, over the rows that both have; pairs
+    with fewer than `least` of these are left out."""
+    found = [cut_lineage(fit(exact_part(df, key, part, i), i).select(F.lit(i).alias("run"), key, "label")) for i in range(runs)]
+    labels = found[0]
+    for x in found[1:]:
+        labels = labels.unionByName(x)
+    got = pairwise_rand(labels, key).where(F.col("shared") >= least).agg(F.avg("ari").alias("ari")).first()["ari"]
+    return float("nan") if got is None else got
 
 
 def retrain(psi: dict[str, float], ari: float, noise: float) -> tuple[bool, list[str]]:

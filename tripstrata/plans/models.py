@@ -100,7 +100,7 @@ def knn_classifier(spark: SparkSession, d: str) -> DataFrame:
 def knn_mesh(spark: SparkSession, d: str) -> DataFrame:
     """Labels of a 20 x 20 mesh over the plane of the first two components, by the 15 nearest rows."""
     pc, _ = models.principal(embeddings(spark, d), 2)
-    rows = pc.select("vec_id", "label", F.col("pc").alias("embedding")).persist()
+    rows = sampling.cut_lineage(pc.select("vec_id", "label", F.col("pc").alias("embedding")))
     r = rows.agg(*[f(F.col("embedding")[i]).alias(f"{n}{i}") for i in (0, 1) for n, f in (("low", F.min), ("high", F.max))]).first()
     at = lambda i, k: r[f"low{i}"] + (r[f"high{i}"] - r[f"low{i}"]) * k / 19
     mesh = spark.createDataFrame([(-1 - 20 * i - j, [at(0, i), at(1, j)]) for i in range(20) for j in range(20)], "vec_id long, embedding array<double>")
