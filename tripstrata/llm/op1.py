@@ -96,7 +96,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     Fingerprints at RADIUS or fewer differing bits are linked (midpoints are made for a radius of 2); component_id is the smallest doc_id reachable. A null or
     empty text, or one without words, has fingerprint zero and is linked like any other. `first` is true for just one row of a
     component, one with the smallest doc_id; a null doc_id comes last, and is the component_id only of rows without any other.
-    Other columns are ignored; an empty table gives no rows.
+    Texts are read whole, however long; ties and repeated rows are told apart by `row`. Other columns are ignored; an empty table gives no rows.
     """
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

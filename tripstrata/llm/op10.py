@@ -77,7 +77,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     Contaminated: some word is hit and hit words are at least one in `share`. A null or empty text has no words and hits
     nothing. An item without words has no window; the windows of an item without item_id hit words, but it is in no
-    list of items. Rows with one doc_id (or none) are judged each for itself; items with one item_id count once. Other
+    list of items. Texts are read whole, however long. Rows with one doc_id (or none) are judged each for itself; items with one item_id count once. Other
     columns are ignored; an empty table on either side gives no rows, or no hits.
     """
     spark = docs.sparkSession

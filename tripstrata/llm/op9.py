@@ -141,7 +141,8 @@ def lay_out(patterns: list[tuple[int, list[int]]]) -> np.ndarray:
 def pack(docs: DataFrame, file: str | None = None, width: int = WIDTH, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row.
 
-    Every document has its ids and then `end_id`; a null or empty text just that. Rows with one doc_id (or none) are
+    Every document has its ids and then `end_id`; a null or empty text just that. A text of any length is encoded whole and cut into full
+    sequences and a rest; pieces of equal length are told apart by their rank, by task and place in it. Rows with one doc_id (or none) are
     documents of their own, told apart by `row`. Other columns are ignored; an empty table gives no rows.
     """
     file = file or tokenizer_file()
