@@ -134,6 +134,13 @@ def bounded(df: DataFrame, key: str, f: Callable[[np.ndarray], np.ndarray], most
     return sample(df, most, key).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, f"{key} long, label int")
 
 
+def means_of(df: DataFrame, fitted: DataFrame, key: str) -> np.ndarray:
+    """The mean vector of each label of a fitted sample (key, label), in order of the labels."""
+    long = df.join(F.broadcast(fitted.select(key, "label")), key).select("label", F.posexplode("embedding").alias("i", "x"))
+    got = long.groupBy("label", "i").agg(F.avg("x").alias("c")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("v"))
+    return np.array([[x["c"] for x in r["v"]] for r in got.orderBy("label").collect()])
+
+
 def distances(x: np.ndarray) -> np.ndarray:
     s = (x * x).sum(1)
     return np.sqrt(np.maximum(s[:, None] + s - 2 * x @ x.T, 0))

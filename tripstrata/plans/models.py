@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripstrata.functions.columns import bins, clip
-from tripstrata.operators import coupon, mixture, models, monitor, resample, sampling
+from tripstrata.operators import comparison, coupon, mixture, models, monitor, resample, sampling
 from tripstrata.plans.base import query
+from tripstrata.plans.segments import ranked, rounded
 from tripstrata.sources.tables import star
 
 
@@ -78,8 +79,7 @@ def ward_of_sample(spark: SparkSession, d: str) -> DataFrame:
     """Ward on a sample of at most 1,000 rows; every row then goes to the nearest centroid."""
     e = embeddings(spark, d).drop("label")
     got = models.bounded(e, "vec_id", models.ward(10), 1000)
-    c = monitor.centroids(e.join(got, "vec_id"), "label", "embedding").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("v")).orderBy("label").collect()
-    return models.nearest(e, np.array([[x["c"] for x in r["v"]] for r in c])).groupBy("label").agg(F.count("*").alias("n"))
+    return models.nearest(e, models.means_of(e, got, "vec_id")).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(None)
@@ -87,6 +87,24 @@ def birch(spark: SparkSession, d: str) -> DataFrame:
     return models.birch(embeddings(spark, d).drop("label"), 10, 0.5).groupBy("label").agg(F.count("*").alias("n"))
 
 
+def fitted(spark: SparkSession, d: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The embeddings and the labels (method, vec_id, label) of seven fitted methods. HDBSCAN and Ward are fitted on their samples,
+    and all rows then assigned."""
+    e = embeddings(spark, d).drop("label")
+    small = models.bounded(e, "vec_id", models.ward(k), 1000)
+    found = {
+        "kmeans": models.kmeans(e, k), "minibatch": models.minibatch_kmeans(e, k, "vec_id"), "mixture": mixture.gaussian_mixture(e, k, "vec_id"), "birch": models.birch(e, k, 0.5),
+        "dbscan": models.dbscan(e, "vec_id"), "hdbscan": models.assigned(e, models.bounded(e, "vec_id", models.hdbscan(15, 5)), "vec_id"), "ward": models.nearest(e, models.means_of(e, small, "vec_id")),
+    }
+    return e, comparison.long_labels(found, "vec_id")
+
+
+@query(None)
+def method_leaderboard(spark: SparkSession, d: str) -> DataFrame:
+    """Seven fitted methods by their ranks on five metrics."""
+    return ranked(rounded(comparison.scores(*fitted(spark, d), "vec_id")))
+
+
 @query(None)
 def knn_classifier(spark: SparkSession, d: str) -> DataFrame:
     """Held-out accuracy by label of a 15-nearest-neighbour vote."""

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.operators import coupon, monitor, rules
+from tripstrata.operators import comparison, coupon, monitor, rules
 from tripstrata.operators import segments as ops
 from tripstrata.plans import sql
 from tripstrata.plans.base import query
-from tripstrata.plans.monitor import LONG
+from tripstrata.plans.monitor import LONG, nearest_centroid
 from tripstrata.sources.tables import star
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -119,28 +119,68 @@ def median_month_split(spark: SparkSession, d: str) -> DataFrame:
     return ops.median_month(booked(spark, d), "dep_month", "customer_id").groupBy("reference").agg(F.count("*").alias("n"), F.min("dep_month").alias("first_month"), F.max("dep_month").alias("last_month"))
 
 
-def measured(spark: SparkSession, d: str) -> DataFrame:
-    """One row of figures per order priority, in the shape of a comparison of methods; one has no silhouette."""
-    n = star(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("method")).agg(
-        F.round(F.avg("o_totalprice") / 1e6, 4).alias("silhouette"), F.round(F.stddev_pop("o_totalprice") / 1e5, 4).alias("davies_bouldin"), F.count("*").cast("double").alias("calinski_harabasz"),
-        F.round(F.lit(100.0) * F.avg((F.col("o_orderstatus") == "P").cast("int")), 1).alias("noise_pct"), (F.count("*") % 17).cast("int").alias("n_clusters"),
-    )
-    return n.withColumn("silhouette", F.when(F.col("method") != "5-LOW", F.col("silhouette")))
+def labelings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The embeddings, and labels of them that rules give: as they are given, of the nearest centroid, that one where both agree (else
+    noise), the signs of two elements, and one cluster."""
+    e = star(spark, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    near = nearest_centroid(spark, d).select("vec_id", "own", "near")
+    found = {
+        "given": e, "nearest": near.withColumn("label", F.col("near")), "agreed": near.withColumn("label", F.when(F.col("own") == F.col("near"), F.col("near")).otherwise(-1)),
+        "signs": e.withColumn("label", 2 * (F.col("embedding")[0] > 0).cast("int") + (F.col("embedding")[1] > 0).cast("int")), "one": e.withColumn("label", F.lit(0)),
+    }
+    return e, comparison.long_labels(found, "vec_id")
 
 
-_MEASURED = "g AS (SELECT o_orderpriority AS method, CASE WHEN o_orderpriority <> '5-LOW' THEN round(avg(o_totalprice) / 1e6, 4) END AS silhouette, round(stddev_pop(o_totalprice) / 1e5, 4) AS davies_bouldin, count(*)::DOUBLE AS calinski_harabasz, round(100.0 * avg((o_orderstatus = 'P')::INT), 1) AS noise_pct, (count(*) % 17)::INT AS n_clusters FROM orders GROUP BY 1)"
-_COSTS = {"silhouette": "-silhouette", "davies_bouldin": "davies_bouldin", "calinski_harabasz": "-calinski_harabasz", "noise_pct": "noise_pct", "n_clusters": "abs(n_clusters - 10)"}
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics of labelings(), rounded, so that equal ones tie."""
+    return rounded(comparison.scores(*labelings(spark, d), "vec_id"))
+
+
+def rounded(scores: DataFrame) -> DataFrame:
+    return scores.withColumns({m: F.round(m, k) for m, k in _DIGITS.items()})
+
+
+_DIGITS = {"silhouette": 4, "davies_bouldin": 4, "calinski_harabasz": 3, "noise_pct": 4, "size_std": 4}
+_MEASURED = f"""{LONG}, w AS (SELECT vec_id, i, x FROM v), e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS c FROM v GROUP BY 1, 2),
+d AS (SELECT vec_id, v.label AS own, c.label AS near, sum((x - c) ^ 2) AS d2 FROM v JOIN c USING (i) GROUP BY 1, 2, 3), near AS (SELECT vec_id, any_value(own) AS own, arg_min(near, row(d2, near)) AS near FROM d GROUP BY 1),
+lab AS (SELECT 'given' AS method, vec_id, label FROM embeddings UNION ALL SELECT 'nearest', vec_id, near FROM near UNION ALL SELECT 'agreed', vec_id, CASE WHEN own = near THEN near ELSE -1 END FROM near
+  UNION ALL SELECT 'signs', vec_id, 2 * (x[1] > 0)::INT + (x[2] > 0)::INT FROM e UNION ALL SELECT 'one', vec_id, 0 FROM e),
+ok AS (SELECT * FROM lab WHERE label >= 0), sz AS (SELECT method, label, count(*) AS n FROM ok GROUP BY 1, 2),
+noise AS (SELECT method, 100.0 * avg((label < 0)::INT) AS noise_pct FROM lab GROUP BY 1), shape AS (SELECT method, count(*) AS k, stddev_pop(n) AS size_std, sum(n) AS n FROM sz GROUP BY 1),
+cen AS (SELECT method, label, i, avg(x) AS c FROM ok JOIN w USING (vec_id) GROUP BY 1, 2, 3), dist AS (SELECT method, label, vec_id, sum((x - c) ^ 2) AS d2 FROM ok JOIN w USING (vec_id) JOIN cen USING (method, label, i) GROUP BY 1, 2, 3),
+sp AS (SELECT method, label, avg(sqrt(d2)) AS s, sum(d2) AS w FROM dist GROUP BY 1, 2),
+apart AS (SELECT a.method, a.label AS a, b.label AS b, sqrt(sum((a.c - b.c) ^ 2)) AS m FROM cen a JOIN cen b ON a.method = b.method AND a.i = b.i AND a.label <> b.label GROUP BY 1, 2, 3),
+worst AS (SELECT p.method, p.a, max((x.s + y.s) / p.m) AS r FROM apart p JOIN sp x ON x.method = p.method AND x.label = p.a JOIN sp y ON y.method = p.method AND y.label = p.b GROUP BY 1, 2),
+db AS (SELECT method, avg(r) AS davies_bouldin FROM worst GROUP BY 1), grand AS (SELECT method, i, sum(c * n) / sum(n) AS g FROM cen JOIN sz USING (method, label) GROUP BY 1, 2),
+bt AS (SELECT method, sum(n * (c - g) ^ 2) AS b FROM cen JOIN sz USING (method, label) JOIN grand USING (method, i) GROUP BY 1), wt AS (SELECT method, sum(w) AS w FROM sp GROUP BY 1),
+far AS (SELECT p.method, p.vec_id, p.label AS own, q.label AS other, sum(list_distance(x.x, y.x)) AS s, count(*) AS n FROM ok p JOIN ok q ON p.method = q.method JOIN e x ON x.vec_id = p.vec_id JOIN e y ON y.vec_id = q.vec_id GROUP BY 1, 2, 3, 4),
+ab AS (SELECT method, vec_id, max(CASE WHEN own = other THEN s / greatest(n - 1, 1) END) AS a, max(CASE WHEN own = other THEN n END) AS n, min(CASE WHEN own <> other THEN s / n END) AS b FROM far GROUP BY 1, 2),
+sil AS (SELECT method, avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b, 1e-12) ELSE 0 END) AS silhouette FROM ab GROUP BY 1),
+g AS (SELECT method, CASE WHEN k > 1 THEN round(silhouette, 4) END AS silhouette, CASE WHEN k > 1 THEN round(davies_bouldin, 4) END AS davies_bouldin,
+  CASE WHEN k > 1 THEN round((b / (k - 1)) / (w / (n - k)), 3) END AS calinski_harabasz, round(noise_pct, 4)::DOUBLE AS noise_pct, k::INT AS n_clusters, round(size_std, 4) AS size_std
+  FROM shape JOIN noise USING (method) JOIN bt USING (method) JOIN wt USING (method) LEFT JOIN db USING (method) LEFT JOIN sil USING (method))"""
+_COSTS = {"silhouette": "-silhouette", "davies_bouldin": "davies_bouldin", "calinski_harabasz": "-calinski_harabasz", "noise_pct": "noise_pct", "size_std": "size_std"}
 _RANKS = ", ".join(f"rank() OVER (ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS rank_{m}" for m, c in _COSTS.items())
 
 
-@query(f"WITH {_MEASURED}, r AS (SELECT *, {_RANKS} FROM g), s AS (SELECT method, " + ", ".join(f"rank_{m}::DOUBLE AS rank_{m}" for m in _COSTS) + ", round((3 * rank_silhouette + 2 * rank_davies_bouldin + 2 * rank_calinski_harabasz + 2 * rank_noise_pct + rank_n_clusters) / 10, 6)::DOUBLE AS composite FROM r) SELECT *, rank() OVER (ORDER BY composite) AS place FROM s")
-def leaderboard(spark: SparkSession, d: str) -> DataFrame:
-    """Methods ranked on five metrics with averaged ties and weights 3, 2, 2, 2, 1."""
-    got = ops.leaderboard(measured(spark, d))
+@query(f"WITH {_MEASURED} SELECT * FROM g")
+def labeling_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Silhouette, Davies-Bouldin, Calinski-Harabasz, noise, clusters and the deviation of their sizes of each labeling."""
+    return measured(spark, d)
+
+
+def ranked(scores: DataFrame) -> DataFrame:
+    got = ops.leaderboard(scores)
     return got.select("method", *[f"rank_{m}" for m in ops.RANK_WEIGHTS], F.round("composite", 6).alias("composite"), F.col("place").cast("long").alias("place"))
 
 
-@query(f"WITH {_MEASURED} SELECT method, " + ", ".join(f"round({'1 - ' if m in ops.LESS_IS_BETTER else ''}({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ()), 6) AS {m}" for m in list(_COSTS)[:4]) + ", round(1 - abs(n_clusters - 10) / 10.0, 6)::DOUBLE AS n_clusters FROM g")
+@query(f"WITH {_MEASURED}, r AS (SELECT *, {_RANKS} FROM g), s AS (SELECT method, " + ", ".join(f"rank_{m}::DOUBLE AS rank_{m}" for m in _COSTS) + ", round((3 * rank_silhouette + 2 * rank_davies_bouldin + 2 * rank_calinski_harabasz + 2 * rank_noise_pct + rank_size_std) / 10, 6)::DOUBLE AS composite FROM r) SELECT *, rank() OVER (ORDER BY composite) AS place FROM s")
+def leaderboard(spark: SparkSession, d: str) -> DataFrame:
+    """Labelings ranked on five metrics with averaged ties and weights 3, 2, 2, 2, 1; method_leaderboard ranks fitted methods."""
+    return ranked(measured(spark, d))
+
+
+@query(f"WITH {_MEASURED} SELECT method, " + ", ".join(f"round({'1 - ' if m in ops.LESS_IS_BETTER else ''}({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER () + 1e-9), 6) AS {m}" for m in _COSTS) + ", round(1 - abs(n_clusters - 10) / 10.0, 6)::DOUBLE AS n_clusters FROM g")
 def display_scores(spark: SparkSession, d: str) -> DataFrame:
     return ops.display_scores(measured(spark, d))
 
