@@ -79,6 +79,30 @@ def test_drift(spark):
     assert monitor.retrain({"a": 0.3}, 0.95, 0.0)[0] and monitor.retrain({"a": 0.12, "b": 0.11}, 0.95, 0.0)[0] and not monitor.retrain({"a": 0.1}, 0.75, 0.12)[0]
 
 
+def test_retrain_decision(spark):
+    one = lambda name, v: spark.createDataFrame([(v,)], f"{name} double")
+
+    def decided(mix, psi, ari, noise):
+        features = spark.createDataFrame([(str(i), p) for i, p in enumerate(psi)], "feature string, psi double")
+        r = monitor.retrain_decision(one("term", mix), features, one("ari", ari), one("noise_pct", noise)).first()
+        return r["retrain"], r["reasons"]
+
+    assert decided(0.25, [0.9, 0.1], 0.75, 12.0) == (False, "") and decided(0.1, [0.0], float("nan"), 0.0) == (False, "")
+    assert decided(0.26, [0.11, 0.2], 0.74, 12.1) == (True, "segment mix, features, agreement, noise") and decided(None, [], None, 13.0) == (True, "noise")
+
+
+def test_feature_psi(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 50, 3000), rng.integers(10, 70, 2000)
+    frame = lambda x: spark.createDataFrame([(int(v), 1) for v in x] + [(None, 1)], "x int, same int")
+    got = {r["feature"]: r["psi"] for r in monitor.feature_psi(frame(a), frame(b), ["x", "same"]).collect()}
+    inner = np.unique(np.quantile(a, np.arange(11) / 10))[1:-1]
+    part = lambda x: np.maximum(np.bincount(np.searchsorted(inner, x, "right"), minlength=len(inner) + 1) / len(x), 1e-6)
+    assert got["x"] == pytest.approx(((part(b) - part(a)) * np.log(part(b) / part(a))).sum()) and got["same"] == 0
+
+
 def test_ranks_and_splits(spark):
     df = spark.range(1000).withColumn("x", F.pmod(F.col("id") * 37, F.lit(1000))).repartition(7)
     ranked, n = sampling.with_rank(df, "x")

@@ -2,7 +2,11 @@
 
 import gzip
 
+from pyspark.sql import functions as F
+
+from tripstrata.operators import coupon
 from tripstrata.operators.coupon import not_in
+from tripstrata.plans import sources
 from tripstrata.sources import tables
 
 
@@ -39,3 +43,18 @@ def test_not_in(spark):
         assert got(others) == sorted((r[0] for r in spark.sql("SELECT k FROM left_rows WHERE k NOT IN (SELECT o FROM right_rows)").collect()), key=str)
     plan = not_in(df, "k", of(2, 2, 5), "o")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin BuildRight, LeftAnti" not in plan
+
+
+def test_stored_tables_save_the_shuffle(spark):
+    bk, cu = sources.stored(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rollup = coupon.customers(bk)
+    assert "Exchange" not in plan(rollup)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = bk.join(cu, "customer_id").groupBy("customer_id").agg(F.sum("rev_pos").alias("rev"))
+        assert "SortMergeJoin" in plan(both) and "Exchange" not in plan(both)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(rollup.collect()) == sorted(cu.select(*rollup.columns).collect()) and cu.count() > 0
+    assert both.count() == cu.count()

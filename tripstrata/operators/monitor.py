@@ -152,3 +152,32 @@ def retrain(psi: dict[str, float], ari: float, noise: float) -> tuple[bool, list
     why = [f"PSI {k}" for k, v in psi.items() if v > 0.25]
     why += ["PSI of several features"] * (sum(v > 0.10 for v in psi.values()) >= 2) + ["agreement"] * (ari < 0.75) + ["noise"] * (noise > 0.12)
     return bool(why), why
+
+
+# Bounds beyond which a model is fitted anew.
+RETRAIN_PSI, WATCH_PSI, WATCHED, LEAST_ARI, MOST_NOISE = 0.25, 0.10, 2, 0.75, 12.0
+
+
+def feature_psi(ref: DataFrame, cur: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, psi) of numeric features, each over the deciles of its reference; rows without a value don't count."""
+    out = None
+    for x in features:
+        at = decile_bins(ref.where(F.col(x).isNotNull()), x)
+        some = [df.where(F.col(x).isNotNull()).select(at.alias("bin")) for df in (ref, cur)]
+        part = psi_terms(*some, "bin").agg(F.lit(x).alias("feature"), F.coalesce(F.sum("term"), F.lit(0.0)).alias("psi")).select("feature", "psi")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def retrain_decision(segments: DataFrame, features: DataFrame, ari: DataFrame, noise: DataFrame) -> DataFrame:
+    """One row: psi_segment, n_features over WATCH_PSI, ari, noise_pct, whether to retrain, and the reasons in this order. Takes the
+    terms of the segments' index (term), indices by feature (feature, psi), and rows of one number (ari; noise_pct). An agreement that
+    is NULL or NaN is no reason."""
+    one = segments.agg(F.coalesce(F.sum("term"), F.lit(0.0)).alias("psi_segment"))
+    for other in (features.agg(F.count_if(F.col("psi") > WATCH_PSI).alias("n_features")), ari.select("ari"), noise.select("noise_pct")):
+        one = one.crossJoin(F.broadcast(other))
+    why = [
+        F.when(F.col("psi_segment") > RETRAIN_PSI, "segment mix"), F.when(F.col("n_features") >= WATCHED, "features"),
+        F.when(~F.isnan("ari") & (F.col("ari") < LEAST_ARI), "agreement"), F.when(F.col("noise_pct") > MOST_NOISE, "noise"),
+    ]
+    return one.withColumn("reasons", F.concat_ws(", ", *why)).withColumn("retrain", F.col("reasons") != "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tripstrata.operators import comparison, coupon, monitor, rules
 from tripstrata.operators import segments as ops
+from tripstrata.operators.sampling import cut_lineage
 from tripstrata.plans import sql
 from tripstrata.plans.base import query
 from tripstrata.plans.monitor import LONG, nearest_centroid
@@ -119,6 +120,42 @@ def median_month_split(spark: SparkSession, d: str) -> DataFrame:
     return ops.median_month(booked(spark, d), "dep_month", "customer_id").groupBy("reference").agg(F.count("*").alias("n"), F.min("dep_month").alias("first_month"), F.max("dep_month").alias("last_month"))
 
 
+WATCHED = ("lead_days", "n_coupons", "n_directions", "max_tier", "age")
+
+
+def _psi_sql(x: str) -> str:
+    """The stability index of one column over the deciles of the reference."""
+    return f"""SELECT '{x}' AS feature, sum((q - p) * ln(q / p)) AS psi FROM (SELECT greatest(coalesce(p, 0), 1e-6) AS p, greatest(coalesce(q, 0), 1e-6) AS q
+ FROM (SELECT bin, count(*) / sum(count(*)) OVER () AS p FROM (SELECT len(list_filter(e, lambda y: {x} >= y)) AS bin FROM old, edge_{x} WHERE {x} IS NOT NULL) GROUP BY 1)
+ FULL JOIN (SELECT bin, count(*) / sum(count(*)) OVER () AS q FROM (SELECT len(list_filter(e, lambda y: {x} >= y)) AS bin FROM new_, edge_{x} WHERE {x} IS NOT NULL) GROUP BY 1) USING (bin))"""
+
+
+_RETRAIN = (
+    ", split AS (SELECT booking.*, dominant_segment, dep_month <= mid AS reference FROM booking JOIN customer_ USING (customer_id), (SELECT median(k) AS mid FROM (SELECT DISTINCT dep_month AS k FROM booking))), old AS (SELECT * FROM split WHERE reference), new_ AS (SELECT * FROM split WHERE NOT reference), "
+    + ", ".join(f"edge_{x} AS (SELECT e[2:len(e) - 1] AS e FROM (SELECT list_sort(list_distinct(quantile_cont({x}, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS e FROM old))" for x in WATCHED)
+    + ", features AS (" + " UNION ALL ".join(map(_psi_sql, WATCHED)) + """), sp AS (SELECT proxy_segment AS k, count(*) / sum(count(*)) OVER () AS p FROM old GROUP BY 1), sq AS (SELECT proxy_segment AS k, count(*) / sum(count(*)) OVER () AS q FROM new_ GROUP BY 1),
+ mix AS (SELECT sum((q - p) * ln(q / p)) AS psi FROM (SELECT greatest(coalesce(p, 0), 1e-6) AS p, greatest(coalesce(q, 0), 1e-6) AS q FROM sp FULL JOIN sq USING (k))),
+ cell AS (SELECT proxy_segment AS a, dominant_segment AS b, count(*) AS n FROM split GROUP BY 1, 2), ra AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT sum(n) AS n FROM cell GROUP BY a)), rb AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT sum(n) AS n FROM cell GROUP BY b)),
+ rand AS (SELECT (s - ra.v * rb.v / (t * (t - 1) / 2.0)) / ((ra.v + rb.v) / 2.0 - ra.v * rb.v / (t * (t - 1) / 2.0)) AS ari FROM (SELECT sum(n * (n - 1) / 2.0) AS s, sum(n) AS t FROM cell), ra, rb),
+ found AS (SELECT mix.psi AS psi_segment, (SELECT count(*) FROM features WHERE psi > 0.10) AS n_features, ari, (SELECT 100.0 * avg((proxy_segment = 'Unassigned')::INT) FROM split) AS noise_pct FROM mix, rand)
+SELECT round(psi_segment, 6) AS psi_segment, n_features, round(ari, 6) AS ari, round(noise_pct, 4)::DOUBLE AS noise_pct,
+ concat_ws(', ', CASE WHEN psi_segment > 0.25 THEN 'segment mix' END, CASE WHEN n_features >= 2 THEN 'features' END, CASE WHEN ari < 0.75 THEN 'agreement' END, CASE WHEN noise_pct > 12 THEN 'noise' END) AS reasons,
+ psi_segment > 0.25 OR n_features >= 2 OR ari < 0.75 OR noise_pct > 12 AS retrain FROM found"""
+)
+
+
+@query(sql.customer(_RETRAIN))
+def retrain_decision(spark: SparkSession, d: str) -> DataFrame:
+    """Whether segments have to be fitted anew: the mix and the features of late months against early ones, the agreement of a booking's
+    segment with its customer's, and the share of unassigned bookings."""
+    bk = booked(spark, d)
+    both = cut_lineage(ops.median_month(bk.join(coupon.customers(bk).select("customer_id", "dominant_segment"), "customer_id"), "dep_month", "customer_id"))
+    old, new = both.where("reference"), both.where("NOT reference")
+    noise = both.agg((F.lit(100.0) * F.avg((F.col("proxy_segment") == "Unassigned").cast("int"))).alias("noise_pct"))
+    got = monitor.retrain_decision(monitor.psi_terms(old, new, "proxy_segment"), monitor.feature_psi(old, new, list(WATCHED)), monitor.adjusted_rand(both, "proxy_segment", "dominant_segment"), noise)
+    return got.withColumns({"psi_segment": F.round("psi_segment", 6), "ari": F.round("ari", 6), "noise_pct": F.round("noise_pct", 4)})
+
+
 def labelings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The embeddings, and labels of them that rules give: as they are given, of the nearest centroid, that one where both agree (else
     noise), the signs of two elements, and one cluster."""

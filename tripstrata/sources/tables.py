@@ -106,6 +106,14 @@ def write_table(df: DataFrame, path: str, keys: tuple[str, ...] = ()) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int | None = None) -> DataFrame:
+    """A Parquet table `name` in `path`, bucketed and sorted by `key`, one file a bucket, and what it then reads as: later groupings by the
+    key and joins with tables of as many buckets need no exchange. Without `buckets` it has as many as a shuffle has partitions."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.mode("overwrite").format("parquet").bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType, header: bool = True) -> DataFrame:
     """A CSV extract or dimension by a stated schema; what doesn't fit a type is NULL."""
     return spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").csv(path)
