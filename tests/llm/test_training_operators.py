@@ -85,6 +85,27 @@ def test_suffix_dedup(spark, docs, letters):
         assert (r["n_removed"], r["kept_sha256"], r["n_spans"]) == want[r["doc_id"]]
 
 
+def test_what_tasks_hear_of_the_index_does_not_grow(spark, docs, monkeypatch):
+    """Names of shards alone: the ends of their segments, many here, stay in the files."""
+    made = []
+
+    class Seen(op2.Index):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(op2, "Index", Seen)
+    sizes = []
+    for n in (20, 2000):
+        rnd = random.Random(n)
+        lines = ["".join(rnd.choice("abcdefghij ") for _ in range(120)) for _ in range(n // 2)]
+        texts = [(i, lines[i // 2] + str(i)) for i in range(n)]
+        gone = sum(r["n_removed"] for r in got(op2.dedup_spans(docs(*texts).repartition(3), owner_bytes=1 << 40, fine_bytes=300, block_bytes=5000)))
+        assert gone == sum(x[0] for x in removed([(d, t.encode()) for d, t in texts]).values())
+        sizes.append(len(str(made[-1].about)))
+    assert made[-1].about["more"] > made[0].about["more"] and sizes[1] <= sizes[0] + 2
+
+
 def test_induced_sorting():
     rnd = random.Random(3)
     for _ in range(150):

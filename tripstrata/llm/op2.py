@@ -107,11 +107,11 @@ def contexts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 def looked_up(model: Model, part: int, h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many results each context has, and where they begin in the part's ids."""
-    name, ends = model.about["found"][part]
+    name = model.about["found"][part]
     q = model.mixed(h, keys[:, 0])
     n, offset, todo, start = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), np.arange(len(q)), 0
     first, second = model.array(f"{name}.q", "<u8"), model.array(f"{name}.lo", "<u8")
-    for end in ends:
+    for end in model.array(f"{name}.ends", "<i8").tolist():
         at = start + np.searchsorted(first[start:end], q[todo])
         # a key that comes twice goes on to its next place
         while (again := (at < end) & (first[np.minimum(at, end - 1)] == q[todo]) & (second[np.minimum(at, end - 1)] != keys[todo, 1])).any():
@@ -233,7 +233,7 @@ def _dedup_spans(docs: DataFrame, s: Scratch, owner_bytes: int, fine_bytes: int,
 
     def own_contexts(part: int, blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         n, dealt = finer(bits, more, map(unpacked, blobs), sizes=4, limit=queue_bytes)
-        shard, ends, n_ids = Shard(root, "c", ("q", "lo", "n", "at", "ids")), [], 0
+        shard, ends, n_ids = Shard(root, "c", ("q", "lo", "n", "at", "ids", "ends")), [], 0
         for i in range(n):
             pieces = iter(lambda i=i: dealt.pop(i, CONTEXTS), None)
             for h, hi, lo, start, count, values in smallest_by_context(pieces, block_bytes, queue_bytes):
@@ -249,11 +249,13 @@ def _dedup_spans(docs: DataFrame, s: Scratch, owner_bytes: int, fine_bytes: int,
                     ends[-1] = (i, shard.length)
                 else:
                     ends.append((i, shard.length))
-        yield pa.RecordBatch.from_pylist([{"part": part, "name": shard.close(), "ends": [x[1] for x in ends]}], FOUND)
+        # the segments' ends stay with the shard: the driver and the tasks hear its name only
+        shard.append(ends=np.array([x[1] for x in ends], np.int64))
+        yield pa.RecordBatch.from_pylist([{"part": part, "name": shard.close()}], FOUND)
 
-    FOUND = pa.schema([("part", pa.int64()), ("name", pa.string()), ("ends", pa.list_(pa.int64()))])
+    FOUND = pa.schema([("part", pa.int64()), ("name", pa.string())])
     found = rows.mapInArrow(send_contexts, "part long, blob binary")
-    model.about["found"] = {x["part"]: (x["name"], x["ends"]) for x in by_part(found, bits, own_contexts, "part long, name string, ends array<long>").collect()}
+    model.about["found"] = {x["part"]: x["name"] for x in by_part(found, bits, own_contexts, "part long, name string").collect()}
 
     def marks(doc_ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Removed runs of bytes, in order: text number, start, end."""
@@ -267,7 +269,7 @@ def _dedup_spans(docs: DataFrame, s: Scratch, owner_bytes: int, fine_bytes: int,
             keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(texts[i][j : k + LENGTH]) for i, j, k in zip(d.tolist(), a.tolist(), z.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
             n, offset = looked_up(model, part, h[some], keys)
             within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            hit = np.flatnonzero(model.array(f"{model.about['found'][part][0]}.ids", "<i8")[np.repeat(offset, n) + within] < np.repeat(mine[d], n))
+            hit = np.flatnonzero(model.array(f"{model.about['found'][part]}.ids", "<i8")[np.repeat(offset, n) + within] < np.repeat(mine[d], n))
             of, within = np.repeat(np.arange(len(n)), n)[hit], within[hit]
             start = a[of] + within
             found.append((d[of], start, np.where(n[of] == 1, z[of], start) + LENGTH))
