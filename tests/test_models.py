@@ -64,3 +64,76 @@ def test_stability_of_exact_samples(spark):
     pairs = [(labels[i], labels[j]) for i in range(4) for j in range(i + 1, 4)]
     want = [rand_index(*zip(*((a[k], b[k]) for k in a.keys() & b.keys()), strict=True)) for a, b in pairs]
     assert got == pytest.approx(np.mean(want)) and want[0] == pytest.approx(1.0)
+
+
+def plain_tree(points, radius, width):
+    """Leaf entries (members) of a clustering-feature tree of nested lists of points, nothing summed beforehand."""
+    members = lambda e: [e] if isinstance(e, tuple) else [p for x in e["in"] for p in members(x)]
+    centre = lambda e: np.mean(members(e), 0)
+
+    def insert(node, point):
+        near = min(node["in"], key=lambda e: ((centre(e) - point) ** 2).sum(), default=None)
+        if node["leaf"]:
+            joint = [*members(near), point] if near else None
+            if near and np.sqrt(((np.array(joint) - np.mean(joint, 0)) ** 2).sum(1).mean()) <= radius:
+                near["in"].append(point)
+                return [node]
+            node["in"].append({"leaf": None, "in": [point]})
+        else:
+            at = next(i for i, e in enumerate(node["in"]) if e is near)
+            first, *more = insert(near, point)
+            node["in"][at] = first
+            node["in"] += more
+        if len(node["in"]) <= width:
+            return [node]
+        c = [centre(e) for e in node["in"]]
+        _, i, j = max(((((a - b) ** 2).sum(), -i, -j) for i, a in enumerate(c) for j, b in enumerate(c)))
+        goes = [k == -j or (k != -i and ((c[k] - c[-j]) ** 2).sum() < ((c[k] - c[-i]) ** 2).sum()) for k in range(len(c))]
+        return [{"leaf": node["leaf"], "in": [e for e, g in zip(node["in"], goes, strict=True) if g == side]} for side in (False, True)]
+
+    root = {"leaf": True, "in": []}
+    for p in points:
+        halves = insert(root, p)
+        root = halves[0] if len(halves) == 1 else {"leaf": False, "in": halves}
+
+    def leaf_entries(node):
+        return node["in"] if node["leaf"] else [e for x in node["in"] for e in leaf_entries(x)]
+
+    return [members(e) for e in leaf_entries(root)]
+
+
+def test_subclusters_are_those_of_a_plain_tree():
+    rng = np.random.default_rng(8)
+    points = [tuple(v) for v in rng.normal(0, 2, (250, 3))]
+    found = models.Features(0.8, 10_000, width=4)
+    for p in points:
+        found.add(1.0, np.array(p), float(np.dot(p, p)))
+    n, s, _ = found.leaves()
+    want = plain_tree(points, 0.8, 4)
+    assert n.tolist() == [len(x) for x in want] and found.size == len(want) > 20
+    assert np.allclose(s / n[:, None], [np.mean(x, 0) for x in want])
+
+
+def test_a_tree_is_bounded_and_balanced():
+    rng = np.random.default_rng(9)
+    found = models.Features(0.01, 60, width=5)
+    for v in rng.normal(0, 5, (3000, 4)):
+        found.add(1.0, v, float(v @ v))
+    assert found.size == len(found.n) <= 60 and found.n.sum() == 3000
+
+    def depths(node):
+        assert node.k <= 5
+        return {0} if node.below is None else {d + 1 for x in node.below for d in depths(x)}
+
+    assert len(depths(found.root)) == 1
+
+
+def test_birch_finds_blobs(spark):
+    rng = np.random.default_rng(10)
+    centres = np.array([[0, 0], [20, 0], [0, 20], [20, 20]])
+    rows = [(i, rng.normal(centres[i % 4], 1).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    got = {r["id"]: r["label"] for r in models.birch(df, 4, 0.5).collect()}
+    groups = [{got[i] for i in range(k, 800, 4)} for k in range(4)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 4
+    assert models.birch(df, 4, 0.5, starts=1).count() == 800

@@ -324,33 +324,99 @@ def ward(k: int) -> Callable[[np.ndarray], np.ndarray]:
     return run
 
 
-#: Subclusters that a partition keeps; beyond it, the radius grows and they are merged anew.
-SUBCLUSTERS = 512
+#: Subclusters that a partition keeps; beyond it, the radius grows and they are merged anew. Entries of a node of their tree.
+SUBCLUSTERS, WIDTH = 512, 50
+
+
+class Node:
+    """Up to `width` entries of a tree of clustering features, and one more before it is split: their counts, sums, sums of squares and
+    centroids, and below each a node (none in a leaf)."""
+
+    def __init__(self, width: int, dim: int, leaf: bool):
+        self.k, self.n, self.q, self.s, self.c = 0, np.zeros(width + 1), np.zeros(width + 1), np.zeros((width + 1, dim)), np.zeros((width + 1, dim))
+        self.below: list[Node] | None = None if leaf else []
+
+    def put(self, at: int, n: float, s: np.ndarray, q: float) -> None:
+        self.n[at], self.s[at], self.q[at], self.c[at] = n, s, q, s / n
+        self.k = max(self.k, at + 1)
+
+    def total(self) -> tuple[float, np.ndarray, float]:
+        return self.n[: self.k].sum(), self.s[: self.k].sum(0), self.q[: self.k].sum()
 
 
 class Features:
-    """Clustering features: counts, sums and sums of squares of subclusters within a radius; a full table is rebuilt with a
-    larger radius, as by Zhang et al. (1996), here flat instead of a tree."""
+    """Clustering features within a radius in a height-balanced tree, as by Zhang et al. (1996): an entry goes down to the nearest
+    centroid of each node and is merged there if the radius allows; a node of over `width` entries is split between the two that are
+    farthest apart. With more than `most` leaf entries the tree is rebuilt with a larger radius."""
 
-    def __init__(self, radius: float, most: int = SUBCLUSTERS):
-        self.radius, self.most, self.n, self.s, self.q = radius, most, np.zeros(0), np.zeros((0, 0)), np.zeros(0)
+    def __init__(self, radius: float, most: int = SUBCLUSTERS, width: int = WIDTH):
+        self.radius, self.most, self.width, self.size, self.root = radius, most, width, 0, None
 
     def add(self, n: float, s: np.ndarray, q: float) -> None:
-        if len(self.n):
-            centre = self.s / self.n[:, None]
-            at = int(((centre - s / n) ** 2).sum(1).argmin())
-            total, joint = self.n[at] + n, self.s[at] + s
-            if max((self.q[at] + q) / total - ((joint / total) ** 2).sum(), 0.0) ** 0.5 <= self.radius:
-                self.n[at], self.s[at], self.q[at] = total, joint, self.q[at] + q
-                return
-        self.n, self.q = np.append(self.n, n), np.append(self.q, q)
-        self.s = np.vstack([self.s.reshape(-1, len(s)), s])
-        if len(self.n) > self.most:
-            old = list(zip(self.n, self.s, self.q, strict=True))
-            self.radius, self.n, self.s, self.q = self.radius * 1.5 + 1e-9, np.zeros(0), np.zeros((0, len(s))), np.zeros(0)
+        if self.root is None:
+            self.root = Node(self.width, len(s), True)
+        halves = self._down(self.root, n, s, q)
+        if halves:
+            self.root = Node(self.width, len(s), False)
+            for i, half in enumerate(halves):
+                self.root.put(i, *half.total())
+                self.root.below.append(half)
+        if self.size > self.most:
+            old = list(zip(*self.leaves(), strict=True))
+            self.radius, self.size, self.root = self.radius * 1.5 + 1e-9, 0, None
             for x in old:
                 self.add(*x)
 
+    def _down(self, node: Node, n: float, s: np.ndarray, q: float) -> tuple[Node, Node] | None:
+        at = int(((node.c[: node.k] - s / n) ** 2).sum(1).argmin()) if node.k else -1
+        if node.below is None:
+            if at >= 0:
+                total, joint, squares = node.n[at] + n, node.s[at] + s, node.q[at] + q
+                if max(squares / total - ((joint / total) ** 2).sum(), 0.0) ** 0.5 <= self.radius:
+                    node.put(at, total, joint, squares)
+                    return None
+            node.put(node.k, n, s, q)
+            self.size += 1
+        else:
+            halves = self._down(node.below[at], n, s, q)
+            if not halves:
+                node.put(at, node.n[at] + n, node.s[at] + s, node.q[at] + q)
+                return None
+            node.put(at, *halves[0].total())
+            node.put(node.k, *halves[1].total())
+            node.below[at] = halves[0]
+            node.below.append(halves[1])
+        return self._split(node) if node.k > self.width else None
+
+    def _split(self, node: Node) -> tuple[Node, Node]:
+        c = node.c[: node.k]
+        apart = ((c[:, None] - c) ** 2).sum(2)
+        one, other = divmod(int(apart.argmax()), node.k)
+        second = apart[other] < apart[one]
+        second[one], second[other] = False, True
+        out = Node(self.width, c.shape[1], node.below is None), Node(self.width, c.shape[1], node.below is None)
+        for i, to in enumerate(second):
+            half = out[int(to)]
+            half.put(half.k, node.n[i], node.s[i], node.q[i])
+            if node.below is not None:
+                half.below.append(node.below[i])
+        return out
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, sums and sums of squares of the leaf entries, from left to right."""
+        found, todo = [], [self.root] if self.root else []
+        while todo:
+            node = todo.pop()
+            if node.below is None:
+                found.append((node.n[: node.k], node.s[: node.k], node.q[: node.k]))
+            else:
+                todo += node.below[::-1]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+
+    @property
+    def n(self) -> np.ndarray:
+        return self.leaves()[0]
+
 
 def birch(df: DataFrame, k: int, radius: float, starts: int = 2) -> DataFrame:
     """Subclusters per partition in one pass, of bounded number, then k-means over their means, weighted by their sizes."""
@@ -360,7 +426,8 @@ def birch(df: DataFrame, k: int, radius: float, starts: int = 2) -> DataFrame:
         for b in batches:
             for x in np.array(b["embedding"].tolist(), float).reshape(len(b), -1):
                 found.add(1.0, x, float(x @ x))
-        yield pd.DataFrame({"n": found.n, "embedding": (found.s / np.maximum(found.n, 1)[:, None]).tolist()})
+        n, s, _ = found.leaves()
+        yield pd.DataFrame({"n": n, "embedding": (s / np.maximum(n, 1)[:, None]).tolist()})
 
     subs = as_vectors(df.select("embedding").mapInPandas(summaries, "n double, embedding array<double>")).persist()
     model = min((KMeans(k=k, seed=i, weightCol="n").fit(subs) for i in range(starts)), key=lambda m: m.summary.trainingCost)
