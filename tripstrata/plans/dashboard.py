@@ -54,8 +54,9 @@ def yoy_pivot(spark: SparkSession, d: str) -> DataFrame:
     """Passengers, revenue and fare of the shown segments in economy, by year; a segment without any has zeros."""
     g = ops.sliced(pax(spark, d), cabin="Y").groupBy("segment").agg(*[ops.years(x, i).alias(f"{x}_y{i + 1}") for x in ("pax", "cents") for i in (0, 1)])
     g = ops.shown(g).na.fill(0)
-    g = g.select("segment", *[F.col(f"pax_y{i}") for i in (1, 2)], *[(F.col(f"cents_y{i}") / 100.0).alias(f"revenue_y{i}") for i in (1, 2)])
-    return g.withColumns({f"fare_y{i}": F.round(F.coalesce(F.try_divide(F.col(f"revenue_y{i}"), F.col(f"pax_y{i}")), F.lit(0.0)), 4) for i in (1, 2)})
+    # halves go up by whole numbers: a quotient of doubles can lie on either side of a half
+    fares = [F.expr(f"coalesce((200 * cents_y{i} + pax_y{i}) div (2 * nullif(pax_y{i}, 0)), 0) / 1e4").alias(f"fare_y{i}") for i in (1, 2)]
+    return g.select("segment", *[F.col(f"pax_y{i}") for i in (1, 2)], *[(F.col(f"cents_y{i}") / 100.0).alias(f"revenue_y{i}") for i in (1, 2)], *fares)
 
 
 @query(facts(f", n AS (SELECT segment, month, sum(pax)::BIGINT AS pax FROM pax WHERE year = {Y2} GROUP BY 1, 2) SELECT segment, list(coalesce(pax, 0) ORDER BY month)::VARCHAR AS monthly FROM (SELECT segment, unnest(range(1, 13))::INT AS month FROM shown) LEFT JOIN n USING (segment, month) GROUP BY 1"))
