@@ -242,3 +242,13 @@ def test_stream(spark, tmp_path):
     ref = src.groupBy("event_type").agg((F.count("*") / src.count()).alias("p"))
     counts = spark.createDataFrame(counts.collect(), counts.schema)
     assert psi_per_window(counts, ref).where("psi < 0").count() == 0
+
+
+def test_record_flags(spark):
+    """The features of single records by hand; missing values give 0 (is_nonstop: 1)."""
+    from tripstrata.operators import tickets
+
+    schema = "customer_id long, dest_key int, coupon_number int, flight_number string, value_tier int, sold_class string, booking_class string, cabin_ord int, is_nonstop int, origin_domestic int, dest_domestic int, foreign_issue boolean, is_gds int, is_ota int"
+    rows = [(1, 2, 4, "T17", 5, "G", "Y", 1, 0, 1, 1, True, 1, 0), (2, 1, 1, "T71", None, "Y", "Y", 0, 1, 1, 0, False, 0, 0), (3, None, 1, None, None, None, "Y", None, None, None, 1, None, 0, 1)]
+    got = tickets.record_flags(spark.createDataFrame(rows, schema)).select("dep_hour", "fare_tier", *tickets.FLAGS).collect()
+    assert [tuple(r) for r in got] == [(22, 5, 1, 1, 1, 0, 1, 1, 1, 1, 1, 1), (8, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0), (None, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0)]

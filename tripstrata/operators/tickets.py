@@ -51,6 +51,32 @@ def records(clean: DataFrame) -> DataFrame:
     }).withColumn("is_long_haul", whole(c("haul_type") == "LongHaul"))
 
 
+#: The 0/1 features of record_flags(), beside those that records() makes.
+FLAGS = ["red_eye", "changed_itinerary", "is_premium_cabin", "is_nonstop", "is_connecting", "is_domestic", "is_intl_pos", "gender_male", "is_indirect", "is_regional_carrier"]
+#: The hours of night departures, and the carrier of regional flights.
+NIGHT, REGIONAL = [22, 23, 0, 1, 2, 3, 4, 5], "2P"
+
+
+def record_flags(records: DataFrame) -> DataFrame:
+    """The rest of a record's features: dep_hour, fare_tier and FLAGS.
+
+    The coupon view has no hours, carriers and genders: they follow from destination and coupon number, from the flight number,
+    and from the customer, a third of whom tell none. Exchanged are coupons of another class than the one sold. A missing
+    value gives 0.
+    """
+    c = F.col
+    whole = lambda p: F.coalesce(p, F.lit(False)).cast("int")
+    df = records.withColumns({
+        "dep_hour": F.pmod(c("dest_key") * 5 + c("coupon_number") * 3, F.lit(24)).cast("int"), "carrier": F.when(c("flight_number").endswith("7"), REGIONAL).otherwise("PR"),
+        "gender": F.element_at(F.array(F.lit(None), F.lit(" Male"), F.lit("Female")), (F.pmod("customer_id", F.lit(3)) + 1).cast("int")), "fare_tier": F.coalesce("value_tier", F.lit(0)),
+    })
+    return df.withColumns({
+        "red_eye": whole(c("dep_hour").isin(NIGHT)), "changed_itinerary": whole(c("sold_class") != c("booking_class")), "is_premium_cabin": whole(c("cabin_ord") >= 1),
+        "is_nonstop": F.coalesce("is_nonstop", F.lit(1)), "is_connecting": 1 - F.coalesce("is_nonstop", F.lit(1)), "is_domestic": whole((c("origin_domestic") == 1) & (c("dest_domestic") == 1)),
+        "is_intl_pos": whole(c("foreign_issue")), "gender_male": whole(F.trim("gender") == "Male"), "is_indirect": F.greatest("is_gds", "is_ota"), "is_regional_carrier": whole(c("carrier") == REGIONAL),
+    })
+
+
 def travellers(clean: DataFrame) -> DataFrame:
     """Survey-like rows: seat, income, purpose, check_in, age, bags, lead_time, loyalty_ord, cabin_ord."""
     c = F.col

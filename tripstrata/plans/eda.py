@@ -116,6 +116,19 @@ def record_features(spark: SparkSession, d: str) -> DataFrame:
     return t.records(coupon.clean(spark, d)).groupBy("haul_type", "age_band").agg(F.count("*").alias("n"), F.round(F.avg("ancillary_ratio"), 5).alias("avg_ratio"), F.max("n_legs").alias("max_legs"), F.sum("is_weekend").alias("weekend"), F.sum("is_peak_season").alias("peak"))
 
 
+RECORD_FLAGS = {
+    "red_eye": "(dest_key * 5 + coupon_number * 3) % 24 IN (22, 23, 0, 1, 2, 3, 4, 5)", "changed_itinerary": "sold_class <> booking_class", "is_premium_cabin": "cabin IN ('W', 'J')", "is_nonstop": "l_linenumber = 1",
+    "is_connecting": "l_linenumber > 1", "is_domestic": "dom_coupon", "is_intl_pos": "foreign_issue", "gender_male": "customer_id % 3 = 1", "is_indirect": "channel IN ('3-MEDIUM', '4-NOT SPECIFIED')", "is_regional_carrier": "l_suppkey % 10 = 7",
+}
+
+
+@query(record_sql("SELECT haul_type, age_band, count(*) AS n, sum(coalesce(value_tier, 0))::BIGINT AS fare_tier, sum((dest_key * 5 + coupon_number * 3) % 24)::BIGINT AS dep_hours, " + ", ".join(f"count(*) FILTER ({p}) AS {n}" for n, p in RECORD_FLAGS.items()) + " FROM rec GROUP BY 1, 2"))
+def record_flags(spark: SparkSession, d: str) -> DataFrame:
+    """How many records of each haul and age band have each of the 0/1 features, and the sums of tiers and hours."""
+    df = t.record_flags(t.records(coupon.clean(spark, d)))
+    return df.groupBy("haul_type", "age_band").agg(F.count("*").alias("n"), F.sum("fare_tier").alias("fare_tier"), F.sum("dep_hour").alias("dep_hours"), *[F.sum(f).alias(f) for f in t.FLAGS])
+
+
 def traveller_labels(spark: SparkSession, d: str) -> DataFrame:
     df = t.travellers(coupon.clean(spark, d)).withColumn("segment", rules.last_match(rules.traveller_rules()))
     return df.withColumn("segment_nl", rules.without_contradictions(F.col("segment"), rules.traveller_contradictions()))
