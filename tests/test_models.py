@@ -137,3 +137,23 @@ def test_birch_finds_blobs(spark):
     groups = [{got[i] for i in range(k, 800, 4)} for k in range(4)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 4
     assert models.birch(df, 4, 0.5, starts=1).count() == 800
+
+
+def test_a_rebuilt_tree_keeps_many_entries():
+    """In many dimensions a radius a little too large merges nearly all: the tree has to stay near its bound, above any number of clusters."""
+    rng = np.random.default_rng(12)
+    found = models.Features(0.5, 100)
+    for v in rng.normal(0, 0.2, (4000, 64)):
+        found.add(1.0, v, float(v @ v))
+    assert 25 <= found.size == len(found.n) <= 100 and found.n.sum() == 4000
+
+
+def test_birch_of_one_blob_and_of_few_distinct_vectors(spark):
+    """Ten clusters where the radius once grew until fewer subclusters were left, and more clusters than distinct vectors."""
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.normal(0, 0.2, 64).tolist()) for i in range(3000)]
+    got = models.birch(spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(2), 10, 0.5)
+    assert len({r["label"] for r in got.collect()}) == 10
+    few = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)], "id long, embedding array<double>").repartition(3)
+    labels = {r["id"]: r["label"] for r in models.birch(few, 10, 0.5).collect()}
+    assert len(labels) == 30 and all(labels[i] == labels[i % 3] for i in labels) and len(set(labels.values())) == 3
