@@ -31,7 +31,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component of near copies: 0.8 of the 5-word shingles of two are common."""
+    """Keeps the document with the smallest doc_id of each component of near copies: 0.8 of the 5-word shingles of two are common.
+    op1's SimHash links are tried first, MinHash bands find what lies farther apart, and exact sets decide on both."""
     docs = numbered(docs)
     return without_rows(docs, near.near_copies(docs, docs._at))
 

@@ -84,3 +84,24 @@ def test_large_buckets_lose_no_pair(spark, docs, monkeypatch):
     rows = boilerplate(random.Random(11), 300, 0.7)
     gone = {r["row"] for r in near.near_copies(docs(*rows).withColumn("n", F.col("doc_id")), "n").collect()}
     assert gone == {2 * i + 1 for i in range(300)}
+
+
+def test_simhash_alone_finds_close_copies(spark, docs, monkeypatch):
+    """With the MinHash candidates taken away, copies within 2 bits are still dropped: one changed word in long texts; far ones stay."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for i in range(40):
+        base = [word() for _ in range(1500)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join([*base[:-1], word()])), (3 * i + 2, " ".join(word() for _ in range(50)))]
+    print_of = {d: near.fingerprint(t) for d, t in rows}
+    close = {3 * i + 1 for i in range(40) if (print_of[3 * i] ^ print_of[3 * i + 1]).bit_count() <= 2}
+    found = near.candidates
+
+    def none(nodes, s):
+        pairs, rest = found(nodes, s)
+        return pairs.where("false"), rest.where("false")
+
+    monkeypatch.setattr(near, "candidates", none)
+    gone = {r["row"] for r in near.near_copies(docs(*rows).withColumn("n", F.col("doc_id")), "n").collect()}
+    assert len(close) > 20 and gone == close

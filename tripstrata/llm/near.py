@@ -1,5 +1,7 @@
-"""Near copies by the similarity of their sets of word shingles: MinHash bands find candidates, exact sets decide.
+"""Near copies by the similarity of their sets of word shingles: SimHash and MinHash bands find candidates, exact sets decide.
 
+The first candidates are op1's: fingerprints at 2 or fewer differing bits, by its covering masks and midpoints. A pair of similarity
+0.8 usually lies farther apart than that (4 to 14 bits), so MinHash bands find the rest.
 Documents with one set of shingles are one node. A node has BANDS keys, each over ROWS minima of its shingles under different
 hash functions; a pair of similarity s shares none of them with probability (1 - s ** ROWS) ** BANDS, 7e-5 at 0.8. Candidates
 are all pairs of a bucket of at most SMALL nodes. A larger bucket, which shared boilerplate fills as well as copies do, is split by
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripstrata.llm.common import Scratch
-from tripstrata.llm.op1 import components
+from tripstrata.llm.op1 import components, covering_masks, fingerprint, links
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -57,6 +59,14 @@ def band_keys(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(raw[i : i + 4 * ROWS]) - (1 << 63) for i in range(0, len(raw), 4 * ROWS)]
 
 
+def simhash_pairs(nodes: DataFrame, s: Scratch) -> DataFrame:
+    """Pairs (a, b), a < b, of the nodes (id, fp) that connect all whose fingerprints differ in 2 bits or fewer: op1's links between
+    fingerprints, each held by its smallest id, and one from that to every other id of the fingerprint."""
+    held = s.save(nodes.groupBy("fp").agg(F.min("id").alias("id")), "fingerprints")
+    equal = nodes.select(F.col("id").alias("b"), "fp").join(held.withColumnRenamed("id", "a"), "fp").where("a < b").select("a", "b")
+    return s.save(equal.unionByName(links(held, covering_masks()).select("a", "b")), "simhash")
+
+
 def pairs_of(keyed: DataFrame, held: DataFrame, small: int) -> DataFrame:
     """Pairs (id, p) of the rows (id, key) of `keyed` in buckets of 2 to `small`, by the sizes n of `held` (key, n)."""
     few = keyed.join(held.where((F.col("n") > 1) & (F.col("n") <= small)).select("key"), "key").groupBy("key").agg(F.collect_list("id").alias("ids"))
@@ -149,12 +159,13 @@ def near_copies(docs: DataFrame, row: str, least: float = LEAST, size: int = SHI
     """
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys = [], []
+            ids, keys, fps = [], [], []
             for x in b.column(2).to_pylist():
                 found = shingles(x, size)
+                fps.append(fingerprint(x))
                 ids.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
                 keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "id", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))], ["row", "doc_id", "id", "keys", "fp"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,22 +175,23 @@ def near_copies(docs: DataFrame, row: str, least: float = LEAST, size: int = SHI
 
     with Scratch(docs.sparkSession) as s:
         text = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        prints = s.save(text.mapInArrow(prints_of, "row long, doc_id long, id long, keys array<long>"), "prints")
+        prints = s.save(text.mapInArrow(prints_of, "row long, doc_id long, id long, keys array<long>, fp long"), "prints")
         best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-        nodes = s.save(prints.groupBy("id").agg(best.alias("best"), F.min("keys").alias("keys")), "nodes")
+        nodes = s.save(prints.groupBy("id").agg(best.alias("best"), F.min("keys").alias("keys"), F.min("fp").alias("fp")), "nodes")
         pairs, rest = candidates(nodes, s)
-        pairs = s.save(pairs, "pairs")
+        pairs = s.save(pairs.union(simhash_pairs(nodes, s)).distinct(), "pairs")
         some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         rows = nodes.join(some, "id").select("id", F.col("best.row").alias("row"))
         sets = s.save(text.join(rows, "row").select("id", "text").mapInArrow(sets_of, "id long, set array<long>"), "sets")
-        found = components(links := s.save(linked(pairs, sets, least), "links"), s)
+        edges = s.save(linked(pairs, sets, least), "links")
+        found = components(edges, s)
         # members of large buckets have sets, as each has met a pivot
         member = rest.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
         mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         held = s.save(member.join(mixed, "key").select("id", "component").distinct(), "held")
         if not held.isEmpty():
             more = s.save(rest_pairs(held.join(sets, "id"), s, least), "more")
-            found = components(links.unionByName(linked(more, sets, least)), s)
+            found = components(edges.unionByName(linked(more, sets, least)), s)
         labelled = nodes.select("id", "best").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         first = labelled.groupBy("component").agg(F.min("best").alias("of"))
         of = labelled.join(first, "component").select("id", F.col("of.row").alias("first"))

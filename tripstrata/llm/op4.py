@@ -107,14 +107,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*seen[at].tolist(), n], pa.int64())], ["f", "n"])
 
-    # one row per feature at most
-    df = {x["f"]: x["n"] for x in rows.select("text").mapInArrow(frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
-    n = df.pop(-1, 0)
+    # one row per feature at most; Arrow columns, as a Python object a number would fill the driver
+    df = rows.select("text").mapInArrow(frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    f, k = df["f"].to_numpy(), df["n"].to_numpy()
+    n = int(k[f < 0].sum())
     if not n:
         return Model([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), 1.0)
     idf = np.zeros(1 << BITS)
-    for f, k in df.items():
-        idf[f] = np.log((1 + n) / (1 + k)) + 1
+    idf[f[f >= 0]] = np.log((1 + n) / (1 + k[f >= 0])) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,13 +123,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     # ties of the hash are settled by what the rows teach, so that a rerun learns from the same ones
     few = smallest_hashes(rows.withColumn("o", F.struct("h", "lang", F.xxhash64("text").alias("t"))), n, sample)
-    got = few.select("text", "lang", "h").mapInArrow(vectors, "lang string, h long, at array<int>, n array<int>").toArrow().to_pylist()
-    got.sort(key=lambda x: (x["h"], x["lang"]))
-    langs = sorted({x["lang"] for x in got})
+    got = few.select("text", "lang", "h").mapInArrow(vectors, "lang string, h long, at array<int>, n array<int>").toArrow().combine_chunks()
+    names, hashes = got["lang"].to_pylist(), got["h"].to_pylist()
+    langs = sorted(set(names))
     data = []
-    for x in got:
-        at, k = np.array(x["at"], np.int64), np.array(x["n"], np.float64) * idf[np.array(x["at"], np.int64)]
-        data.append((at, SCALE * k / max(k.sum(), 1e-12), langs.index(x["lang"])))
+    for i in sorted(range(len(names)), key=lambda i: (hashes[i], names[i])):
+        at = got["at"][i].values.to_numpy()
+        k = got["n"][i].values.to_numpy() * idf[at]
+        data.append((at, SCALE * k / max(k.sum(), 1e-12), langs.index(names[i])))
     fit, check = [x for i, x in enumerate(data) if i % 5], data[::5]
     learner = Ftrl(len(langs))
     for epoch in range(EPOCHS):
