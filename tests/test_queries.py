@@ -47,3 +47,14 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["labeling_scores", "leaderboard", "display_scores"])
+def test_scores_of_more_rows_than_are_asked(spark, tmp_path, name):
+    """Three times the rows of which silhouettes are taken: the SQL asks the same rows."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT vec_id + 1000000 * r AS vec_id, list_transform(embedding, lambda x: (x + 0.05 * sin(vec_id + r))::FLOAT) AS embedding, label FROM '{SF}/embeddings.parquet', range(12) t(r)) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    df = registry.queries()[name](spark, str(tmp_path))
+    want = con.sql(registry.oracle_sql()[name])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
