@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tripstrata.functions.quantiles import percentiles
 from tripstrata.operators import mixture, models, resample
+from tripstrata.operators import neighbours as neighbours_module
 from tripstrata.operators.neighbours import neighbours
 from tripstrata.operators.sampling import cut_lineage
 
@@ -145,3 +146,19 @@ def test_mixture_of_flat_copied_and_few_rows(spark):
     got = mixture.gaussian_mixture(df, 10, "id", starts=2)
     labels = {r["id"]: r["label"] for r in got.collect()}
     assert labels[100] == labels[101] == -1 and len({labels[i] for i in range(40)}) == 1 and labels[0] != labels[44] >= 0
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    """Whatever the numbers of points and of asked rows, no block of distances is larger than BLOCK; the results are those of all pairs."""
+    monkeypatch.setattr("tripstrata.operators.neighbours.BLOCK", 4096)
+    assert [n * neighbours_module.at_once(n) <= 4096 for n in (1, 8, 100, 256)] == [True] * 4 and neighbours_module.at_once(1 << 30) == 16
+    rng = np.random.default_rng(3)
+    x, label = rng.normal(0, 1, (700, 5)), rng.integers(0, 3, 700)
+    df = frame(spark, x)
+    assert [[o for o, _ in v] for v in table_of(neighbours(df, df, "id", "embedding", 3)).values()] == [[o for o, _ in v] for v in brute(x, np.arange(700), x, np.arange(700), 3).values()]
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    near = lambda i, c: d[i, label == c].sum() / ((label == c).sum() - (label[i] == c))
+    parts = [(near(i, label[i]), min(near(i, c) for c in range(3) if c != label[i])) for i in range(700)]
+    given = df.join(spark.createDataFrame([(i, int(c)) for i, c in enumerate(label)], "id long, label int"), "id")
+    got = models.silhouettes(given, "label", "id").first()
+    assert got["asked"] == 700 and got["silhouette"] == pytest.approx(np.mean([(b - a) / max(a, b) for a, b in parts]))
