@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripstrata.operators import models, monitor
+from tripstrata.plans import registry
 
 
 def test_minibatch_cost_is_near_a_whole_fit(spark):
@@ -157,3 +158,13 @@ def test_birch_of_one_blob_and_of_few_distinct_vectors(spark):
     few = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)], "id long, embedding array<double>").repartition(3)
     labels = {r["id"]: r["label"] for r in models.birch(few, 10, 0.5).collect()}
     assert len(labels) == 30 and all(labels[i] == labels[i % 3] for i in labels) and len(set(labels.values())) == 3
+
+
+def test_forest_does_not_depend_on_how_the_table_is_cut(spark, tmp_path):
+    """Every row is predicted once, and one file gives the same confusion counts as five."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 3 = 0")
+    got = []
+    for parts in (1, 5):
+        rows.repartition(parts).write.parquet(f"{tmp_path}/{parts}/embeddings.parquet")
+        got.append(sorted(tuple(r) for r in registry.queries()["random_forest"](spark, f"{tmp_path}/{parts}").collect()))
+    assert got[0] == got[1] and sum(n for *_, n in got[0]) == rows.count()

@@ -30,6 +30,11 @@ from tripstrata.operators.sampling import cut_lineage, sample, shared_folder
 PAIRS = 2000
 
 
+def parts_for(rows: int, each: int = 8192) -> int:
+    """Partitions of about `each` rows, two at least."""
+    return max(2, -(-rows // each))
+
+
 def as_vectors(df: DataFrame, array: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(array).cast("array<double>")))
 

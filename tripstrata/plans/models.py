@@ -3,7 +3,10 @@ operators against brute force, or their results against given labels."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,11 +134,19 @@ def random_forest(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.classification import RandomForestClassifier
 
     e = models.as_vectors(sampling.folds(embeddings(spark, d), "label", "vec_id")).drop("embedding")
-    n = e.groupBy("label").agg(F.count("*").alias("n"))
-    w = e.join(F.broadcast(n.select("label", (1.0 / F.col("n")).alias("w"))), "label").persist()
+    n = e.groupBy("label").agg(F.count("*").alias("n")).persist()
+    w = e.join(F.broadcast(n.select("label", (1.0 / F.col("n")).alias("w"))), "label")
+    # a partition sends the histograms of every open node, whatever its rows: few partitions, and the folds side by side
+    w = w.repartition(models.parts_for(n.agg(F.sum("n")).first()[0] or 0), "vec_id").sortWithinPartitions("vec_id").persist()
     forest = RandomForestClassifier(numTrees=200, maxDepth=12, seed=1, weightCol="w")
-    parts = [forest.fit(w.where(F.col("fold") != i)).transform(w.where(F.col("fold") == i)).groupBy("label", F.col("prediction").cast("int").alias("predicted")).count().collect() for i in range(5)]
+
+    def fold(i: int) -> list:
+        return forest.fit(w.where(F.col("fold") != i)).transform(w.where(F.col("fold") == i)).groupBy("label", F.col("prediction").cast("int").alias("predicted")).count().collect()
+
+    with ThreadPoolExecutor(5) as pool:
+        parts = list(pool.map(inheritable_thread_target(spark)(fold), range(5)))
     w.unpersist()
+    n.unpersist()
     return spark.createDataFrame([r for p in parts for r in p], "label int, predicted int, n long").groupBy("label", "predicted").agg(F.sum("n").alias("n"))
 
 
