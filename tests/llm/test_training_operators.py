@@ -168,6 +168,21 @@ def test_runs_need_no_more_memory():
     assert peak(20_000) < 2 * peak(2000)
 
 
+def test_minimizers_are_common_with_a_side_only():
+    """A phrase in other surroundings is no reason to send a context; of a string of LENGTH bytes that two texts have, a side is common."""
+    rng = np.random.default_rng(5)
+    phrase, junk = b"a common phrase of words", lambda: rng.integers(97, 123, 60).astype(np.uint8).tobytes()
+    texts = [junk() + phrase + junk() for _ in range(40)]
+    _, h, _, _, _, left, right, *wide = op2.sided(texts)
+    sides = np.concatenate([w[some] for w, some in zip(wide, (left, right), strict=True)])
+    assert len(np.unique(h)) < len(h) and len(np.unique(sides)) == len(sides)
+    for at in range(35):
+        same = junk()[: op2.LENGTH]
+        doc, h, _, _, _, left, right, *wide = op2.sided([junk()[:at] + same + junk(), junk() + same + junk()[: 40 - at]])
+        keys = [{int(k) for w, some in zip(wide, (left, right), strict=True) for k in w[some & (doc == d)]} for d in (0, 1)]
+        assert keys[0] & keys[1]
+
+
 def test_minimizers(monkeypatch):
     """Every string of 50 bytes has its minimizer, alone or together with other texts, whole or in pieces; parts are even."""
     rng = np.random.default_rng(0)
