@@ -185,17 +185,18 @@ def box_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ticket_sql("SELECT region, round(median(fare_per_pax), 4) AS med_fare, median(lead_time) AS med_lead, count(*) AS n FROM ticket GROUP BY 1"))
 def group_medians(spark: SparkSession, d: str) -> DataFrame:
-    """Fares are free doubles, narrowed down by counting; lead times are few whole numbers."""
-    df = tickets(spark, d)
-    fares = percentiles(df, ["region"], "fare_per_pax", [0.5], cut_lineage).select("region", F.round(F.col("q")[0], 4).alias("med_fare"))
+    """Fares are free doubles, narrowed down by counting; lead times are few whole numbers. The columns are stored once, for both."""
+    df = cut_lineage(tickets(spark, d).select("region", "fare_per_pax", "lead_time"))
+    fares = percentiles(df, ["region"], "fare_per_pax", [0.5], cut_lineage, stored=True).select("region", F.round(F.col("q")[0], 4).alias("med_fare"))
     return joined_groups(df.groupBy("region").agg(F.median("lead_time").alias("med_lead"), F.count("*").alias("n")), fares, "region").orderBy("med_fare")
 
 
 @query(ticket_sql(f", s AS (SELECT *, {U2} AS segment FROM ticket) SELECT segment, round(least(median(fare_per_pax) / 1000, 1), 6) AS fare, round(least(median(lead_time) / 90, 1), 6) AS lead, round(least((median(pax) - 1) / 9, 1), 6) AS party, round(avg((is_dom = 0)::INT), 6) AS intl, round(avg((farebrand = 'Economy Flex')::INT), 6) AS flex FROM s GROUP BY 1 HAVING count(*) >= 10"))
 def radar(spark: SparkSession, d: str) -> DataFrame:
-    df = labelled(spark, d)
-    fares = percentiles(df, ["segment"], "fare_per_pax", [0.5], cut_lineage).select("segment", F.round(F.least(F.col("q")[0] / 1000, F.lit(1.0)), 6).alias("fare"))
-    g = df.groupBy("segment").agg(F.round(F.least(F.median("lead_time") / 90, F.lit(1.0)), 6).alias("lead"), F.round(F.least((F.median("pax") - 1) / 9, F.lit(1.0)), 6).alias("party"), F.round(F.avg((F.col("is_dom") == 0).cast("int")), 6).alias("intl"), F.round(F.avg((F.col("farebrand") == "Economy Flex").cast("int")), 6).alias("flex"), F.count("*").alias("n"))
+    """The tickets' columns are stored once, for the fares' rounds and all else."""
+    df = cut_lineage(labelled(spark, d).select("segment", "fare_per_pax", "lead_time", "pax", "is_dom", (F.col("farebrand") == "Economy Flex").cast("int").alias("flex")))
+    fares = percentiles(df, ["segment"], "fare_per_pax", [0.5], cut_lineage, stored=True).select("segment", F.round(F.least(F.col("q")[0] / 1000, F.lit(1.0)), 6).alias("fare"))
+    g = df.groupBy("segment").agg(F.round(F.least(F.median("lead_time") / 90, F.lit(1.0)), 6).alias("lead"), F.round(F.least((F.median("pax") - 1) / 9, F.lit(1.0)), 6).alias("party"), F.round(F.avg((F.col("is_dom") == 0).cast("int")), 6).alias("intl"), F.round(F.avg("flex"), 6).alias("flex"), F.count("*").alias("n"))
     g = joined_groups(g, fares, "segment")
     return g.where("n >= 10").drop("n")
 
