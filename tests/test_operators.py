@@ -252,3 +252,44 @@ def test_record_flags(spark):
     rows = [(1, 2, 4, "T17", 5, "G", "Y", 1, 0, 1, 1, True, 1, 0), (2, 1, 1, "T71", None, "Y", "Y", 0, 1, 1, 0, False, 0, 0), (3, None, 1, None, None, None, "Y", None, None, None, 1, None, 0, 1)]
     got = tickets.record_flags(spark.createDataFrame(rows, schema)).select("dep_hour", "fare_tier", *tickets.FLAGS).collect()
     assert [tuple(r) for r in got] == [(22, 5, 1, 1, 1, 0, 1, 1, 1, 1, 1, 1), (8, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0), (None, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0)]
+
+
+def times_run(spark, df, f):
+    """How often the rows of `df` are made while f(df with that count) runs."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    f(df.mapInArrow(count, df.schema))
+    return seen.value / df.count()
+
+
+def test_rows_are_stored_or_counted_once(spark, monkeypatch):
+    """What the queries are made from is made once (percentiles: stored by its caller), however many figures are taken from it."""
+    from tripstrata.plans import eda, models, segments
+
+    SF = "/root/testdata/sf0.001"
+    for plan, source, query, columns in ((eda, "labelled", "radar", 1), (eda, "tickets", "group_medians", 1), (models, "codes", "k_prototypes", 1), (segments, "booked", "retrain_decision", 1)):
+        made = getattr(plan, source)(spark, SF).localCheckpoint()
+
+        def run(df, plan=plan, source=source, query=query):
+            with monkeypatch.context() as m:
+                m.setattr(plan, source, lambda *_: df)
+                getattr(plan, query)(spark, SF).collect()
+
+        assert times_run(spark, made, run) == columns, query
+
+
+def test_weights_are_repeated_rows(spark):
+    rows = [("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 2.0), ("c", "z", 9.0)]
+    times = [5, 2, 4, 1]
+    one = spark.createDataFrame([(*r, n) for r, n in zip(rows, times, strict=True)], "a string, b string, x double, n int")
+    many = spark.createDataFrame([(*r, 1) for r, n in zip(rows, times, strict=True) for _ in range(n)], one.schema)
+    assert monitor.adjusted_rand(one, "a", "b", "n").collect() == monitor.adjusted_rand(many, "a", "b").collect()
+    terms = lambda df, *w: sorted(monitor.psi_terms(df.where("b <> 'z'"), df.where("b <> 'x'"), "a", *w).collect())
+    assert terms(one, "n") == terms(many)
+    bins = lambda df, *w: [r[0] for r in one.select(monitor.decile_bins(df, "x", *w)).collect()]
+    assert bins(one, "n") == bins(many)

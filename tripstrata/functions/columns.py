@@ -90,10 +90,11 @@ def average_rank(df: DataFrame, column: str, name: str, descending: bool = False
     return df.withColumn(name, F.rank().over(w) + (F.count("*").over(Window.partitionBy(column)) - 1) / 2.0)
 
 
-def counted_percentile(df: DataFrame, groups: list[str], x: str, parts: list[float]) -> DataFrame:
+def counted_percentile(df: DataFrame, groups: list[str], x: str, parts: list[float], weight: str | None = None) -> DataFrame:
     """Interpolated percentiles of x by group, as an array `q`, and how many rows have an x. Values are counted first: what
-    meets in one place is a group's distinct values (money in whole cents, say), not its rows."""
-    counted = df.where(F.col(x).isNotNull()).groupBy(*groups, x).agg(F.count("*").alias("__n"))
+    meets in one place is a group's distinct values (money in whole cents, say), not its rows. A row counts once, or as often as `weight`
+    says."""
+    counted = df.where(F.col(x).isNotNull()).groupBy(*groups, x).agg((F.sum(weight) if weight else F.count("*")).alias("__n"))
     return counted.groupBy(*groups).agg(F.percentile(x, F.array(*map(F.lit, parts)), F.col("__n")).alias("q"), F.sum("__n").alias("n"))
 
 
