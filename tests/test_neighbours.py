@@ -1,6 +1,7 @@
 """Neighbours, DBSCAN, percentiles and mixtures against all pairs, numpy and known densities."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,40 @@ def test_blocks_are_bounded(spark, monkeypatch):
     given = df.join(spark.createDataFrame([(i, int(c)) for i, c in enumerate(label)], "id long, label int"), "id")
     got = models.silhouettes(given, "label", "id").first()
     assert got["asked"] == 700 and got["silhouette"] == pytest.approx(np.mean([(b - a) / max(a, b) for a, b in parts]))
+
+
+@pytest.mark.parametrize(("scale", "off"), [(1.0, 0.0), (1e-6, 1.0), (1e20, 0.0), (1e-20, 0.0)])
+def test_measured_loses_nothing_in_bounded_memory(scale, off):
+    """All pairs within the limit, and the k nearest, at any scale; 400 askers who are near to all 4,000 points need few numbers at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(off, scale, (4000, 64)), rng.normal(off, scale, (400, 64))
+    d = np.sqrt(np.stack([((x - v) ** 2).sum(1) for v in q]))
+    limit = np.quantile(d, 0.01) ** 2
+    got = {(i, j) for a, b, m in neighbours_module.measured(q, x, np.full(len(q), limit)) for i, j, e in zip(a, b, m, strict=True) if e * e <= limit}
+    assert got == set(zip(*np.nonzero(d * d <= limit), strict=True))
+    compare = neighbours_module.nearest_compare(7)
+    tables = [pa.table({"id": np.arange(len(v)), "v": neighbours_module.vectors(v), "reach": np.full(len(v), np.nan)}) for v in (x, q)]
+    near = compare(*tables, iter([(np.arange(400), np.arange(4000))])).to_pydict()
+    assert np.array(near["other"]).reshape(400, 7).tolist() == np.argsort(d, 1, kind="stable")[:, :7].tolist()
+    tracemalloc.start()
+    n = sum(len(i) for i, _, _ in neighbours_module.measured(q, x, np.full(len(q), np.inf)))
+    assert n == 1_600_000 and tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def test_askers_are_stored_once(spark, monkeypatch):
+    """Without bounds that rule out cells, each point asks every bin: what is stored for that are the askers, not their copies."""
+    stored = []
+
+    def cut(df):
+        out = cut_lineage(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr("tripstrata.operators.neighbours.cut_lineage", cut)
+    x = np.random.default_rng(6).normal(0, 1, (300, 24))
+    got = table_of(neighbours(frame(spark, x), frame(spark, x), "id", "embedding", 2, 30))
+    assert [[o for o, _ in got[i]] for i in range(300)] == [[o for o, _ in v] for v in brute(x, np.arange(300), x, np.arange(300), 2).values()]
+    assert max(stored) <= 300 * 3
