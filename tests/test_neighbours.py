@@ -200,3 +200,12 @@ def test_askers_are_stored_once(spark, monkeypatch):
     got = table_of(neighbours(frame(spark, x), frame(spark, x), "id", "embedding", 2, 30))
     assert [[o for o, _ in got[i]] for i in range(300)] == [[o for o, _ in v] for v in brute(x, np.arange(300), x, np.arange(300), 2).values()]
     assert max(stored) <= 300 * 3
+
+
+def test_dbscan_of_one_cluster_searches_once(spark, monkeypatch):
+    """The search that gives eps tells the cores and their links too."""
+    calls = []
+    monkeypatch.setattr(models, "meet", lambda *a: calls.append(a) or neighbours_module.meet(*a))
+    x = np.random.default_rng(7).normal(0, 1, (200, 2))
+    got = dict(models.dbscan(frame(spark, x), "id", 6).collect())
+    assert not calls and len(set(got.values()) - {-1}) == 1
