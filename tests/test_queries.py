@@ -58,3 +58,19 @@ def test_scores_of_more_rows_than_are_asked(spark, tmp_path, name):
     df = registry.queries()[name](spark, str(tmp_path))
     want = con.sql(registry.oracle_sql()[name])
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
+
+
+def test_methods_of_column_sketch_are_compiled(spark):
+    """The JVM doesn't compile methods of over 8,000 bytes: rows then take several times as long."""
+    import re
+
+    from tripstrata.plans import registry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = registry.queries()["column_sketch"](spark, "/root/testdata/sf0.001")
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    found = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert found and max(found) < 8000
