@@ -209,3 +209,18 @@ def test_dbscan_of_one_cluster_searches_once(spark, monkeypatch):
     x = np.random.default_rng(7).normal(0, 1, (200, 2))
     got = dict(models.dbscan(frame(spark, x), "id", 6).collect())
     assert not calls and len(set(got.values()) - {-1}) == 1
+
+
+def test_sums_of_mixtures_that_fill_several_pieces(spark):
+    rng = np.random.default_rng(8)
+    x, k, d = rng.normal(0, 1, (90, 40)), 5, 40
+    models = [mixture.Mixture(np.full(k, 1 / k), rng.normal(0, 1, (k, d)), np.repeat(np.eye(d)[None], k, 0)) for _ in range(2)]
+    origin = x.mean(0)
+    got = mixture.moments(frame(spark, x).repartition(3).select("embedding"), models, origin)
+    assert got.size > mixture.CHUNK
+    for m, sums in zip(models, got, strict=True):
+        logs, off = m.logs(x), x - origin
+        norm = mixture.log_sum(logs)
+        post = np.exp(logs - norm[:, None])
+        want = [[norm.sum()], post.sum(0), (post.T @ off).ravel(), np.einsum("nk,ni,nj->kij", post, off, off).ravel()]
+        assert np.allclose(sums, np.concatenate(want), atol=1e-9)
