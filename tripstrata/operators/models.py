@@ -1,6 +1,6 @@
 """Clustering, mixtures and classifiers.
 
-k-means, PCA and forests are Spark ML's, mixtures have their own EM (mixture.py). Latent classes are fitted by EM over distinct patterns, which are few
+k-means and PCA are Spark ML's, mixtures have their own EM (mixture.py), forests their own trees (forest.py). Latent classes are fitted by EM over distinct patterns, which are few
 however many rows there are. DBSCAN, nearest neighbours and the silhouette take all rows; HDBSCAN, Ward and the density-based
 validity, which need all pairs, are fitted on a sample with a stated bound, and every row is then assigned.
 """
@@ -32,11 +32,6 @@ from tripstrata.operators.sampling import cut_lineage, sample, shared_folder
 PAIRS = 2000
 
 
-def parts_for(rows: int, each: int = 8192) -> int:
-    """Partitions of about `each` rows, two at least."""
-    return max(2, -(-rows // each))
-
-
 def as_vectors(df: DataFrame, array: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(array).cast("array<double>")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripstrata.functions.columns import bins, clip
-from tripstrata.operators import comparison, coupon, mixture, models, monitor, neighbours, resample, sampling
+from tripstrata.operators import comparison, coupon, forest, mixture, models, monitor, neighbours, resample, sampling
 from tripstrata.plans.base import query
 from tripstrata.plans.segments import ranked, rounded
 from tripstrata.sources.tables import star
@@ -134,23 +134,9 @@ def knn_mesh(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def random_forest(spark: SparkSession, d: str) -> DataFrame:
     """Confusion counts of a class-weighted forest of 200 trees, each row predicted by the forest of the four folds without it."""
-    from pyspark.ml.classification import RandomForestClassifier
-
-    e = models.as_vectors(sampling.folds(embeddings(spark, d), "label", "vec_id")).drop("embedding")
-    n = e.groupBy("label").agg(F.count("*").alias("n")).persist()
-    w = e.join(F.broadcast(n.select("label", (1.0 / F.col("n")).alias("w"))), "label")
-    # a partition sends the histograms of every open node, whatever its rows: few partitions, and the folds side by side
-    w = w.repartition(models.parts_for(n.agg(F.sum("n")).first()[0] or 0), "vec_id").sortWithinPartitions("vec_id").persist()
-    forest = RandomForestClassifier(numTrees=200, maxDepth=12, seed=1, weightCol="w")
-
-    def fold(i: int) -> list:
-        return forest.fit(w.where(F.col("fold") != i)).transform(w.where(F.col("fold") == i)).groupBy("label", F.col("prediction").cast("int").alias("predicted")).count().collect()
-
-    with ThreadPoolExecutor(5) as pool:
-        parts = list(pool.map(inheritable_thread_target(spark)(fold), range(5)))
-    w.unpersist()
-    n.unpersist()
-    return spark.createDataFrame([r for p in parts for r in p], "label int, predicted int, n long").groupBy("label", "predicted").agg(F.sum("n").alias("n"))
+    e = sampling.folds(embeddings(spark, d), "label", "vec_id")
+    got = forest.out_of_fold(e, "label", "fold", "vec_id", "embedding", 5)
+    return got.groupBy(F.col("label").cast("int").alias("label"), F.col("predicted").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
 
 
 @query(None)
