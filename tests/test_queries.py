@@ -74,3 +74,9 @@ def test_methods_of_column_sketch_are_compiled(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     found = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
     assert found and max(found) < 8000
+
+
+def test_display_scores_ask_all_rows():
+    """Neither its SQL nor the query cuts the rows whose silhouettes are taken; the two that state such a cut keep it."""
+    sql = registry.oracle_sql()
+    assert "LIMIT" not in sql["display_scores"] and all("LIMIT 2000" in sql[name] for name in ("labeling_scores", "leaderboard"))
